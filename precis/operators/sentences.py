@@ -82,8 +82,15 @@ def length_filter(sentences: DataFrame) -> DataFrame:
 
 
 def with_terms(sentences: DataFrame) -> DataFrame:
-    """Add ``terms ARRAY<STRING>`` (filtered tokens) and ``n_words INT``."""
-    return sentences.withColumn("terms", T.terms("sentence")).withColumn("n_words", F.size("terms"))
+    """Add ``terms ARRAY<STRING>`` (filtered tokens) and ``n_words INT``.
+
+    The tokens are produced by a one-element ``explode`` so they are computed
+    once: as a plain projection, Catalyst would inline the whole regex chain
+    into every later filter on ``n_words`` and tokenize each sentence twice.
+    """
+    cols = [c for c in sentences.columns if c not in ("terms", "n_words")]
+    out = sentences.select(*cols, F.explode(F.array(T.terms("sentence"))).alias("terms"))
+    return out.withColumn("n_words", F.size("terms"))
 
 
 def valid_sentences(sentences: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def docs(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return S.distribute(table(spark, sf_dir, "documents"))
 
 
 def _long(*cols):
@@ -235,7 +235,8 @@ def q_summarize_chunked(spark, sf_dir):
 
 
 def q_summarize_pages(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), T.html_to_text("html").alias("text"))
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "html").repartition("doc_id")
+    pages = pages.select("doc_id", T.html_to_text("html").alias("text"))
     return _summary_rows(S.summarize(pages, 3, 2.0, "default", "clean"))
 
 

@@ -2,12 +2,12 @@
 
 ``summarize`` builds one DataFrame plan for a whole table of documents:
 
-    scan (doc_id, text)                       row-local, no shuffle
+    scan (doc_id, text)                        only the two columns are read
+      -> the ONE exchange: hash on doc_id
       -> split into sentences (posexplode)     row-local
       -> length filter, tokenize, >= 8 words   row-local
-      -> first K valid sentences per document  partial limit, then the ONE
-                                               exchange on doc_id, final limit
-      -> tf (hash agg), df (window), scores (hash agg), pick (window / array)
+      -> first K valid sentences per document  per-document group limit
+      -> tf (agg), df (window), scores (agg), pick (window / array)
                                                all keyed by doc_id: no exchange
 
 Nothing is collected to the driver; per-document arrays are bounded by K.
@@ -23,10 +23,21 @@ from ..functions import text as T
 from ..operators import scoring, selection, sentences, tfidf
 
 
+def distribute(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Hash-distribute the (column-pruned) documents by ``doc_id``.
+
+    This is the plan's only exchange. It spreads the regex work evenly over
+    all tasks whatever the input file layout is (a file with one row group is
+    one scan task), and every later per-document window or aggregate reuses
+    the partitioning. AQE sizes/coalesces the partitions at runtime.
+    """
+    return docs.select("doc_id", text_col).repartition("doc_id")
+
+
 def capped_sentences(docs: DataFrame, cfg: SummaryConfig, text_col: str = "text") -> DataFrame:
     """Split, filter, tokenize and cap: ``(doc_id, seq, sentence, terms,
     n_words, idx, n)``."""
-    sents = sentences.split_sentences(docs.select("doc_id", text_col), cfg.processor, text_col)
+    sents = sentences.split_sentences(distribute(docs, text_col), cfg.processor, text_col)
     return sentences.early_termination(sentences.valid_sentences(sents), cfg.cap)
 
 
@@ -77,14 +88,16 @@ def summary_status(docs: DataFrame, cfg: SummaryConfig | None = None, text_col:
     """Per-document status instead of an exception: ``ok`` or
     ``no_valid_sentences`` (a bad document never fails the job)."""
     cfg = cfg or SummaryConfig()
-    sents = sentences.split_sentences(docs.select("doc_id", text_col), cfg.processor, text_col)
+    docs = distribute(docs, text_col)
+    sents = sentences.split_sentences(docs, cfg.processor, text_col)
     return sentences.sentence_status(docs, sentences.valid_sentences(sents))
 
 
 def rejected_documents(docs: DataFrame, cfg: SummaryConfig | None = None, text_col: str = "text") -> DataFrame:
     """Documents without a single valid sentence (anti-join on ``doc_id``)."""
     cfg = cfg or SummaryConfig()
-    sents = sentences.split_sentences(docs.select("doc_id", text_col), cfg.processor, text_col)
+    docs = distribute(docs, text_col)
+    sents = sentences.split_sentences(docs, cfg.processor, text_col)
     valid_ids = sentences.valid_sentences(sents).select("doc_id")
     return docs.select("doc_id").join(valid_ids, "doc_id", "left_anti")
 
