@@ -47,6 +47,18 @@ def scored_sentences(docs: DataFrame, cfg: SummaryConfig, text_col: str = "text"
     return tfidf.sentence_scores(tfidf.with_idf(tfidf.term_frequency(capped)))
 
 
+def summarize_sentences(sents: DataFrame, cfg: SummaryConfig) -> DataFrame:
+    """Summary rows ``(doc_id, idx, sentence, score)`` from a sentence table
+    ``(doc_id, seq, sentence)`` that is already distributed by ``doc_id``."""
+    capped = sentences.early_termination(sentences.valid_sentences(sents), cfg.cap)
+    scores = tfidf.sentence_scores(tfidf.with_idf(tfidf.term_frequency(capped)))
+    if cfg.algorithm == "default":
+        picked = selection.top_n(scores, cfg.num_sentences, "score_l2")
+    else:
+        picked = selection.diverse_selection(scoring.blended_scores(scores), cfg.num_sentences)
+    return picked.select("doc_id", "idx", "sentence", "score")
+
+
 def summarize(
     docs: DataFrame,
     num_sentences: int = 3,
@@ -61,14 +73,12 @@ def summarize(
     ``algorithm='default'``: top-N by the L2-normalised TF-IDF row sum.
     ``algorithm='diverse'``: blended score (TF-IDF, position, length) and a
     greedy pick that penalises near and similar-length sentences.
+    ``processor``: ``clean`` (squeeze + abbreviation-aware split), ``raw``
+    (plain split) or ``chunked`` (1 MiB slices, each split cleanly).
     """
     cfg = SummaryConfig(num_sentences, early_termination_factor, algorithm, processor)
-    scores = scored_sentences(docs, cfg, text_col)
-    if cfg.algorithm == "default":
-        picked = selection.top_n(scores, cfg.num_sentences, "score_l2")
-    else:
-        picked = selection.diverse_selection(scoring.blended_scores(scores), cfg.num_sentences)
-    return picked.select("doc_id", "idx", "sentence", "score")
+    sents = sentences.split_sentences(distribute(docs, text_col), cfg.processor, text_col)
+    return summarize_sentences(sents, cfg)
 
 
 def summary_records(picked: DataFrame, algorithm: str = "default", processor: str = "clean") -> DataFrame:
