@@ -117,14 +117,29 @@ def early_termination(valid: DataFrame, cap: int) -> DataFrame:
     )
 
 
-def sentence_status(docs: DataFrame, valid: DataFrame) -> DataFrame:
+def sentence_status(docs: DataFrame, processor: str = "clean", text_col: str = "text") -> DataFrame:
     """Per-document status: ``ok`` with the number of valid sentences, or
-    ``no_valid_sentences``. ``valid`` is already keyed by ``doc_id``; the
-    document side contributes only its key column."""
-    counts = valid.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_valid"))
-    out = docs.select("doc_id").join(counts, "doc_id", "left")
-    return out.select(
+    ``no_valid_sentences``.
+
+    Sentences are exploded with ``posexplode_outer`` and validity is a flag,
+    not a filter, so a document without sentences keeps one (null) row and
+    the count per document needs no join back to the documents: a single
+    aggregate on ``doc_id`` over data already distributed by ``doc_id``.
+    """
+    if processor == "chunked":
+        slices = F.transform(
+            T.chunk_starts(text_col, CHUNK_SIZE), lambda i: F.substring(F.col(text_col), i * CHUNK_SIZE + 1, CHUNK_SIZE)
+        )
+        chunks = docs.select("doc_id", F.explode_outer(slices).alias("chunk"))
+        sents = chunks.select("doc_id", F.explode_outer(F.when(~T.is_blank("chunk"), T.split_clean("chunk"))).alias("sentence"))
+    else:
+        arr = T.split_raw(text_col) if processor == "raw" else T.split_clean(text_col)
+        sents = docs.select("doc_id", F.explode_outer(arr).alias("sentence"))
+    in_bounds = F.length("sentence").between(MIN_SENTENCE_LENGTH, MAX_SENTENCE_LENGTH)
+    sents = sents.select("doc_id", F.explode(F.array(F.when(in_bounds, F.size(T.terms("sentence"))))).alias("n_words"))
+    counts = sents.groupBy("doc_id").agg(F.count(F.when(F.col("n_words") >= MIN_WORDS_COUNT, 1)).alias("n_valid"))
+    return counts.select(
         "doc_id",
-        F.when(F.col("n_valid").isNull(), F.lit("no_valid_sentences")).otherwise(F.lit("ok")).alias("status"),
-        F.coalesce(F.col("n_valid"), F.lit(0)).cast("long").alias("n_valid"),
+        F.when(F.col("n_valid") == 0, F.lit("no_valid_sentences")).otherwise(F.lit("ok")).alias("status"),
+        F.col("n_valid").cast("long").alias("n_valid"),
     )

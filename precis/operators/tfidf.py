@@ -125,18 +125,21 @@ def vocabulary_merge(existing: DataFrame, new_terms: DataFrame) -> DataFrame:
 
 def idf_corpus(capped: DataFrame) -> DataFrame:
     """Corpus-scope IDF: ``df`` = documents holding the term, ``n`` = documents
-    with at least one kept sentence.
+    with at least one kept sentence, ``idf = ln((1+n)/(1+df)) + 1``.
 
     Terms are de-duplicated per document first (no exchange: already keyed by
     ``doc_id``), then counted per term with a map-side partial aggregate, so a
-    hot term sends one row per map task, not one per occurrence. ``n`` is a
-    scalar subquery (one value), never a cross join.
+    hot term sends one row per map task, not one per occurrence. Every
+    document also contributes one empty-string term (never a real term), so
+    its count is ``n``. The scalar subquery reads that row through an
+    aggregate over the same per-term table, and the sentinel row is dropped
+    by a condition on the computed ``idf``; neither condition can move below
+    the per-term aggregate, so the subquery reuses its exchange instead of
+    recomputing the documents. No cross join, no driver round trip.
     """
-    doc_terms = capped.select("doc_id", F.explode("terms").alias("term")).distinct()
-    df = doc_terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n_docs = capped.select(F.count_distinct("doc_id")).scalar()
-    return df.select(
-        "term",
-        F.col("df").cast("long").alias("df"),
-        (F.log((n_docs + 1) / (F.col("df") + 1)) + 1).alias("idf"),
-    )
+    doc_terms = capped.select("doc_id", F.explode(F.concat(F.array(F.lit("")), "terms")).alias("term")).distinct()
+    per_term = doc_terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n_docs = per_term.agg(F.max(F.when(F.col("term") == "", F.col("df")))).scalar()
+    idf = F.when(F.col("term") != "", F.log((n_docs + 1) / (F.col("df") + 1)) + 1)
+    out = per_term.select("term", F.col("df").cast("long").alias("df"), idf.alias("idf"))
+    return out.where(F.col("idf").isNotNull())

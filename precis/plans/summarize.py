@@ -95,21 +95,17 @@ def summary_records(picked: DataFrame, algorithm: str = "default", processor: st
 
 
 def summary_status(docs: DataFrame, cfg: SummaryConfig | None = None, text_col: str = "text") -> DataFrame:
-    """Per-document status instead of an exception: ``ok`` or
-    ``no_valid_sentences`` (a bad document never fails the job)."""
+    """Per-document status instead of an exception: ``(doc_id, status,
+    n_valid)`` with ``ok`` or ``no_valid_sentences`` (a bad document never
+    fails the job). One exchange, no join back to the documents."""
     cfg = cfg or SummaryConfig()
-    docs = distribute(docs, text_col)
-    sents = sentences.split_sentences(docs, cfg.processor, text_col)
-    return sentences.sentence_status(docs, sentences.valid_sentences(sents))
+    return sentences.sentence_status(distribute(docs, text_col), cfg.processor, text_col)
 
 
 def rejected_documents(docs: DataFrame, cfg: SummaryConfig | None = None, text_col: str = "text") -> DataFrame:
-    """Documents without a single valid sentence (anti-join on ``doc_id``)."""
-    cfg = cfg or SummaryConfig()
-    docs = distribute(docs, text_col)
-    sents = sentences.split_sentences(docs, cfg.processor, text_col)
-    valid_ids = sentences.valid_sentences(sents).select("doc_id")
-    return docs.select("doc_id").join(valid_ids, "doc_id", "left_anti")
+    """Documents without a single valid sentence: ``(doc_id)``."""
+    st = summary_status(docs, cfg, text_col)
+    return st.where(F.col("status") == "no_valid_sentences").select("doc_id")
 
 
 def assemble_text(parts: DataFrame, key: str, order: str, text_col: str = "text") -> DataFrame:
