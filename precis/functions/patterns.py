@@ -16,6 +16,13 @@ WS_CLASS = (
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 )
 WS = f"[{WS_CLASS}]"
+# The same set as a plain string, built from the ranges above (for translate).
+WS_CHARS = "".join(
+    chr(c)
+    for lo, hi in ((0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A),
+                   (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
+    for c in range(lo, hi + 1)
+)
 NOT_WS = f"[^{WS_CLASS}]"
 
 # Sentinels: U+0001 marks a sentence break, U+0002 a protected space.
@@ -24,14 +31,19 @@ GUARD = "\u0002"
 
 # --- clean splitter -----------------------------------------------------------
 _abbrev = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
-# An abbreviation or a single-letter initial followed by a space: not a break.
-GUARD_ABBREV = rf"(^|[ (])((?:{_abbrev}|\p{{L}})\.) "
-# A number ending in a period followed by a lower-case word: not a break.
-GUARD_NUMBER = r"(^|[ (])(\p{Nd}[\p{Nd}.,-]*\.) (\p{Ll})"
-# Sentence end (., ! or ? runs, optional closing quotes/brackets) before a space.
-BREAK_AT_SPACE = r"""([.!?]+["')\]}]*) """
-# Sentence end directly followed by punctuation that cannot be inside a word.
-BREAK_AT_PUNCT = r"([.!?]+)([;:@*({\[])"
+# Not a break: an abbreviation or single-letter initial followed by a space, or
+# a number ending in a period followed by a space and a lower-case word. The
+# pattern starts at the period (a cheap literal test) and looks behind for the
+# word, without consuming the boundary before it, so chains ("A. B. C.") are
+# all kept. Replaced by ".<GUARD>".
+GUARDS = (
+    rf"\.(?:(?<=(?:^|[ (])(?:{_abbrev}|\p{{L}})\.)"
+    rf"|(?<=(?:^|[ (])\p{{Nd}}[\p{{Nd}}.,-]{{0,64}}\.)(?= \p{{Ll}})) "
+)
+# A sentence end: a run of . ! ? with optional closing quotes/brackets before a
+# space (the space is replaced), or directly before punctuation that cannot
+# be inside a word.
+BREAKS = r"""([.!?]+)(?:(["')\]}]*) |(?=[;:@*({\[]))"""
 # Re-split of long pieces: after ., ! or ? followed by white space.
 RESPLIT = r"(?<=[.!?]) +"
 
@@ -46,15 +58,40 @@ INNER_PERIOD = r"([^.])\.([!?]*[;:@*({\[])"
 COMMA_COLON = r"[:,]([^\p{Nd}])"
 COMMA_COLON_END = r"[:,]$"
 SEPARATORS = rf"""(?:[{WS_CLASS};@#$%&?!*()\[\]{{}}<>"«“‘„»”’`]|''|\.\.+|--)+"""
+# Single characters a Treebank-style tokenizer always splits off (fixed values),
+# mapped to spaces with translate; the multi-character ones need a regex.
+SEPARATOR_CHARS = ';@#$%&?!*()[]{}<>"«“‘„»”’`'
+MULTI_SEPARATORS = r"(?:\.\.+|--|'')+"
 CLITICS = r"([^' ])('s|'m|'d|'ll|'re|'ve|n't|') "
 CONTRACTIONS = (
     r"(?<![\p{L}\p{N}_])(can(?=not(?![\p{L}\p{N}_]))|gim(?=me(?![\p{L}\p{N}_]))"
     r"|lem(?=me(?![\p{L}\p{N}_]))|gon(?=na(?![\p{L}\p{N}_]))"
     r"|got(?=ta(?![\p{L}\p{N}_]))|wan(?=na ))"
 )
-_stops = "|".join(sorted(STOP_WORDS, key=lambda w: (-len(w), w)))
+
+
+def _trie_pattern(words) -> str:
+    """Alternation of ``words`` shaped as a prefix tree, so a token start
+    tests a few branches instead of every word."""
+    root: dict = {}
+    for w in words:
+        node = root
+        for ch in w:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def emit(node) -> str:
+        alts = [ch + emit(node[ch]) for ch in sorted(k for k in node if k)]
+        if not alts:
+            return ""
+        body = alts[0] if len(alts) == 1 else "(?:" + "|".join(alts) + ")"
+        return f"(?:{body})?" if "" in node else body
+
+    return emit(root)
+
+
 # A whole space-delimited token made of letters/digits only, not a stop word.
-KEPT_TERM = rf"(?<= )(?!(?:{_stops}) )[\p{{L}}\p{{N}}]+(?= )"
+KEPT_TERM = rf"(?<= )(?!{_trie_pattern(STOP_WORDS)} )[\p{{L}}\p{{N}}]+(?= )"
 
 # --- sentence validity ------------------------------------------------------------
 HAS_LETTER = r"\p{L}"

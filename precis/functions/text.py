@@ -19,9 +19,14 @@ def _col(c) -> Column:
 
 
 # --- whitespace -------------------------------------------------------------------
+def _spaces(n: int) -> str:
+    return " " * n
+
+
 def squeeze_whitespace(c) -> Column:
     """Collapse every white-space run to one space and strip both ends."""
-    return F.trim(F.regexp_replace(_col(c), P.WS + "+", " "))
+    t = F.translate(_col(c), P.WS_CHARS, _spaces(len(P.WS_CHARS)))
+    return F.trim(F.regexp_replace(t, "  +", " "))
 
 
 def strip_whitespace(c) -> Column:
@@ -54,11 +59,8 @@ def mark_breaks(c) -> Column:
     Abbreviations, initials and numbers followed by a lower-case word keep
     their space (protected as ``U+0002``) so they do not end a sentence.
     """
-    t = squeeze_whitespace(c)
-    t = F.regexp_replace(t, P.GUARD_ABBREV, "$1$2" + P.GUARD)
-    t = F.regexp_replace(t, P.GUARD_NUMBER, "$1$2" + P.GUARD + "$3")
-    t = F.regexp_replace(t, P.BREAK_AT_SPACE, "$1" + P.BREAK)
-    return F.regexp_replace(t, P.BREAK_AT_PUNCT, "$1" + P.BREAK + "$2")
+    t = F.regexp_replace(squeeze_whitespace(c), P.GUARDS, "." + P.GUARD)
+    return F.regexp_replace(t, P.BREAKS, "$1$2" + P.BREAK)
 
 
 def split_clean(c) -> Column:
@@ -96,15 +98,18 @@ def normalize_tokens(c) -> Column:
     """Lower-case and space out punctuation the way a Treebank-style word
     tokenizer does; the result is padded with one space on each side."""
     t = F.lower(_col(c))
-    t = F.regexp_replace(t, P.OPENING_QUOTE, "' $1")
     t = F.regexp_replace(t, P.FINAL_PERIOD, "$1 $2")
     t = F.regexp_replace(t, P.INNER_PERIOD, "$1 $2")
     t = F.regexp_replace(t, P.COMMA_COLON, " $1")
     t = F.regexp_replace(t, P.COMMA_COLON_END, " ")
-    t = F.regexp_replace(t, P.SEPARATORS, " ")
+    seps = P.SEPARATOR_CHARS + P.WS_CHARS
+    t = F.regexp_replace(F.translate(t, seps, _spaces(len(seps))), P.MULTI_SEPARATORS, " ")
     t = F.concat(F.lit(" "), t, F.lit(" "))
-    t = F.regexp_replace(t, P.CLITICS, "$1 $2 ")
-    return F.regexp_replace(t, P.CONTRACTIONS, "$1 ")
+    # Rare rules run only on sentences that can match them (a cheap substring test).
+    quoted = F.regexp_replace(F.regexp_replace(t, P.OPENING_QUOTE, "' $1"), P.CLITICS, "$1 $2 ")
+    t = F.when(t.contains("'"), quoted).otherwise(t)
+    maybe = t.contains("nnot") | t.contains("mme") | t.contains("nna") | t.contains("tta")
+    return F.when(maybe, F.regexp_replace(t, P.CONTRACTIONS, "$1 ")).otherwise(t)
 
 
 def terms(c) -> Column:

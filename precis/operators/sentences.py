@@ -84,12 +84,15 @@ def length_filter(sentences: DataFrame) -> DataFrame:
 def with_terms(sentences: DataFrame) -> DataFrame:
     """Add ``terms ARRAY<STRING>`` (filtered tokens) and ``n_words INT``.
 
-    The tokens are produced by a one-element ``explode`` so they are computed
-    once: as a plain projection, Catalyst would inline the whole regex chain
-    into every later filter on ``n_words`` and tokenize each sentence twice.
+    Tokens are computed in a projection (where shared sub-expressions of the
+    tokenizer are evaluated once) and then passed through a one-element
+    ``explode``: a later filter on ``n_words`` refers to the generator output
+    and cannot be pushed below it, so Catalyst does not inline the whole regex
+    chain into that filter and tokenize each sentence twice.
     """
     cols = [c for c in sentences.columns if c not in ("terms", "n_words")]
-    out = sentences.select(*cols, F.explode(F.array(T.terms("sentence"))).alias("terms"))
+    staged = sentences.select(*cols, T.terms("sentence").alias("_terms"))
+    out = staged.select(*cols, F.explode(F.array("_terms")).alias("terms"))
     return out.withColumn("n_words", F.size("terms"))
 
 
@@ -136,7 +139,7 @@ def sentence_status(docs: DataFrame, processor: str = "clean", text_col: str = "
         arr = T.split_raw(text_col) if processor == "raw" else T.split_clean(text_col)
         sents = docs.select("doc_id", F.explode_outer(arr).alias("sentence"))
     in_bounds = F.length("sentence").between(MIN_SENTENCE_LENGTH, MAX_SENTENCE_LENGTH)
-    sents = sents.select("doc_id", F.explode(F.array(F.when(in_bounds, F.size(T.terms("sentence"))))).alias("n_words"))
+    sents = sents.select("doc_id", F.when(in_bounds, F.size(T.terms("sentence"))).alias("n_words"))
     counts = sents.groupBy("doc_id").agg(F.count(F.when(F.col("n_words") >= MIN_WORDS_COUNT, 1)).alias("n_valid"))
     return counts.select(
         "doc_id",

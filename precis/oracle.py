@@ -40,8 +40,11 @@ def strip_ws(expr: str) -> str:
 def clean_split(expr: str) -> str:
     abbrev = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
     t = squeeze(expr)
-    t = rr(t, rf"(^|[ (])((?:{abbrev}|\pL)\.) ", r"'\1\2' || chr(2)")
-    t = rr(t, r"(^|[ (])(\p{Nd}[\p{Nd}.,-]*\.) (\p{Ll})", r"'\1\2' || chr(2) || '\3'")
+    # guards twice: a boundary consumed by one guard is a protected space for the next
+    for _ in range(2):
+        t = rr(t, rf"(^|[ (\x{{02}}])((?:{abbrev}|\pL)\.) ", r"'\1\2' || chr(2)")
+    for _ in range(2):
+        t = rr(t, r"(^|[ (\x{02}])(\p{Nd}[\p{Nd}.,-]*\.) (\p{Ll})", r"'\1\2' || chr(2) || '\3'")
     t = rr(t, r"""([.!?]+["')\]}]*) """, r"'\1' || chr(1)")
     t = rr(t, r"([.!?]+)([;:@*({\[])", r"'\1' || chr(1) || '\2'")
     pieces = f"list_transform(string_split({t}, chr(1)), lambda p: replace(p, chr(2), ' '))"
