@@ -139,7 +139,10 @@ def sentence_status(docs: DataFrame, processor: str = "clean", text_col: str = "
         arr = T.split_raw(text_col) if processor == "raw" else T.split_clean(text_col)
         sents = docs.select("doc_id", F.explode_outer(arr).alias("sentence"))
     in_bounds = F.length("sentence").between(MIN_SENTENCE_LENGTH, MAX_SENTENCE_LENGTH)
-    sents = sents.select("doc_id", F.when(in_bounds, F.size(T.terms("sentence"))).alias("n_words"))
+    # Out-of-bounds sentences are tokenized as "" (no words): the tokenizer stays
+    # unconditional, so its shared sub-expressions are evaluated once.
+    candidate = F.when(in_bounds, F.col("sentence")).otherwise(F.lit(""))
+    sents = sents.select("doc_id", F.size(T.terms(candidate)).alias("n_words"))
     counts = sents.groupBy("doc_id").agg(F.count(F.when(F.col("n_words") >= MIN_WORDS_COUNT, 1)).alias("n_valid"))
     return counts.select(
         "doc_id",
