@@ -52,6 +52,11 @@ ABBREVIATIONS = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Sr", "Jr", "St", "vs", "etc",
 
 ALGORITHMS = ("default", "diverse")
 PROCESSORS = ("clean", "raw", "chunked")
+# Parameter values accepted for compatibility with the request API being matched
+# (fixed values): algorithm "dask" is the diverse algorithm; processor "default"
+# is the clean splitter and "dask" the chunked one.
+ALGORITHM_ALIASES = {"dask": "diverse"}
+PROCESSOR_ALIASES = {"default": "clean", "dask": "chunked"}
 
 
 def termination_cap(num_sentences: int, early_termination_factor: float) -> int:
@@ -71,6 +76,8 @@ class SummaryConfig:
     processor: str = "clean"
 
     def __post_init__(self) -> None:
+        object.__setattr__(self, "algorithm", ALGORITHM_ALIASES.get(self.algorithm, self.algorithm))
+        object.__setattr__(self, "processor", PROCESSOR_ALIASES.get(self.processor, self.processor))
         if isinstance(self.num_sentences, bool) or not isinstance(self.num_sentences, int):
             raise ValueError("num_sentences must be an integer")
         if self.num_sentences <= 0:

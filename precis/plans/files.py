@@ -25,9 +25,10 @@ def summarize_files(
     ``processor='clean'``: txt/md are split plainly, EPUB text cleanly;
     ``processor='chunked'``: every text is cut into 1 MiB slices first.
     """
+    cfg = SummaryConfig(num_sentences, early_termination_factor, algorithm, processor)
+    algorithm, processor = cfg.algorithm, cfg.processor
     if processor not in ("clean", "chunked"):
         raise ValueError("processor must be 'clean' or 'chunked' for files")
-    cfg = SummaryConfig(num_sentences, early_termination_factor, algorithm, processor)
     docs = file_documents(read_files(spark, path), processor).repartition("doc_id")
     picked = summarize_sentences(file_sentences(docs, processor), cfg)
     records = summary_records(picked, algorithm, processor)

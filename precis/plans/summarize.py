@@ -81,6 +81,30 @@ def summarize(
     return summarize_sentences(sents, cfg)
 
 
+def summarize_request(
+    spark,
+    text: str | None = None,
+    path: str | None = None,
+    num_sentences: int = 3,
+    early_termination_factor: float = 2.0,
+    algorithm: str = "default",
+    processor: str = "clean",
+) -> DataFrame:
+    """One request: exactly one of ``text`` (a string) or ``path`` (a file or a
+    folder of txt/md/epub files). Returns summary records; parameters are
+    validated before any job runs."""
+    if (text is None) == (path is None):
+        raise ValueError("provide either a file path or text, not both")
+    cfg = SummaryConfig(num_sentences, early_termination_factor, algorithm, processor)
+    if path is not None:
+        from .files import summarize_files
+
+        return summarize_files(spark, path, cfg.num_sentences, cfg.early_termination_factor, cfg.algorithm, cfg.processor)
+    docs = spark.createDataFrame([(0, text)], "doc_id long, text string")
+    picked = summarize(docs, cfg.num_sentences, cfg.early_termination_factor, cfg.algorithm, cfg.processor)
+    return summary_records(picked, cfg.algorithm, cfg.processor)
+
+
 def summary_records(picked: DataFrame, algorithm: str = "default", processor: str = "clean") -> DataFrame:
     """Result records ``(doc_id, summary ARRAY<STRING>, method, processor)``:
     the picked sentences of a document in reading order (at most N per
@@ -108,9 +132,13 @@ def rejected_documents(docs: DataFrame, cfg: SummaryConfig | None = None, text_c
     return st.where(F.col("status") == "no_valid_sentences").select("doc_id")
 
 
-def assemble_text(parts: DataFrame, key: str, order: str, text_col: str = "text") -> DataFrame:
-    """Join the parts of a document in ``order`` with one space, skipping blank
-    parts: ``(key, text)``. Used for EPUB items and conversation turns."""
-    kept = parts.where(F.col(text_col).isNotNull() & ~T.is_blank(text_col))
+def assemble_text(parts: DataFrame, key: str, order: str, text_col: str = "text", skip_blank: bool = True) -> DataFrame:
+    """Join the parts of a document in ``order`` with one space: ``(key,
+    text)``. Blank parts are skipped unless ``skip_blank=False`` (a list of
+    strings given as one input keeps them). Used for EPUB items and
+    conversation turns."""
+    kept = parts.where(F.col(text_col).isNotNull())
+    if skip_blank:
+        kept = kept.where(~T.is_blank(text_col))
     ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text_col).alias("t"))))
     return kept.groupBy(key).agg(F.concat_ws(" ", F.transform(ordered, lambda x: x["t"])).alias(text_col))

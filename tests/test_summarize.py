@@ -154,3 +154,27 @@ def test_score_column_types(fixture_docs):
     out = summarize(fixture_docs)
     assert dict(out.dtypes) == {"doc_id": "bigint", "idx": "int", "sentence": "string", "score": "double"}
     assert out.where(F.col("score").isNull()).count() == 0
+
+
+def test_reference_parameter_names_are_accepted(fixture_docs):
+    assert SummaryConfig(3, 2.0, "dask", "dask") == SummaryConfig(3, 2.0, "diverse", "chunked")
+    assert SummaryConfig(3, 2.0, "default", "default").processor == "clean"
+    assert picks(summarize(fixture_docs, 2, algorithm="dask", processor="dask")) == picks(
+        summarize(fixture_docs, 2, algorithm="diverse")
+    )
+
+
+def test_single_request(spark, tmp_path):
+    from precis.plans.summarize import summarize_request
+
+    rec = summarize_request(spark, text=" ".join(VALID), num_sentences=2).first()
+    assert rec.summary == [VALID[0], VALID[3]]
+    (tmp_path / "a.md").write_text(" ".join(AI))
+    rec = summarize_request(spark, path=str(tmp_path / "a.md"), num_sentences=2, algorithm="dask", processor="dask").first()
+    assert rec.summary == [AI[0], AI[3]] and rec.status == "ok"
+    with pytest.raises(ValueError):
+        summarize_request(spark)
+    with pytest.raises(ValueError):
+        summarize_request(spark, text="x", path=str(tmp_path))
+    with pytest.raises(ValueError):
+        summarize_request(spark, text="x", num_sentences=0)
