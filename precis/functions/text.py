@@ -73,7 +73,7 @@ def split_clean(c) -> Column:
         p = F.translate(p, P.GUARD, " ")
         return F.when(F.length(p) > LONG_SENTENCE_RESPLIT, F.split(p, P.RESPLIT)).otherwise(F.array(p))
 
-    sentences = F.transform(F.flatten(F.transform(pieces, resplit)), F.trim)
+    sentences = F.transform(F.flatten(F.transform(pieces, resplit)), lambda s: F.trim(s))
     return F.filter(sentences, is_valid_sentence)
 
 

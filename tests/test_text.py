@@ -99,3 +99,12 @@ def test_preprocess_and_squeeze(spark):
     assert one(spark, T.preprocess_text, "Hello, World! It's 3.5%") == "hello world its 35"
     assert one(spark, T.squeeze_whitespace, "  a \n\t b  ") == "a b"
     assert one(spark, lambda c: F.array_join(T.split_raw(c), "|"), "A b. C d!  ") == "A b.|C d!"
+
+
+def test_clean_split_keeps_digits_at_sentence_edges(spark):
+    # regression: a sentence's index must never be used as trim characters
+    assert one(spark, T.split_clean, "Zero words here okay. 1 apple and pears 1 Next one 11.") == [
+        "Zero words here okay.",
+        "1 apple and pears 1 Next one 11.",
+    ]
+    assert one(spark, T.split_clean, "word    10,000") == ["word 10,000"]
