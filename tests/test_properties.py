@@ -7,12 +7,10 @@ from __future__ import annotations
 import regex
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
-from precis.config import ABBREVIATIONS, STOP_WORDS
+from precis.config import ABBREVIATIONS, STOP_WORDS, SummaryConfig
 from precis.functions import text as T
 from precis.plans.summarize import scored_sentences, summarize
-from precis.config import SummaryConfig
 
 WS = r"[\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 STOPS = set(STOP_WORDS)
@@ -109,4 +107,53 @@ def test_summary_invariants(spark, docs, n, algorithm):
     if algorithm == "diverse":
         assert all(0.0 <= r.score <= 1.0 for r in out)
     assert set(picked) == set(per_doc)
-    assert F is not None
+
+
+def spec_raw_split(text: str) -> list[str]:
+    import re
+
+    pieces = re.split(r"(?<=[.!?])\s+", text)
+    out = [p for p in pieces[:-1] if p.strip()]
+    if pieces[-1].strip():
+        out.append(pieces[-1].strip())
+    return out
+
+
+@SETTINGS
+@given(st.lists(words, min_size=200, max_size=200))
+def test_raw_split_matches_python_split(spark, texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string")
+    got = {r.i: list(r.t) for r in df.select("i", T.split_raw("s").alias("t")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == spec_raw_split(t), t
+
+
+def test_html_matches_stdlib_parser(spark):
+    from html.parser import HTMLParser
+
+    class Text(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.parts, self.skip = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.skip += tag in ("script", "style")
+
+        def handle_endtag(self, tag):
+            self.skip -= tag in ("script", "style") and self.skip > 0
+
+        def handle_data(self, data):
+            if not self.skip and data.strip():
+                self.parts.append(data.strip())
+
+    def squeeze(s):
+        return " ".join(s.split())
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    rows = pages.select("page_id", "html", T.html_to_text("html").alias("t")).collect()
+    assert rows
+    for r in rows:
+        p = Text()
+        p.feed(r.html)
+        p.close()
+        assert r.t == squeeze(" ".join(p.parts)), r.page_id
