@@ -51,13 +51,11 @@ RESPLIT = r"(?<=[.!?]) +"
 RAW_SPLIT = rf"(?<=[.!?]){WS}+"
 
 # --- word tokenizer -------------------------------------------------------------
-WORD_CHAR = r"[\p{L}\p{N}_]"
 OPENING_QUOTE = r"'(?!re|ve|ll|m|t|s|d|n)([\p{L}\p{N}_])(?![\p{L}\p{N}_])"
 FINAL_PERIOD = rf"""([^.])\.([\])}}>"'»”’]*){WS}*$"""
 INNER_PERIOD = r"([^.])\.([!?]*[;:@*({\[])"
 COMMA_COLON = r"[:,]([^\p{Nd}])"
 COMMA_COLON_END = r"[:,]$"
-SEPARATORS = rf"""(?:[{WS_CLASS};@#$%&?!*()\[\]{{}}<>"«“‘„»”’`]|''|\.\.+|--)+"""
 # Single characters a Treebank-style tokenizer always splits off (fixed values),
 # mapped to spaces with translate; the multi-character ones need a regex.
 SEPARATOR_CHARS = ';@#$%&?!*()[]{}<>"«“‘„»”’`'

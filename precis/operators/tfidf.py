@@ -27,7 +27,9 @@ def term_rows(capped: DataFrame) -> DataFrame:
 def term_frequency(capped: DataFrame) -> DataFrame:
     """``tf`` = occurrences of a term in a sentence (partial + final hash
     aggregate). Also keeps the first token position of the term."""
-    return term_rows(capped).groupBy("doc_id", "idx", "term").agg(
+    # Grouping keys in this order: the sort the aggregate needs also serves the
+    # document-frequency window over (doc_id, term), so that window adds no sort.
+    return term_rows(capped).groupBy("doc_id", "term", "idx").agg(
         F.count(F.lit(1)).cast("int").alias("tf"),
         F.min("tok_pos").cast("int").alias("first_pos"),
         F.max("n").alias("n"),
