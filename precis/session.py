@@ -45,8 +45,9 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, app: s
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's checkpoint folder (``spark.checkpoint.dir``).
 
-    On a cluster this must be a shared folder and is read from the session. A
-    local folder is set only when none is configured (tests, local runs).
+    On a cluster this must be a shared folder and is read from the session; it
+    is an error to leave it unset there. A local folder is created only for a
+    ``local[...]`` master (tests, local runs) when none is configured.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -54,6 +55,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder (it is not set for this cluster)")
         configured = tempfile.mkdtemp(prefix="precis-ckpt-", dir="/tmp")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
