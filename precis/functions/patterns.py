@@ -28,6 +28,7 @@ NOT_WS = f"[^{WS_CLASS}]"
 # Sentinels: U+0001 marks a sentence break, U+0002 a protected space.
 BREAK = "\u0001"
 GUARD = "\u0002"
+END = "\u0003"  # marks the end of a text in the raw splitter
 
 # --- clean splitter -----------------------------------------------------------
 _abbrev = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)

@@ -43,14 +43,17 @@ def is_blank(c) -> Column:
 def split_raw(c) -> Column:
     """Plain split after ``.``, ``!`` or ``?`` plus white space.
 
-    Pieces keep their inner white space; blank pieces are dropped; only the last
-    piece is stripped (that is where the trailing buffer is flushed).
+    Pieces keep their white space and blank pieces are dropped; only the last
+    piece (possibly empty when the text ends with a sentence end) is stripped.
+    The last piece is recognised by an end-of-text mark, so the split is
+    evaluated once.
     """
-    text = F.regexp_replace(_col(c), f"{P.WS}+$", "")
-    pieces = F.split(text, P.RAW_SPLIT)
-    # A single piece is the whole text and gets stripped on the left too.
-    pieces = F.when(F.size(pieces) == 1, F.array(strip_whitespace(F.element_at(pieces, 1)))).otherwise(pieces)
-    return F.filter(pieces, lambda s: s.rlike(P.NOT_WS))
+    pieces = F.split(F.concat(_col(c), F.lit(P.END)), P.RAW_SPLIT)
+
+    def finish(p: Column) -> Column:
+        return F.when(p.endswith(P.END), strip_whitespace(F.replace(p, F.lit(P.END), F.lit("")))).otherwise(p)
+
+    return F.filter(F.transform(pieces, finish), lambda s: s.rlike(P.NOT_WS))
 
 
 def mark_breaks(c) -> Column:
@@ -90,7 +93,8 @@ def split_abbrev(c) -> Column:
     """Split with the abbreviation-aware look-around pattern
     ``(?<!\\w\\.\\w.)(?![A-Z][a-z]\\.)(?<=\\.|\\?|\\!)\\s`` (defined by the
     reference's text utilities but not used by its pipeline)."""
-    return F.split(_col(c), r"(?<!\w\.\w.)(?![A-Z][a-z]\.)(?<=\.|\?|\!)" + P.WS)
+    w = r"[\p{L}\p{N}_]"  # a Unicode word character (Java's \w is ASCII-only)
+    return F.split(_col(c), rf"(?<!{w}\.{w}.)(?![A-Z][a-z]\.)(?<=\.|\?|\!)" + P.WS)
 
 
 # --- word tokens --------------------------------------------------------------------

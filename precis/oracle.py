@@ -57,14 +57,14 @@ def clean_split(expr: str) -> str:
 
 
 def raw_pieces(expr: str) -> str:
-    t = rr(expr, f"{WS}+$", "''")
+    t = f"({expr} || chr(3))"  # end-of-text mark: the last piece is the one ending with it
     return f"string_split({rr(t, f'([.!?]){WS}+', chr(39) + r'\1' + chr(39) + ' || chr(1)')}, chr(1))"
 
 
 def raw_split(pieces: str) -> str:
     """``pieces`` is a column holding :func:`raw_pieces`."""
-    one = f"CASE WHEN len({pieces}) = 1 THEN [{strip_ws(pieces + '[1]')}] ELSE {pieces} END"
-    return f"list_filter({one}, lambda s: regexp_matches(s, {q(NOT_WS)}))"
+    last = f"lambda p: CASE WHEN ends_with(p, chr(3)) THEN {strip_ws('replace(p, chr(3), ' + chr(39) + chr(39) + ')')} ELSE p END"
+    return f"list_filter(list_transform({pieces}, {last}), lambda s: regexp_matches(s, {q(NOT_WS)}))"
 
 
 def normalize_tokens(expr: str) -> str:

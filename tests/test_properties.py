@@ -157,3 +157,18 @@ def test_html_matches_stdlib_parser(spark):
         p.feed(r.html)
         p.close()
         assert r.t == squeeze(" ".join(p.parts)), r.page_id
+
+
+def spec_abbrev_split(text: str) -> list[str]:
+    pieces = regex.split(r"(?<!\w\.\w.)(?![A-Z][a-z]\.)(?<=\.|\?|\!)\s", text)
+    return [p for p in pieces if p.strip()]
+
+
+@SETTINGS
+@given(st.lists(words, min_size=200, max_size=200))
+def test_abbrev_split_matches_python_pattern(spark, texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string")
+    arr = T.split_abbrev("s")
+    got = {r.i: [p for p in r.t if p.strip()] for r in df.select("i", arr.alias("t")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == spec_abbrev_split(t), t
