@@ -23,7 +23,9 @@ RECOMMENDED_CONF = {
 }
 
 
-def build_session(master: str | None = None, shuffle_partitions: int = 8, app: str = "precis") -> SparkSession:
+def build_session(
+    master: str | None = None, shuffle_partitions: int = 8, app: str = "precis", extra_conf: dict | None = None
+) -> SparkSession:
     """Local session for tests and the benchmark (the UI stays off)."""
     cpus = os.environ.get("BENCH_CPUS", "8")
     builder = (
@@ -34,7 +36,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, app: s
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "16g")
     )
-    for k, v in RECOMMENDED_CONF.items():
+    for k, v in {**RECOMMENDED_CONF, **(extra_conf or {})}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
