@@ -106,9 +106,11 @@ def early_termination(valid: DataFrame, cap: int) -> DataFrame:
 
     Adds ``idx`` (0-based rank among valid sentences) and ``n`` (sentences kept
     in the document). The filter is written as ``rn <= cap`` right on the
-    ``row_number`` so Catalyst plans a partial per-document limit before the
-    shuffle and a final one after it: at most ``cap`` rows per document (per
-    map task) are shuffled, however long the document is.
+    ``row_number`` so Catalyst plans it as a per-document group limit
+    (``WindowGroupLimit``): rows past the cap are dropped before the window is
+    computed. On input not yet distributed by ``doc_id`` the limit also runs
+    partially before the shuffle, so at most ``cap`` rows per document and map
+    task are shuffled, however long the document is.
     """
     by_doc = Window.partitionBy("doc_id")
     ordered = by_doc.orderBy("seq")
@@ -124,7 +126,7 @@ def sentence_status(docs: DataFrame, processor: str = "clean", text_col: str = "
     """Per-document status: ``ok`` with the number of valid sentences, or
     ``no_valid_sentences``.
 
-    Sentences are exploded with ``posexplode_outer`` and validity is a flag,
+    Sentences are exploded with ``explode_outer`` and validity is a flag,
     not a filter, so a document without sentences keeps one (null) row and
     the count per document needs no join back to the documents: a single
     aggregate on ``doc_id`` over data already distributed by ``doc_id``.
