@@ -172,3 +172,21 @@ def test_abbrev_split_matches_python_pattern(spark, texts):
     got = {r.i: [p for p in r.t if p.strip()] for r in df.select("i", arr.alias("t")).collect()}
     for i, t in enumerate(texts):
         assert got[i] == spec_abbrev_split(t), t
+
+
+@SETTINGS
+@given(st.lists(words, min_size=100, max_size=100), st.integers(7, 60))
+def test_chunked_matches_sliced_clean_split(spark, texts, size):
+    from precis.operators.sentences import sentences_chunked
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in sentences_chunked(df, size).orderBy("doc_id", "seq").collect():
+        got.setdefault(r.doc_id, []).append(r.sentence)
+    for i, t in enumerate(texts):
+        want = []
+        for k in range(0, len(t), size):
+            chunk = t[k : k + size]
+            if chunk.strip():
+                want.extend(spec_clean_split(chunk))
+        assert got.get(i, []) == want, (size, t)
