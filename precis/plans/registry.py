@@ -241,8 +241,10 @@ def q_summarize_pages(spark, sf_dir):
 
 
 def q_summarize_conversations(spark, sf_dir):
-    conv = S.assemble_text(table(spark, sf_dir, "conversations"), "conv_id", "turn")
-    return _summary_rows(S.summarize(conv.withColumnRenamed("conv_id", "doc_id"), 3, 2.0, "diverse", "clean"))
+    """Conversations summarized as their turns joined by a space, computed from
+    the turns (no conversation is built as one row)."""
+    conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return _summary_rows(S.summarize_parts(conv, "conv_id", "turn", 3, 2.0, "diverse"))
 
 
 def q_summary_status(spark, sf_dir):

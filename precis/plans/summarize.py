@@ -81,6 +81,26 @@ def summarize(
     return summarize_sentences(sents, cfg)
 
 
+def summarize_parts(
+    parts: DataFrame,
+    key: str,
+    order: str,
+    num_sentences: int = 3,
+    early_termination_factor: float = 2.0,
+    algorithm: str = "default",
+    text_col: str = "text",
+) -> DataFrame:
+    """Summaries of documents given as ordered parts (conversation turns):
+    the same result as summarizing the parts joined by one space with the
+    clean processor, without building the joined document, so a document
+    with a huge number of parts never sits in one task. Rows
+    ``(doc_id, idx, sentence, score)`` with ``doc_id`` = ``key``."""
+    from ..operators.stitch import stitched_sentences
+
+    cfg = SummaryConfig(num_sentences, early_termination_factor, algorithm, "clean")
+    return summarize_sentences(stitched_sentences(parts, key, order, text_col), cfg)
+
+
 def summarize_request(
     spark,
     text: str | None = None,

@@ -190,3 +190,33 @@ def test_chunked_matches_sliced_clean_split(spark, texts, size):
             if chunk.strip():
                 want.extend(spec_clean_split(chunk))
         assert got.get(i, []) == want, (size, t)
+
+
+parts_strategy = st.lists(st.lists(words, min_size=1, max_size=10), min_size=40, max_size=40)
+
+
+@SETTINGS
+@given(parts_strategy, st.sampled_from([2, 4096]))
+def test_stitched_sentences_match_joined_document(spark, docs, block):
+    from precis.operators.stitch import stitched_sentences
+
+    rows = [(d, 3 * o + (d % 3), t) for d, parts in enumerate(docs) for o, t in enumerate(parts)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    got = {}
+    for r in stitched_sentences(df, "conv_id", "turn", block=block).collect():
+        got.setdefault(r.doc_id, []).append((tuple(r.seq), r.sentence))
+    for d, parts in enumerate(docs):
+        want = spec_clean_split(" ".join(t for t in parts if t.strip()))
+        assert [s for _, s in sorted(got.get(d, []))] == want, parts
+
+
+def test_summarize_parts_equals_summarize_of_joined_text(spark):
+    from precis.plans.summarize import assemble_text, summarize_parts
+
+    conv = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("conv_id", "turn", "text")
+    joined = assemble_text(conv, "conv_id", "turn").withColumnRenamed("conv_id", "doc_id")
+    for algorithm in ("default", "diverse"):
+        a = summarize_parts(conv, "conv_id", "turn", 3, 2.0, algorithm)
+        b = summarize(joined, 3, 2.0, algorithm)
+        assert a.count() == b.count() > 0
+        assert a.exceptAll(b).count() == 0
