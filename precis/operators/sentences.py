@@ -53,10 +53,19 @@ def chunk_text(docs: DataFrame, chunk_size: int = CHUNK_SIZE, text_col: str = "t
     return chunks.where(~T.is_blank("chunk"))
 
 
-def sentences_chunked(docs: DataFrame, chunk_size: int = CHUNK_SIZE, text_col: str = "text") -> DataFrame:
+def sentences_chunked(
+    docs: DataFrame, chunk_size: int = CHUNK_SIZE, text_col: str = "text", spread: bool = False
+) -> DataFrame:
     """Chunked processor: clean split inside each slice (sentences are cut at
-    slice edges), order kept through ``seq = chunk_no * 2**32 + pos``."""
+    slice edges), order kept through ``seq = chunk_no * 2**32 + pos``.
+
+    With ``spread=True`` the slices are hash-distributed by
+    ``(doc_id, chunk_no)`` before splitting, so one very large document is
+    split by many tasks (one per slice) instead of one.
+    """
     chunks = chunk_text(docs, chunk_size, text_col)
+    if spread:
+        chunks = chunks.repartition("doc_id", "chunk_no")
     out = chunks.select("doc_id", "chunk_no", F.posexplode(T.split_clean("chunk")).alias("pos", "sentence"))
     return out.select(
         "doc_id",

@@ -231,7 +231,9 @@ def q_summarize_raw(spark, sf_dir):
 
 
 def q_summarize_chunked(spark, sf_dir):
-    return _summary_rows(S.summarize(docs(spark, sf_dir), 3, 2.0, "diverse", "chunked"))
+    # slices are distributed inside summarize (the unit of work is a slice)
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _summary_rows(S.summarize(documents, 3, 2.0, "diverse", "chunked"))
 
 
 def q_summarize_pages(spark, sf_dir):

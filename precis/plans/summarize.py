@@ -77,7 +77,13 @@ def summarize(
     (plain split) or ``chunked`` (1 MiB slices, each split cleanly).
     """
     cfg = SummaryConfig(num_sentences, early_termination_factor, algorithm, processor)
-    sents = sentences.split_sentences(distribute(docs, text_col), cfg.processor, text_col)
+    if cfg.processor == "chunked":
+        # Slices, not documents, are the unit of work: a huge document is split
+        # by many tasks; the per-document cap then limits rows before the
+        # exchange on doc_id.
+        sents = sentences.sentences_chunked(docs.select("doc_id", text_col), text_col=text_col, spread=True)
+    else:
+        sents = sentences.split_sentences(distribute(docs, text_col), cfg.processor, text_col)
     return summarize_sentences(sents, cfg)
 
 

@@ -25,7 +25,6 @@ def exchanges(p: str) -> list[str]:
         "summarize_default",
         "summarize_diverse",
         "summarize_raw",
-        "summarize_chunked",
         "summary_status",
         "rejected_documents",
         "term_frequency",
@@ -57,3 +56,11 @@ def test_scan_reads_two_columns_and_tokenizes_once(spark):
 def test_cap_is_a_group_limit(spark):
     p = plan(E.queries()["summarize_default"](spark, SF001))
     assert "WindowGroupLimit" in p
+
+
+def test_chunked_spreads_slices_then_caps_before_the_document_exchange(spark):
+    p = plan(E.queries()["summarize_chunked"](spark, SF001))
+    ex = exchanges(p)
+    assert len(ex) == 2, ex
+    assert any(e.startswith("hashpartitioning(doc_id") and "chunk_no" in e for e in ex)
+    assert "Partial" in p and "WindowGroupLimit" in p  # cap applied before the exchange on doc_id
