@@ -44,7 +44,9 @@ GUARDS = (
 # A sentence end: a run of . ! ? with optional closing quotes/brackets before a
 # space (the space is replaced), or directly before punctuation that cannot
 # be inside a word.
-BREAKS = r"""([.!?]+)(?:(["')\]}]*) |(?=[;:@*({\[]))"""
+# Runs are matched from their first character only and possessively, so a long
+# run of punctuation costs linear time (a match can only start at a run start).
+BREAKS = r"""(?<![.!?])([.!?]++)(?:(["')\]}]*+) |(?=[;:@*({\[]))"""
 # Re-split of long pieces: after ., ! or ? followed by white space.
 RESPLIT = r"(?<=[.!?]) +"
 
@@ -53,7 +55,7 @@ RAW_SPLIT = rf"(?<=[.!?]){WS}+"
 
 # --- word tokenizer -------------------------------------------------------------
 OPENING_QUOTE = r"'(?!re|ve|ll|m|t|s|d|n)([\p{L}\p{N}_])(?![\p{L}\p{N}_])"
-FINAL_PERIOD = rf"""([^.])\.([\])}}>"'»”’]*){WS}*$"""
+FINAL_PERIOD = rf"""([^.])\.([\])}}>"'»”’]*+){WS}*+$"""
 INNER_PERIOD = r"([^.])\.([!?]*[;:@*({\[])"
 COMMA_COLON = r"[:,]([^\p{Nd}])"
 COMMA_COLON_END = r"[:,]$"

@@ -30,7 +30,7 @@ from ..functions import patterns as P
 from ..functions import text as T
 
 _abbrev = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
-ENDS_SENTENCE = r"""[.!?]+["')\]}]*$"""
+ENDS_SENTENCE = r"""(?<![.!?])[.!?]++["')\]}]*+$"""
 ENDS_GUARDED = rf"(?:^|[ (])(?:{_abbrev}|\p{{L}})\.$"
 ENDS_NUMBER = r"(?:^|[ (])\p{Nd}[\p{Nd}.,-]{0,64}\.$"
 STARTS_LOWER = r"^\p{Ll}"

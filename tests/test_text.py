@@ -134,3 +134,21 @@ def test_splitter_fixtures(spark):
     raw = one(spark, T.split_raw, BLOCK)
     assert raw[0] == "\n    " + lines[0]  # not the last piece: kept as read
     assert raw[1:] == lines[1:]
+
+
+def test_long_punctuation_and_space_runs_stay_linear(spark):
+    import time
+
+    from precis.operators.stitch import ENDS_SENTENCE
+
+    n = 200_000
+    texts = ["a" + "!" * n + "x", "b" + "." * n + "y z", "c" + "?!" * (n // 2) + "(x", "d" + " " * n + "e" + " " * n]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    t0 = time.time()
+    row = df.select(
+        F.sum(F.size(T.split_clean("s"))).alias("a"),
+        F.sum(F.size(T.split_raw("s"))).alias("b"),
+        F.sum(F.size(T.terms("s"))).alias("c"),
+        F.sum(F.col("s").rlike(ENDS_SENTENCE).cast("int")).alias("d"),
+    ).first()
+    assert row.a >= 0 and time.time() - t0 < 30  # quadratic backtracking took minutes
