@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import SummaryConfig
+from ..config import CHUNK_SIZE, SummaryConfig
 from ..functions import text as T
 from ..operators import scoring, selection, sentences, tfidf
 
@@ -66,6 +66,8 @@ def summarize(
     algorithm: str = "default",
     processor: str = "clean",
     text_col: str = "text",
+    split_above: int | None = None,
+    part_chars: int = CHUNK_SIZE,
 ) -> DataFrame:
     """Summary sentences of every document as rows
     ``(doc_id, idx, sentence, score)``; read them in ``idx`` order.
@@ -75,6 +77,12 @@ def summarize(
     greedy pick that penalises near and similar-length sentences.
     ``processor``: ``clean`` (squeeze + abbreviation-aware split), ``raw``
     (plain split) or ``chunked`` (1 MiB slices, each split cleanly).
+
+    ``split_above`` (clean processor): documents longer than this many
+    characters are cut at white space about every ``part_chars`` characters
+    and split part by part on many tasks, then stitched at the junctions;
+    the result is the same as splitting them whole. Both branches read the
+    same exchange on ``doc_id``.
     """
     cfg = SummaryConfig(num_sentences, early_termination_factor, algorithm, processor)
     if cfg.processor == "chunked":
@@ -82,6 +90,17 @@ def summarize(
         # by many tasks; the per-document cap then limits rows before the
         # exchange on doc_id.
         sents = sentences.sentences_chunked(docs.select("doc_id", text_col), text_col=text_col, spread=True)
+    elif split_above is not None:
+        if cfg.processor != "clean":
+            raise ValueError("split_above works with the clean processor")
+        from ..operators.stitch import cut_at_whitespace, stitched_sentences
+
+        spread = distribute(docs, text_col)
+        small = spread.where(F.length(text_col) <= split_above)
+        large = cut_at_whitespace(spread.where(F.length(text_col) > split_above), part_chars, text_col)
+        picked_small = summarize_sentences(sentences.split_sentences(small, "clean", text_col), cfg)
+        picked_large = summarize_sentences(stitched_sentences(large, "doc_id", "ord"), cfg)
+        return picked_small.unionByName(picked_large)
     else:
         sents = sentences.split_sentences(distribute(docs, text_col), cfg.processor, text_col)
     return summarize_sentences(sents, cfg)

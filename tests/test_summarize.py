@@ -178,3 +178,14 @@ def test_single_request(spark, tmp_path):
         summarize_request(spark, text="x", path=str(tmp_path))
     with pytest.raises(ValueError):
         summarize_request(spark, text="x", num_sentences=0)
+
+
+@pytest.mark.parametrize("algorithm", ["default", "diverse"])
+def test_split_above_equals_whole_document_split(spark, algorithm):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    whole = summarize(docs, 3, 2.0, algorithm)
+    parted = summarize(docs, 3, 2.0, algorithm, split_above=3000, part_chars=700)
+    assert parted.count() == whole.count()
+    assert parted.exceptAll(whole).count() == 0
+    with pytest.raises(ValueError):
+        summarize(docs, processor="raw", split_above=10)
