@@ -220,3 +220,17 @@ def test_summarize_parts_equals_summarize_of_joined_text(spark):
         b = summarize(joined, 3, 2.0, algorithm)
         assert a.count() == b.count() > 0
         assert a.exceptAll(b).count() == 0
+
+
+@SETTINGS
+@given(st.lists(words, min_size=60, max_size=60), st.integers(3, 80))
+def test_cut_and_stitch_equals_whole_clean_split(spark, texts, part_chars):
+    from precis.operators.stitch import cut_at_whitespace, stitched_sentences
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    parts = cut_at_whitespace(df, part_chars)
+    for r in stitched_sentences(parts, "doc_id", "ord", block=4).collect():
+        got.setdefault(r.doc_id, []).append((tuple(r.seq), r.sentence))
+    for i, t in enumerate(texts):
+        assert [s for _, s in sorted(got.get(i, []))] == spec_clean_split(t), (part_chars, t)
