@@ -25,11 +25,23 @@ def summarize_files(
     ``processor='clean'``: txt/md are split plainly, EPUB text cleanly;
     ``processor='chunked'``: every text is cut into 1 MiB slices first.
     """
+    return summarize_file_rows(read_files(spark, path), num_sentences, early_termination_factor, algorithm, processor)
+
+
+def summarize_file_rows(
+    files: DataFrame,
+    num_sentences: int = 3,
+    early_termination_factor: float = 2.0,
+    algorithm: str = "default",
+    processor: str = "clean",
+) -> DataFrame:
+    """:func:`summarize_files` on rows ``(path, name, ext, content)`` (a folder
+    read, or one micro-batch of a file stream)."""
     cfg = SummaryConfig(num_sentences, early_termination_factor, algorithm, processor)
     algorithm, processor = cfg.algorithm, cfg.processor
     if processor not in ("clean", "chunked"):
         raise ValueError("processor must be 'clean' or 'chunked' for files")
-    docs = file_documents(read_files(spark, path), processor).repartition("doc_id")
+    docs = file_documents(files, processor).repartition("doc_id")
     picked = summarize_sentences(file_sentences(docs, processor), cfg)
     records = summary_records(picked, algorithm, processor)
     out = docs.select("doc_id", "path", "status").join(records.drop("method", "processor"), "doc_id", "left")

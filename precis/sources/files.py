@@ -27,6 +27,11 @@ XHTML = "application/xhtml+xml"
 def read_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """``(path, name, ext, content BINARY)`` for every file under ``path``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
+    return with_file_columns(files)
+
+
+def with_file_columns(files: DataFrame) -> DataFrame:
+    """``(path, name, ext, content)`` from ``binaryFile`` rows (batch or stream)."""
     return files.select(
         "path",
         F.element_at(F.split("path", "/"), -1).alias("name"),

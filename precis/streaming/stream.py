@@ -20,6 +20,7 @@ from ..plans.summarize import summarize
 from ..session import ensure_checkpoint_dir
 
 DOCUMENT_SCHEMA = "doc_id bigint, text string"
+BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def summarize_stream(
@@ -53,3 +54,40 @@ def summarize_stream(
     writer = docs.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
+
+
+def summarize_file_stream(
+    spark: SparkSession,
+    source: str,
+    sink: str,
+    checkpoint: str | None = None,
+    num_sentences: int = 3,
+    early_termination_factor: float = 2.0,
+    algorithm: str = "default",
+    processor: str = "clean",
+    max_files_per_trigger: int | None = None,
+    available_now: bool = True,
+) -> StreamingQuery:
+    """Summaries of txt/md/EPUB files as they land in ``source`` (one record
+    per file with its status), written per micro-batch like
+    :func:`summarize_stream`. Each file is whole in one micro-batch."""
+    from ..plans.files import summarize_file_rows
+    from ..sources.files import with_file_columns
+
+    cfg = SummaryConfig(num_sentences, early_termination_factor, algorithm, processor)
+    if cfg.processor not in ("clean", "chunked"):
+        raise ValueError("processor must be 'clean' or 'chunked' for files")
+    if checkpoint is None:
+        checkpoint = posixpath.join(ensure_checkpoint_dir(spark), "summarize_file_stream")
+    reader = spark.readStream.schema(BINARY_FILE_SCHEMA).format("binaryFile").option("recursiveFileLookup", "true")
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    files = reader.load(source)
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        out = summarize_file_rows(with_file_columns(batch), num_sentences, early_termination_factor, algorithm, processor)
+        out.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/batch_id={batch_id}")
+
+    writer = files.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
+    return writer.start()

@@ -111,3 +111,17 @@ def test_stream_equals_batch(spark, tmp_path):
     q2 = summarize_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ckpt"), algorithm="diverse")
     q2.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).select("batch_id").distinct().count() == 3
+
+
+def test_file_stream_equals_folder_summary(spark, tmp_path):
+    from precis.streaming.stream import summarize_file_stream
+
+    make_files(tmp_path / "in")
+    q = summarize_file_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ckpt"), 2, max_files_per_trigger=3)
+    q.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.select("batch_id").distinct().count() == 3  # 7 files, 3 per trigger
+    want = summarize_files(spark, str(tmp_path / "in"), 2)
+    got = got.drop("batch_id")
+    assert got.count() == want.count() == 7
+    assert got.exceptAll(want).count() == 0
