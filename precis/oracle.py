@@ -241,7 +241,6 @@ FROM picks p JOIN capped c USING (doc_id, idx) JOIN blended b USING (doc_id, idx
 
 
 def build() -> dict[str, str]:
-    docs_text = "(SELECT doc_id, text FROM documents)"
     sql: dict[str, str] = {}
     sql["squeeze_whitespace"] = f"SELECT doc_id, {squeeze('text')} AS text FROM documents"
     sql["preprocess_text"] = (
@@ -371,5 +370,4 @@ FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS c FROM valid GROUP BY doc
     sql["rejected_documents"] = _sel(
         (CLEAN, VALID_CTES), "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM valid)"
     )
-    del docs_text
     return sql
