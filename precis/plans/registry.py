@@ -26,8 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def documents(spark, sf_dir) -> DataFrame:
+    """The documents table as read (the plan functions distribute it)."""
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
 def docs(spark, sf_dir) -> DataFrame:
-    return S.distribute(table(spark, sf_dir, "documents"))
+    """Documents distributed by ``doc_id``, for the single-operator queries."""
+    return S.distribute(documents(spark, sf_dir))
 
 
 def _long(*cols):
@@ -39,7 +45,7 @@ def _r(c, name=None):
 
 
 def _capped(spark, sf_dir, cfg=CFG):
-    return S.capped_sentences(docs(spark, sf_dir), cfg)
+    return S.capped_sentences(documents(spark, sf_dir), cfg)
 
 
 def _tf(spark, sf_dir):
@@ -47,7 +53,7 @@ def _tf(spark, sf_dir):
 
 
 def _scores(spark, sf_dir, cfg=CFG):
-    return S.scored_sentences(docs(spark, sf_dir), cfg)
+    return S.scored_sentences(documents(spark, sf_dir), cfg)
 
 
 def _summary_rows(df: DataFrame) -> DataFrame:
@@ -219,21 +225,20 @@ def q_near_sentence_pairs(spark, sf_dir):
 
 # --- composite ------------------------------------------------------------------------------
 def q_summarize_default(spark, sf_dir):
-    return _summary_rows(S.summarize(docs(spark, sf_dir), 3, 2.0, "default", "clean"))
+    return _summary_rows(S.summarize(documents(spark, sf_dir), 3, 2.0, "default", "clean"))
 
 
 def q_summarize_diverse(spark, sf_dir):
-    return _summary_rows(S.summarize(docs(spark, sf_dir), 3, 2.0, "diverse", "clean"))
+    return _summary_rows(S.summarize(documents(spark, sf_dir), 3, 2.0, "diverse", "clean"))
 
 
 def q_summarize_raw(spark, sf_dir):
-    return _summary_rows(S.summarize(docs(spark, sf_dir), 3, 2.0, "default", "raw"))
+    return _summary_rows(S.summarize(documents(spark, sf_dir), 3, 2.0, "default", "raw"))
 
 
 def q_summarize_chunked(spark, sf_dir):
-    # slices are distributed inside summarize (the unit of work is a slice)
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return _summary_rows(S.summarize(documents, 3, 2.0, "diverse", "chunked"))
+    # slices, not documents, are distributed inside summarize for this processor
+    return _summary_rows(S.summarize(documents(spark, sf_dir), 3, 2.0, "diverse", "chunked"))
 
 
 def q_summarize_pages(spark, sf_dir):
@@ -250,11 +255,11 @@ def q_summarize_conversations(spark, sf_dir):
 
 
 def q_summary_status(spark, sf_dir):
-    return S.summary_status(docs(spark, sf_dir), CFG).select("doc_id", "status", "n_valid")
+    return S.summary_status(documents(spark, sf_dir), CFG).select("doc_id", "status", "n_valid")
 
 
 def q_rejected_documents(spark, sf_dir):
-    return S.rejected_documents(docs(spark, sf_dir), CFG)
+    return S.rejected_documents(documents(spark, sf_dir), CFG)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
