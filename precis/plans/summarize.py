@@ -128,18 +128,21 @@ def summarize_parts(
 
 def summarize_request(
     spark,
-    text: str | None = None,
+    text: str | list[str] | None = None,
     path: str | None = None,
     num_sentences: int = 3,
     early_termination_factor: float = 2.0,
     algorithm: str = "default",
     processor: str = "clean",
 ) -> DataFrame:
-    """One request: exactly one of ``text`` (a string) or ``path`` (a file or a
-    folder of txt/md/epub files). Returns summary records; parameters are
-    validated before any job runs."""
+    """One request: exactly one of ``text`` (a string, or a list of strings
+    joined with one space) or ``path`` (a file or a folder of txt/md/epub
+    files). Returns summary records; parameters are validated before any job
+    runs."""
     if (text is None) == (path is None):
         raise ValueError("provide either a file path or text, not both")
+    if isinstance(text, (list, tuple)):
+        text = " ".join(str(item) for item in text)
     cfg = SummaryConfig(num_sentences, early_termination_factor, algorithm, processor)
     if path is not None:
         from .files import summarize_files

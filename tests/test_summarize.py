@@ -189,3 +189,10 @@ def test_split_above_equals_whole_document_split(spark, algorithm):
     assert parted.exceptAll(whole).count() == 0
     with pytest.raises(ValueError):
         summarize(docs, processor="raw", split_above=10)
+
+
+def test_single_request_accepts_a_list_of_strings(spark):
+    from precis.plans.summarize import summarize_request
+
+    rec = summarize_request(spark, text=list(VALID), num_sentences=2).first()
+    assert rec.summary == [VALID[0], VALID[3]]
