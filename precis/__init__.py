@@ -1,15 +1,19 @@
 """precis: extractive summarization of document tables on Spark."""
 
 from .config import SummaryConfig
+from .plans.files import summarize_files
 from .plans.summarize import (
     assemble_text,
     distribute,
     rejected_documents,
     summarize,
+    summarize_parts,
+    summarize_request,
     summarize_sentences,
     summary_records,
     summary_status,
 )
+from .streaming.stream import summarize_file_stream, summarize_stream
 
 __all__ = [
     "SummaryConfig",
@@ -17,7 +21,12 @@ __all__ = [
     "distribute",
     "rejected_documents",
     "summarize",
+    "summarize_file_stream",
+    "summarize_files",
+    "summarize_parts",
+    "summarize_request",
     "summarize_sentences",
+    "summarize_stream",
     "summary_records",
     "summary_status",
 ]
