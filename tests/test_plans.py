@@ -64,3 +64,10 @@ def test_chunked_spreads_slices_then_caps_before_the_document_exchange(spark):
     assert len(ex) == 2, ex
     assert any(e.startswith("hashpartitioning(doc_id") and "chunk_no" in e for e in ex)
     assert "Partial" in p and "WindowGroupLimit" in p  # cap applied before the exchange on doc_id
+
+
+def test_corpus_idf_subquery_reuses_the_term_exchange(spark):
+    df = E.queries()["idf_corpus"](spark, SF001)
+    df.collect()  # the adaptive plan is final after execution
+    p = plan(df)
+    assert "ReusedExchange" in p and "hashpartitioning(term" in p
