@@ -17,6 +17,9 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # The one big exchange carries raw text: zstd wrote ~31% fewer shuffle bytes
+    # than the default lz4 at the same wall time (sf0.1 measurement).
+    "spark.io.compression.codec": "zstd",
     # Per-document caps up to this size are planned as a partial (map-side)
     # plus final WindowGroupLimit, so only capped rows are shuffled.
     "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
