@@ -131,7 +131,8 @@ def file_sentences(documents: DataFrame, processor: str = "clean") -> DataFrame:
 
     ok = documents.where(F.col("status") == "ok").select("doc_id", "ext", "text")
     if processor == "chunked":
-        return S.sentences_chunked(ok)
+        # slices of one large file are split by many tasks
+        return S.sentences_chunked(ok, spread=True)
     arr = F.when(F.col("ext").isin("txt", "md"), T.split_raw("text")).otherwise(T.split_clean("text"))
     out = ok.select("doc_id", F.posexplode(arr).alias("seq", "sentence"))
     return out.withColumn("seq", F.col("seq").cast("long"))
