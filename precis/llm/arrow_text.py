@@ -55,10 +55,13 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iter
         at = to
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte ``starts`` and ``ends`` of the words ``[^\\x20\\x09-\\x0D]+`` and, per
-    document, the index of its first word (one entry more than documents)."""
-    apart = _SEPARATOR[data]
+def word_bounds(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte ``starts`` and ``ends`` of the words (``[^\\x20\\x09-\\x0D]+``, or runs
+    between the given ``separator`` bytes) and, per document, the index of its first word (one entry more than documents)."""
+    apart = separator[data]
+    if not len(data):
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(len(offsets), np.int64)
     before = np.concatenate(([True], apart[:-1]))
     after = np.concatenate((apart[1:], [True]))
     edges = offsets[(offsets > 0) & (offsets < len(data))]
