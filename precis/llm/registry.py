@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minmax_dedup, mixing, packing, quality, toxicity
+from . import line_dedup, minmax_dedup, mixing, packing, quality, toxicity
 from .tables import table
 
 
@@ -19,6 +19,11 @@ def op4_toxicity_factorization_machine(spark: SparkSession, sf_dir: str) -> Data
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_content_defined_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs, report=True)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -34,4 +39,4 @@ def op9_positive_unlabelled_quality(spark: SparkSession, sf_dir: str) -> DataFra
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)
 }
-ORACLE_SQL: dict[str, str] = {"op7_source_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_content_defined_line_dedup": line_dedup.ORACLE_SQL, "op7_source_mixing": mixing.ORACLE_SQL}
