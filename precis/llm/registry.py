@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, minmax_dedup, mixing, packing, quality, toxicity
+from . import fingerprints, line_dedup, minmax_dedup, mixing, packing, quality, toxicity
 from .tables import table
 
 
@@ -36,6 +36,10 @@ def op9_positive_unlabelled_quality(spark: SparkSession, sf_dir: str) -> DataFra
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)
 }
