@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, line_dedup, minmax_dedup, mixing, packing, quality, toxicity
+from . import fingerprints, line_dedup, minmax_dedup, mixing, packing, quality, secrets, toxicity
 from .tables import table
 
 
@@ -15,6 +15,10 @@ def op2_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_crf_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
