@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import cut, doc_words
+from .tables import cut, doc_words, sieve
 
 WEIGHTS = (3, 1, 2)
 #: Words in a block.
@@ -125,12 +125,17 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     last one cut after its words taken; columns as in ``docs``."""
     columns = docs.columns
     taken = mix(docs).select(F.col("doc_id").alias("_id"), "_text_md5", "size", "taken")
-    # repeated rows (same id, same text) are numbered on both sides
+    # repeated rows (same id, same text) are numbered on both sides; others move once at most
     twins = Window.partitionBy("_id", "_text_md5").orderBy(F.col("taken").desc())
-    taken = taken.withColumn("_twin", F.row_number().over(twins)).where("taken > 0")
+    taken = cut(taken.withColumn("_twin", F.row_number().over(twins)), "taken")
+    repeated = taken.where("_twin = 2").select(F.xxhash64("_id", "_text_md5"))
+    taken = taken.where("taken > 0")
     md5 = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
     own = docs.withColumn("_id2", F.col("doc_id").cast("long")).withColumn("_md5", md5)
-    own = own.withColumn("_twin2", F.row_number().over(Window.partitionBy("_id2", "_md5").orderBy(F.lit(1))))
+    own = sieve(own, F.xxhash64("_id2", "_md5"), repeated, "_maybe")
+    once = own.where("not _maybe").withColumn("_twin2", F.lit(1))
+    many = own.where("_maybe").withColumn("_twin2", F.row_number().over(Window.partitionBy("_id2", "_md5").orderBy(F.lit(1))))
+    own = once.unionByName(many)
     both = own.join(taken, F.col("_id2").eqNullSafe(F.col("_id")) & (F.col("_md5") == F.col("_text_md5")) & (F.col("_twin2") == F.col("_twin")))
     turns = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("taken") / F.col("size")).cast("long") - 1)
     both = both.withColumn("_words", F.explode(F.transform(turns, lambda k: F.least(F.col("size"), F.col("taken") - k * F.col("size")))))

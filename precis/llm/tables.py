@@ -26,24 +26,38 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
-def cut(df: DataFrame, name: str = "part") -> DataFrame:
+#: Rows that one task handles easily where rows are a few numbers.
+TASK_ROWS = 50_000
+
+
+def cut(df: DataFrame, name: str = "part", rows: int | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: what
-    follows starts from files that outlive any executor."""
+    follows starts from files that outlive any executor. ``rows``: about how many
+    narrow rows the last stage reads; a small table is then written by few tasks."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(2 * spark.sparkContext.defaultParallelism + rows // TASK_ROWS)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`cut` once nothing reads them."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    root = shared_dir(spark)
-    for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if str(path.toString()).rpartition("/")[0].endswith(root.removeprefix("file://").removeprefix("file:")):
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+#: Rows of a sieve: with 64 bits each, 1 MB whatever the number of keys.
+SIEVE_ROWS = 1 << 16
+
+
+def sieve(df: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame:
+    """Add the boolean ``name``: false only where ``key`` (a long hash) is not in the
+    one column of ``keys``. The keys are folded into a bit table of fixed size, which
+    is broadcast; an exact join follows where it matters, on fewer rows."""
+    bits = keys.select(F.col(keys.columns[0]).alias("_key"))
+    slot, bit = (lambda c: F.pmod(c, F.lit(SIEVE_ROWS))), (lambda c: F.pmod(F.shiftright(c, 20), F.lit(64)).cast("int"))
+    one = F.expr("shiftleft(1L, pmod(shiftright(_key, 20), 64))")
+    table_ = bits.groupBy(slot(F.col("_key")).alias("_slot")).agg(F.bit_or(one).alias("_bits"))
+    marked = df.withColumn("_key", key).withColumn("_slot2", slot(F.col("_key"))).withColumn("_bit", bit(F.col("_key")))
+    marked = marked.join(F.broadcast(cut(table_, "sieve")), F.col("_slot") == F.col("_slot2"), "left")
+    hit = F.expr("coalesce((shiftright(_bits, _bit) & 1L) = 1L, false)")
+    return marked.withColumn(name, hit).drop("_key", "_slot", "_slot2", "_bit", "_bits")
 
 
 def doc_words(text: Column | str) -> Column:
