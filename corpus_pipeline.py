@@ -1,12 +1,54 @@
-"""Corpus pipeline: raw documents to packed sequences."""
+"""Corpus pipeline: raw documents to packed sequences.
+
+``STAGES`` are applied in order; every stage takes ``(spark, docs, sf_dir)`` and works on
+all rows that its predecessor kept. All but the last return the columns of
+``documents``.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+from precis.llm import line_dedup, minmax_dedup, mixing, packing, quality
 from precis.llm.tables import cut, table
 
-STAGES: list = []
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the positive-unlabelled classifier rejects go."""
+    return quality.keep_quality(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Line chunks that occur before in the corpus are removed from the texts."""
+    return line_dedup.dedup_lines(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return minmax_dedup.drop_near_duplicates(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for every time that the mix takes a document, the last cut to its words."""
+    return mixing.mixed_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents, placed in token sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", keep_quality),
+    ("line_dedup", drop_repeated_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: Hashed models and tokenizers have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 
@@ -16,5 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = cut(docs, f"stage-{k}")
+            docs = cut(docs, f"stage-{k}-{name}")
     return docs
