@@ -45,16 +45,10 @@ def run(spark, name: str, sf_dir: str) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    # The text stage is CPU-bound and the test tables are small: AQE's default
-    # coalescing would merge the shuffle into about one partition per core and
-    # leave uneven waves, so this local run keeps 3 partitions per core. On a
-    # cluster keep coalescing on and size spark.sql.shuffle.partitions by bytes.
-    spark = build_session(
-        master=f"local[{cpus}]",
-        shuffle_partitions=3 * cpus,
-        app="precis-bench",
-        extra_conf={"spark.sql.adaptive.coalescePartitions.enabled": "false"},
-    )
+    # Shipped settings, but for one: a test file is one row group, so one scan task; this
+    # local run spreads the documents over the cores first. On a cluster the files' own
+    # partitions do that and no text is moved.
+    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=3 * cpus, app="precis-bench", extra_conf={"precis.spread": "true"})
     warm_dir = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.01")
     for name in HEADLINE:  # warm-up on small tables, not reported
         run(spark, name, warm_dir if os.path.isdir(warm_dir) else sf_dir)

@@ -1,5 +1,9 @@
 """precis: extractive summarization of document tables on Spark."""
 
+import sys
+
+from pyspark import cloudpickle
+
 from .config import SummaryConfig
 from .plans.files import summarize_files
 from .plans.summarize import (
@@ -15,6 +19,10 @@ from .plans.summarize import (
 )
 from .streaming.stream import summarize_file_stream, summarize_stream
 
+# Functions that run inside tasks are pickled by value, so executors need no copy of
+# the library.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = [
     "SummaryConfig",
     "assemble_text",

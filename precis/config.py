@@ -52,8 +52,7 @@ ABBREVIATIONS = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Sr", "Jr", "St", "vs", "etc",
 
 ALGORITHMS = ("default", "diverse")
 PROCESSORS = ("clean", "raw", "chunked")
-# Parameter values accepted for compatibility with the request API being matched
-# (fixed values): algorithm "dask" is the diverse algorithm; processor "default"
+# Other names that callers may use (fixed values): algorithm "dask" is the diverse algorithm; processor "default"
 # is the clean splitter and "dask" the chunked one.
 ALGORITHM_ALIASES = {"dask": "diverse"}
 PROCESSOR_ALIASES = {"default": "clean", "dask": "chunked"}
@@ -71,7 +70,7 @@ def termination_cap(num_sentences: int, early_termination_factor: float) -> int:
 @dataclass(frozen=True)
 class SummaryConfig:
     num_sentences: int = 3
-    early_termination_factor: float = 2.0
+    early_termination_factor: float | None = None
     algorithm: str = "default"
     processor: str = "clean"
 
@@ -83,7 +82,7 @@ class SummaryConfig:
         if self.num_sentences <= 0:
             raise ValueError("num_sentences must be greater than 0")
         f = self.early_termination_factor
-        if not isinstance(f, (int, float)) or not (1.0 <= float(f) <= 10.0):
+        if f is not None and (not isinstance(f, (int, float)) or not (1.0 <= float(f) <= 10.0)):
             raise ValueError("early_termination_factor must be between 1 and 10")
         if self.algorithm not in ALGORITHMS:
             raise ValueError(f"algorithm must be one of {ALGORITHMS}")
@@ -91,5 +90,8 @@ class SummaryConfig:
             raise ValueError(f"processor must be one of {PROCESSORS}")
 
     @property
-    def cap(self) -> int:
+    def cap(self) -> int | None:
+        """Valid sentences kept per document; None without a factor: all."""
+        if self.early_termination_factor is None:
+            return None
         return termination_cap(self.num_sentences, float(self.early_termination_factor))

@@ -7,6 +7,9 @@ never leaves the JVM.
 
 from __future__ import annotations
 
+import html.entities
+import json
+
 from ..config import ABBREVIATIONS, STOP_WORDS
 
 # Characters Python's ``str.isspace`` treats as white space, written out so the
@@ -25,22 +28,21 @@ WS_CHARS = "".join(
 )
 NOT_WS = f"[^{WS_CLASS}]"
 
-# Sentinels: U+0001 marks a sentence break, U+0002 a protected space.
-BREAK = "\u0001"
-GUARD = "\u0002"
-END = "\u0003"  # marks the end of a text in the raw splitter
+# Marks inside the splitters: Unicode noncharacters, which the standard keeps for
+# internal use and which no text carries (control characters do occur in texts).
+BREAK = "\ufdd0"  # a sentence break
+GUARD = "\ufdd1"  # a protected space
+END = "\ufdd2"  # the end of a text in the raw splitter
 
 # --- clean splitter -----------------------------------------------------------
 _abbrev = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
-# Not a break: an abbreviation or single-letter initial followed by a space, or
-# a number ending in a period followed by a space and a lower-case word. The
+# Not a break: an abbreviation or single-letter initial followed by a space. The
 # pattern starts at the period (a cheap literal test) and looks behind for the
 # word, without consuming the boundary before it, so chains ("A. B. C.") are
 # all kept. Replaced by ".<GUARD>".
-GUARDS = (
-    rf"\.(?:(?<=(?:^|[ (])(?:{_abbrev}|\p{{L}})\.)"
-    rf"|(?<=(?:^|[ (])\p{{Nd}}[\p{{Nd}}.,-]{{0,64}}\.)(?= \p{{Ll}})) "
-)
+GUARDS = rf"\.(?<=(?:^|[ (])(?:{_abbrev}|\p{{L}})\.) "
+# Nor is a number of any length ending in a period before a lower-case word.
+NUMBER_GUARD = rf"(^|[ ({GUARD}])(\p{{Nd}}[\p{{Nd}}.,-]*\.) (?=\p{{Ll}})"
 # A sentence end: a run of . ! ? with optional closing quotes/brackets before a
 # space (the space is replaced), or directly before punctuation that cannot
 # be inside a word.
@@ -101,18 +103,10 @@ HAS_LETTER = r"\p{L}"
 HTML_SCRIPT_STYLE = r"(?is)<(script|style)(?:[\s/][^>]*)?>.*?</\1\s*>"
 HTML_COMMENT = r"(?s)<!--.*?-->"
 HTML_TAG = r"(?s)<[!/?a-zA-Z][^>]*>"
-# Named entities decoded after tags are removed (fixed values); &amp; goes last.
-HTML_ENTITIES = (
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&apos;", "'"),
-    ("&nbsp;", "\u00a0"),
-    ("&copy;", "©"),
-    ("&middot;", "·"),
-    ("&amp;", "&"),
-)
+# Character references by name, and the codes that HTML reads as another character
+# (the Windows-1252 range), both from the standard library.
+HTML_NAMES = json.dumps(html.entities.html5)
+HTML_CODES = json.dumps({code: ord(bytes([code]).decode("cp1252")) for code in range(0x80, 0xA0) if code not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)})
 
 # preprocess_text: keep word characters and white space only.
 NON_WORD = rf"[^\p{{L}}\p{{N}}_{WS_CLASS}]"

@@ -58,12 +58,13 @@ def split_raw(c) -> Column:
 
 
 def mark_breaks(c) -> Column:
-    """Squeezed text with sentence breaks marked by ``U+0001``.
+    """Squeezed text with sentence breaks marked.
 
     Abbreviations, initials and numbers followed by a lower-case word keep
-    their space (protected as ``U+0002``) so they do not end a sentence.
+    their space (as a protected one) so they do not end a sentence.
     """
     t = F.regexp_replace(squeeze_whitespace(c), P.GUARDS, "." + P.GUARD)
+    t = F.regexp_replace(t, P.NUMBER_GUARD, "$1$2" + P.GUARD)
     return F.regexp_replace(t, P.BREAKS, "$1$2" + P.BREAK)
 
 
@@ -138,9 +139,28 @@ def chunk_starts(c, size: int) -> Column:
 
 # --- HTML -------------------------------------------------------------------------------
 def _decode_entities(t: Column) -> Column:
-    for entity, char in P.HTML_ENTITIES:
-        t = F.replace(t, F.lit(entity), F.lit(char))
-    return t
+    """Character references: named ones (with their semicolon, or the old names
+    without), decimal and hexadecimal ones. The text is cut at ``&`` and each piece is
+    looked up by its start; what is no reference stays as it is."""
+
+    def named(piece: Column) -> Column:
+        name = F.regexp_extract(piece, r"^[A-Za-z][A-Za-z0-9]*;?", 0)
+        char = F.element_at(F.from_json(F.lit(P.HTML_NAMES), "map<string,string>"), name)
+        return F.concat(char, F.substr(piece, F.length(name) + 1))
+
+    def numbered(piece: Column) -> Column:
+        mark = F.regexp_extract(piece, r"^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", 0)
+        digits = F.regexp_extract(mark, r"[0-9a-fA-F]+", 0)
+        value = F.when(F.lower(mark).startswith("#x"), F.conv(digits, 16, 10)).otherwise(digits)
+        code = F.coalesce(value.try_cast("long"), F.lit(-1))
+        code = F.coalesce(F.element_at(F.from_json(F.lit(P.HTML_CODES), "map<string,bigint>"), code.cast("string")), code)
+        usable = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(usable, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+        return F.when(F.length(mark) > 0, F.concat(char, F.substr(piece, F.length(mark) + 1)))
+
+    pieces = F.split(t, "&")
+    read = F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(F.coalesce(F.when(p.startswith("#"), numbered(p)).otherwise(named(p)), F.concat(F.lit("&"), p))))
+    return F.when(t.contains("&"), F.array_join(read, "")).otherwise(t)
 
 
 def html_to_text(c) -> Column:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..config import NEAR_DISTANCE, NEAR_PENALTY, SIMILAR_LENGTH, SIMILAR_PENALTY
 
+SCORE_DIGITS = 12
+
 
 def top_n(scores: DataFrame, num_sentences: int, score_col: str = "score_l2") -> DataFrame:
     """The ``num_sentences`` best sentences of each document (all of them when
@@ -48,22 +50,23 @@ def _greedy(num_sentences: int) -> str:
 def diverse_selection(blended: DataFrame, num_sentences: int) -> DataFrame:
     """Greedy diversity-penalised pick of ``num_sentences`` per document.
 
-    The candidates of one document are bounded by the early-termination cap,
-    so collecting them into one array per document is bounded too. The pick
-    runs as a native higher-order expression, no Python.
+    A document of any length gives a bounded array, exactly: sentences of one word
+    count share the length penalty, and a pick sets back itself and at most four
+    neighbours beyond it, so only the best ``5 (N - 1) + 1`` of each word count
+    (score, then position) can be among ``N`` picks; a sentence of at most 1000
+    characters has few word counts. Scores are rounded first, so equal ones tie
+    whatever order they were summed in. The pick is a native higher-order
+    expression, no Python.
     """
-    cands = blended.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("idx", "score", "n_words", "sentence"))).alias("cands")
-    )
-    picked = cands.select("doc_id", "cands", F.posexplode(F.expr(_greedy(num_sentences))).alias("pick_rank", "p"))
-    chosen = F.col("cands")[F.col("p")]
-    return picked.select(
-        "doc_id",
-        chosen["idx"].alias("idx"),
-        chosen["sentence"].alias("sentence"),
-        chosen["score"].alias("score"),
-        chosen["n_words"].alias("n_words"),
+    blended = blended.withColumn("exact", F.col("score")).withColumn("score", F.round("score", SCORE_DIGITS))
+    alike = Window.partitionBy("doc_id", "n_words").orderBy(F.col("score").desc(), "idx")
+    able = blended.withColumn("_place", F.row_number().over(alike)).where(F.col("_place") <= 5 * (num_sentences - 1) + 1)
+    cands = able.groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct("idx", "score", "n_words", "sentence", "exact"))).alias("cands")
     )
+    chosen = F.expr(f"transform({_greedy(num_sentences)}, p -> cands[p])")
+    picked = cands.select("doc_id", F.explode(chosen).alias("c"))
+    return picked.select("doc_id", "c.idx", "c.sentence", F.col("c.exact").alias("score"), "c.n_words")
 
 
 def near_sentence_pairs(scored: DataFrame) -> DataFrame:

@@ -110,8 +110,17 @@ def valid_sentences(sentences: DataFrame) -> DataFrame:
     return with_terms(length_filter(sentences)).where(F.col("n_words") >= MIN_WORDS_COUNT)
 
 
-def early_termination(valid: DataFrame, cap: int) -> DataFrame:
-    """Keep the first ``cap`` valid sentences of each document.
+def numbered(valid: DataFrame) -> DataFrame:
+    """Number all valid sentences: ``idx`` (0-based rank in reading order) and ``n``
+    (sentences of the document). The exchange on ``doc_id`` that the windows need
+    carries valid sentences only, never whole texts."""
+    by_doc = Window.partitionBy("doc_id")
+    idx = (F.row_number().over(by_doc.orderBy("seq")) - 1).cast("int")
+    return valid.withColumn("idx", idx).withColumn("n", F.count(F.lit(1)).over(by_doc).cast("int"))
+
+
+def early_termination(valid: DataFrame, cap: int | None) -> DataFrame:
+    """Keep the first ``cap`` valid sentences of each document (None: all).
 
     Adds ``idx`` (0-based rank among valid sentences) and ``n`` (sentences kept
     in the document). The filter is written as ``rn <= cap`` right on the
@@ -121,6 +130,8 @@ def early_termination(valid: DataFrame, cap: int) -> DataFrame:
     partially before the shuffle, so at most ``cap`` rows per document and map
     task are shuffled, however long the document is.
     """
+    if cap is None:
+        return numbered(valid)
     by_doc = Window.partitionBy("doc_id")
     ordered = by_doc.orderBy("seq")
     capped = valid.withColumn("rn", F.row_number().over(ordered)).where(F.col("rn") <= cap)

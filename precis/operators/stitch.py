@@ -32,7 +32,7 @@ from ..functions import text as T
 _abbrev = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
 ENDS_SENTENCE = r"""(?<![.!?])[.!?]++["')\]}]*+$"""
 ENDS_GUARDED = rf"(?:^|[ (])(?:{_abbrev}|\p{{L}})\.$"
-ENDS_NUMBER = r"(?:^|[ (])\p{Nd}[\p{Nd}.,-]{0,64}\.$"
+ENDS_NUMBER = r"(?:^|[ (])\p{Nd}[\p{Nd}.,-]*\.$"
 STARTS_LOWER = r"^\p{Ll}"
 
 
@@ -69,25 +69,13 @@ def _latest_before(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def cut_at_whitespace(docs: DataFrame, part_chars: int, text_col: str = "text") -> DataFrame:
-    """Cut each text into ordered parts ``(doc_id, ord, text)`` at one
-    white-space character near every ``part_chars`` characters (the first one
-    at or after each multiple; a window without white space is not cut). The
-    text equals its parts joined by one space up to white space, so
-    :func:`stitched_sentences` of the parts is the clean split of the text.
-    Finding the cuts is one linear pass per window."""
-    n = F.ceil(F.length(text_col) / part_chars).cast("int")
-    starts = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
-
-    def cut(k):  # 0-based index of the first white space in window k, or null
-        pos = F.regexp_instr(F.substring(F.col(text_col), k * part_chars + 1, part_chars), F.lit(P.WS))
-        return F.when(pos > 0, k * part_chars + pos - 1)
-
-    cuts = F.filter(F.transform(starts, cut), lambda c: c.isNotNull())
-    bounds = F.concat(F.array(F.lit(-1)), cuts, F.array(F.length(text_col)))
-    pieces = F.transform(
-        F.sequence(F.lit(0), F.size(cuts)),
-        lambda i: F.substring(F.col(text_col), bounds[i] + 2, bounds[i + 1] - bounds[i] - 1),
-    )
+    """Cut each text into ordered parts ``(doc_id, ord, text)`` after the first
+    white-space character that follows ``part_chars`` characters (a run without white
+    space is not cut). The text equals its parts one after the other, so
+    :func:`stitched_sentences` of the parts is the clean split of the text. One linear
+    pass over the text finds all parts."""
+    part = rf"(?s).{{{part_chars}}}{P.NOT_WS}*+{P.WS}|.++"
+    pieces = F.regexp_extract_all(F.col(text_col), F.lit(part), F.lit(0))
     return docs.select("doc_id", F.posexplode(pieces).alias("ord", "text")).withColumn("ord", F.col("ord").cast("long"))
 
 

@@ -11,7 +11,7 @@ from .config import ABBREVIATIONS, STOP_WORDS
 
 WS = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 NOT_WS = WS.replace("[", "[^", 1)
-CAP = 400  # max(10*3, 200) * 2.0
+CAP = 400  # max(10*3, 200) * 2.0; early_termination only
 N = 3
 
 
@@ -149,16 +149,14 @@ tok AS (
 valid AS (
   SELECT doc_id, seq, sentence, terms, len(terms) AS n_words FROM tok WHERE len(terms) >= 8)"""
 
-CAPPED_CTES = f"""ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS rn FROM valid),
-capped AS (
-  SELECT doc_id, seq, sentence, terms, n_words, rn - 1 AS idx,
+KEPT_CTES = """kept AS (
+  SELECT doc_id, seq, sentence, terms, n_words, row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS idx,
          count(*) OVER (PARTITION BY doc_id) AS n
-  FROM ranked WHERE rn <= {CAP})"""
+  FROM valid)"""
 
 TF_CTES = """term_rows AS (
   SELECT doc_id, idx, n, n_words, unnest(terms) AS term, unnest(generate_series(0, len(terms) - 1)) AS tok_pos
-  FROM capped),
+  FROM kept),
 tf AS (
   SELECT doc_id, idx, term, count(*) AS tf, min(tok_pos) AS first_pos, max(n) AS n, max(n_words) AS n_words
   FROM term_rows GROUP BY doc_id, idx, term),
@@ -212,7 +210,7 @@ def with_(*ctes: str) -> str:
 
 
 CLEAN = sentences_cte()
-PIPE = (CLEAN, VALID_CTES, CAPPED_CTES, TF_CTES)
+PIPE = (CLEAN, VALID_CTES, KEPT_CTES, TF_CTES)
 
 
 # --- one SQL text per registered query ------------------------------------------------------
@@ -225,18 +223,18 @@ def _sel(ctes, body: str) -> str:
 
 
 def summary_sql(ctes_head, algorithm: str) -> str:
-    base = ctes_head + (VALID_CTES, CAPPED_CTES, TF_CTES, SCORE_CTES)
+    base = ctes_head + (VALID_CTES, KEPT_CTES, TF_CTES, SCORE_CTES)
     if algorithm == "default":
         return _sel(
             base,
             """SELECT c.doc_id, CAST(c.idx AS BIGINT) AS idx, c.sentence, round(s.score_l2, 9) AS score
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score_l2 DESC, idx DESC) AS o FROM scores) s
-JOIN capped c USING (doc_id, idx) WHERE s.o <= 3""",
+JOIN kept c USING (doc_id, idx) WHERE s.o <= 3""",
         )
     return _sel(
         base + (greedy_ctes(),),
         """SELECT c.doc_id, CAST(c.idx AS BIGINT) AS idx, c.sentence, round(b.score, 9) AS score
-FROM picks p JOIN capped c USING (doc_id, idx) JOIN blended b USING (doc_id, idx)""",
+FROM picks p JOIN kept c USING (doc_id, idx) JOIN blended b USING (doc_id, idx)""",
     )
 
 
@@ -284,8 +282,11 @@ FROM (SELECT doc_id, seq, list_filter(string_split(trim({normalize_tokens('sente
         (CLEAN, VALID_CTES), "SELECT doc_id, CAST(seq AS BIGINT) AS seq, CAST(n_words AS BIGINT) AS n_words, sentence FROM valid"
     )
     sql["early_termination"] = _sel(
-        (CLEAN, VALID_CTES, CAPPED_CTES),
-        "SELECT doc_id, CAST(idx AS BIGINT) AS idx, CAST(seq AS BIGINT) AS seq, CAST(n AS BIGINT) AS n, sentence FROM capped",
+        (CLEAN, VALID_CTES),
+        f"""SELECT source, CAST(rn - 1 AS BIGINT) AS idx, doc_id, CAST(seq AS BIGINT) AS seq,
+       CAST(count(*) OVER (PARTITION BY source) AS BIGINT) AS n, sentence
+FROM (SELECT d.source, v.doc_id, v.seq, v.sentence, row_number() OVER (PARTITION BY d.source ORDER BY v.doc_id, v.seq) AS rn
+      FROM valid v JOIN documents d USING (doc_id)) WHERE rn <= {CAP}""",
     )
     sql["term_frequency"] = _sel(PIPE, "SELECT doc_id, CAST(idx AS BIGINT) AS idx, term, CAST(tf AS BIGINT) AS tf FROM tf")
     sql["document_frequency"] = _sel(PIPE, "SELECT doc_id, term, CAST(df AS BIGINT) AS df FROM dfq")
@@ -319,7 +320,7 @@ bvocab AS (
     sql["idf_corpus"] = _sel(
         PIPE,
         f"""SELECT term, CAST(count(DISTINCT doc_id) AS BIGINT) AS df,
-       round(ln(CAST((SELECT count(DISTINCT doc_id) FROM capped) + 1 AS DOUBLE) / CAST(count(DISTINCT doc_id) + 1 AS DOUBLE)) + 1, {R}) AS idf
+       round(ln(CAST((SELECT count(DISTINCT doc_id) FROM kept) + 1 AS DOUBLE) / CAST(count(DISTINCT doc_id) + 1 AS DOUBLE)) + 1, {R}) AS idf
 FROM tf GROUP BY term""",
     )
     sql["score_l2"] = _sel(SCORED, "SELECT doc_id, CAST(idx AS BIGINT) AS idx, score_l2 AS score FROM scores")
@@ -340,10 +341,10 @@ FROM tf GROUP BY term""",
         f"SELECT p.doc_id, CAST(p.idx AS BIGINT) AS idx, round(b.score, {R}) AS score FROM picks p JOIN blended b USING (doc_id, idx)",
     )
     sql["near_sentence_pairs"] = _sel(
-        (CLEAN, VALID_CTES, CAPPED_CTES),
+        (CLEAN, VALID_CTES, KEPT_CTES),
         """SELECT a.doc_id, CAST(a.idx AS BIGINT) AS idx_a, CAST(b.idx AS BIGINT) AS idx_b,
        CAST(b.n_words - a.n_words AS BIGINT) AS len_diff
-FROM capped a JOIN capped b ON a.doc_id = b.doc_id AND b.idx - a.idx BETWEEN 1 AND 2
+FROM kept a JOIN kept b ON a.doc_id = b.doc_id AND b.idx - a.idx BETWEEN 1 AND 2
 WHERE abs(a.n_words - b.n_words) < 5""",
     )
     sql["summarize_default"] = summary_sql((CLEAN,), "default")
@@ -353,7 +354,11 @@ WHERE abs(a.n_words - b.n_words) < 5""",
         f"FROM (SELECT doc_id, {raw_split('pcs')} AS arr FROM (SELECT doc_id, {raw_pieces('text')} AS pcs FROM documents)))"
     )
     sql["summarize_raw"] = summary_sql((raw_cte,), "default")
-    sql["summarize_chunked"] = summary_sql((chunked_sentences_cte(1024 * 1024),), "diverse")
+    sql["summarize_raw_diverse"] = summary_sql((raw_cte,), "diverse")
+    sql["summarize_chunked"] = summary_sql((chunked_sentences_cte(1024),), "diverse")
+    sql["summarize_chunked_default"] = summary_sql((chunked_sentences_cte(1024),), "default")
+    sql["file_extension"] = """SELECT page_id, lower(list_last(string_split(list_last(string_split(url, '/')), '.'))) AS ext FROM pages"""
+    sql["decode_bytes"] = "SELECT doc_id, text FROM documents"
     pages_cte = f"pdocs AS (SELECT page_id AS doc_id, {squeeze(html_text('html', q(' ')))} AS text FROM pages)"
     sql["summarize_pages"] = summary_sql((pages_cte, sentences_cte(src="pdocs")), "default")
     conv_cte = (

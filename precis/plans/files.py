@@ -14,7 +14,7 @@ def summarize_files(
     spark: SparkSession,
     path: str,
     num_sentences: int = 3,
-    early_termination_factor: float = 2.0,
+    early_termination_factor: float | None = None,
     algorithm: str = "default",
     processor: str = "clean",
 ) -> DataFrame:
@@ -31,7 +31,7 @@ def summarize_files(
 def summarize_file_rows(
     files: DataFrame,
     num_sentences: int = 3,
-    early_termination_factor: float = 2.0,
+    early_termination_factor: float | None = None,
     algorithm: str = "default",
     processor: str = "clean",
 ) -> DataFrame:
@@ -41,7 +41,7 @@ def summarize_file_rows(
     algorithm, processor = cfg.algorithm, cfg.processor
     if processor not in ("clean", "chunked"):
         raise ValueError("processor must be 'clean' or 'chunked' for files")
-    docs = file_documents(files, processor).repartition("doc_id")
+    docs = file_documents(files, processor)
     picked = summarize_sentences(file_sentences(docs, processor), cfg)
     records = summary_records(picked, algorithm, processor)
     out = docs.select("doc_id", "path", "status").join(records.drop("method", "processor"), "doc_id", "left")

@@ -12,14 +12,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import SummaryConfig
+from ..config import SummaryConfig, termination_cap
 from ..functions import text as T
 from ..operators import scoring, selection, sentences, tfidf
 from . import summarize as S
 
 DIGITS = 9
 CHUNK_DEMO = 1024  # slice size for the chunk keys (the processor default is 1 MiB)
-CFG = SummaryConfig(num_sentences=3, early_termination_factor=2.0)
+CFG = SummaryConfig(num_sentences=3)
+CAP = termination_cap(3, 2.0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,8 +33,14 @@ def documents(spark, sf_dir) -> DataFrame:
 
 
 def docs(spark, sf_dir) -> DataFrame:
-    """Documents distributed by ``doc_id``, for the single-operator queries."""
-    return S.distribute(documents(spark, sf_dir))
+    """Documents as the files give them; spread over tasks first only where the session
+    asks for it (``precis.spread``: a local run on a file of one row group)."""
+    d = documents(spark, sf_dir)
+    return S.distribute(d) if _spread(spark) else d
+
+
+def _spread(spark) -> bool:
+    return spark.conf.get("precis.spread", "false") == "true"
 
 
 def _long(*cols):
@@ -44,16 +51,16 @@ def _r(c, name=None):
     return F.round(F.col(c), DIGITS).alias(name or c)
 
 
-def _capped(spark, sf_dir, cfg=CFG):
-    return S.capped_sentences(documents(spark, sf_dir), cfg)
+def _kept(spark, sf_dir, cfg=CFG):
+    return S.kept_sentences(docs(spark, sf_dir), cfg)
 
 
 def _tf(spark, sf_dir):
-    return tfidf.term_frequency(_capped(spark, sf_dir))
+    return tfidf.term_frequency(_kept(spark, sf_dir))
 
 
 def _scores(spark, sf_dir, cfg=CFG):
-    return S.scored_sentences(documents(spark, sf_dir), cfg)
+    return S.scored_sentences(docs(spark, sf_dir), cfg)
 
 
 def _summary_rows(df: DataFrame) -> DataFrame:
@@ -131,7 +138,14 @@ def q_valid_sentences(spark, sf_dir):
 
 
 def q_early_termination(spark, sf_dir):
-    return _capped(spark, sf_dir).select("doc_id", *_long("idx"), "seq", *_long("n"), "sentence")
+    """The feature itself: the first sentences of each source, read as one long document
+    (its documents by id), so that the cap binds."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    own = sentences.valid_sentences(sentences.sentences_clean(d.select("doc_id", "text")))
+    rows = own.join(d.select("doc_id", "source"), "doc_id")
+    rows = rows.select(F.col("source").alias("doc_id"), F.struct("doc_id", "seq").alias("seq"), "sentence")
+    out = sentences.early_termination(rows, CAP)
+    return out.select(F.col("doc_id").alias("source"), *_long("idx"), "seq.doc_id", "seq.seq", *_long("n"), "sentence")
 
 
 # --- term statistics --------------------------------------------------------------------
@@ -169,9 +183,9 @@ def q_sentence_vectors(spark, sf_dir):
 def q_vocabulary_merge(spark, sf_dir):
     """Vocabulary of each document's first valid sentence, then every later
     sentence merged in (equals the vocabulary of the whole document)."""
-    capped = _capped(spark, sf_dir)
-    first = tfidf.vocabulary(tfidf.term_frequency(capped.where(F.col("idx") == 0)))
-    rest = capped.where(F.col("idx") > 0).select("doc_id", "idx", F.posexplode("terms").alias("tok_pos", "term"))
+    kept = _kept(spark, sf_dir)
+    first = tfidf.vocabulary(tfidf.term_frequency(kept.where(F.col("idx") == 0)))
+    rest = kept.where(F.col("idx") > 0).select("doc_id", "idx", F.posexplode("terms").alias("tok_pos", "term"))
     return tfidf.vocabulary_merge(first, rest).select("doc_id", "term", *_long("term_idx"))
 
 
@@ -186,7 +200,7 @@ def q_vocabulary_semi(spark, sf_dir):
 
 
 def q_idf_corpus(spark, sf_dir):
-    return tfidf.idf_corpus(_capped(spark, sf_dir)).select("term", *_long("df"), _r("idf"))
+    return tfidf.idf_corpus(_kept(spark, sf_dir)).select("term", *_long("df"), _r("idf"))
 
 
 # --- scores -------------------------------------------------------------------------------
@@ -219,47 +233,70 @@ def q_diverse_selection(spark, sf_dir):
 
 
 def q_near_sentence_pairs(spark, sf_dir):
-    p = selection.near_sentence_pairs(_capped(spark, sf_dir))
+    p = selection.near_sentence_pairs(_kept(spark, sf_dir))
     return p.select("doc_id", *_long("idx_a", "idx_b", "len_diff"))
 
 
+def q_file_extension(spark, sf_dir):
+    """Extension of the last path part of the page addresses."""
+    return table(spark, sf_dir, "pages").select("page_id", T.file_extension("url").alias("ext"))
+
+
+def q_decode_bytes(spark, sf_dir):
+    """Texts written as bytes in three encodings and read back."""
+    d = documents(spark, sf_dir)
+    kind = F.pmod(F.col("doc_id"), F.lit(2))
+    content = F.when(kind == 0, F.encode("text", "UTF-8")).otherwise(F.encode("text", "UTF-16"))
+    return d.select("doc_id", T.decode_bytes(content).alias("text"))
+
+
 # --- composite ------------------------------------------------------------------------------
+def _summary(spark, sf_dir, algorithm, processor, **kw):
+    return _summary_rows(S.summarize(documents(spark, sf_dir), 3, None, algorithm, processor, spread=_spread(spark), **kw))
+
+
 def q_summarize_default(spark, sf_dir):
-    return _summary_rows(S.summarize(documents(spark, sf_dir), 3, 2.0, "default", "clean"))
+    return _summary(spark, sf_dir, "default", "clean")
 
 
 def q_summarize_diverse(spark, sf_dir):
-    return _summary_rows(S.summarize(documents(spark, sf_dir), 3, 2.0, "diverse", "clean"))
+    return _summary(spark, sf_dir, "diverse", "clean")
 
 
 def q_summarize_raw(spark, sf_dir):
-    return _summary_rows(S.summarize(documents(spark, sf_dir), 3, 2.0, "default", "raw"))
+    return _summary(spark, sf_dir, "default", "raw")
+
+
+def q_summarize_raw_diverse(spark, sf_dir):
+    return _summary(spark, sf_dir, "diverse", "raw")
 
 
 def q_summarize_chunked(spark, sf_dir):
-    # slices, not documents, are distributed inside summarize for this processor
-    return _summary_rows(S.summarize(documents(spark, sf_dir), 3, 2.0, "diverse", "chunked"))
+    return _summary(spark, sf_dir, "diverse", "chunked", chunk_size=CHUNK_DEMO)
+
+
+def q_summarize_chunked_default(spark, sf_dir):
+    return _summary(spark, sf_dir, "default", "chunked", chunk_size=CHUNK_DEMO)
 
 
 def q_summarize_pages(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "html").repartition("doc_id")
-    pages = pages.select("doc_id", T.html_to_text("html").alias("text"))
-    return _summary_rows(S.summarize(pages, 3, 2.0, "default", "clean"))
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), T.html_to_text("html").alias("text"))
+    return _summary_rows(S.summarize(pages, 3, None, "default", "clean", spread=_spread(spark)))
 
 
 def q_summarize_conversations(spark, sf_dir):
     """Conversations summarized as their turns joined by a space, computed from
     the turns (no conversation is built as one row)."""
     conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    return _summary_rows(S.summarize_parts(conv, "conv_id", "turn", 3, 2.0, "diverse"))
+    return _summary_rows(S.summarize_parts(conv, "conv_id", "turn", 3, None, "diverse"))
 
 
 def q_summary_status(spark, sf_dir):
-    return S.summary_status(documents(spark, sf_dir), CFG).select("doc_id", "status", "n_valid")
+    return S.summary_status(docs(spark, sf_dir), CFG).select("doc_id", "status", "n_valid")
 
 
 def q_rejected_documents(spark, sf_dir):
-    return S.rejected_documents(documents(spark, sf_dir), CFG)
+    return S.rejected_documents(docs(spark, sf_dir), CFG)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -3,14 +3,14 @@
 ``summarize`` builds one DataFrame plan for a whole table of documents:
 
     scan (doc_id, text)                        only the two columns are read
-      -> the ONE exchange: hash on doc_id
       -> split into sentences (posexplode)     row-local
       -> length filter, tokenize, >= 8 words   row-local
-      -> first K valid sentences per document  per-document group limit
+      -> the ONE exchange: valid sentences, hash on doc_id
       -> tf (agg), df (window), scores (agg), pick (window / array)
                                                all keyed by doc_id: no exchange
 
-Nothing is collected to the driver; per-document arrays are bounded by K.
+Every valid sentence counts unless the caller gives an early-termination factor.
+Nothing is collected to the driver.
 """
 
 from __future__ import annotations
@@ -24,32 +24,28 @@ from ..operators import scoring, selection, sentences, tfidf
 
 
 def distribute(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Hash-distribute the (column-pruned) documents by ``doc_id``.
-
-    This is the plan's only exchange. It spreads the regex work evenly over
-    all tasks whatever the input file layout is (a file with one row group is
-    one scan task), and every later per-document window or aggregate reuses
-    the partitioning. AQE sizes/coalesces the partitions at runtime.
-    """
+    """Hash-distribute the (column-pruned) documents by ``doc_id``: for callers whose
+    files give fewer scan tasks than there are cores (one row group is one task).
+    It moves whole texts, so nothing does it unasked."""
     return docs.select("doc_id", text_col).repartition("doc_id")
 
 
-def capped_sentences(docs: DataFrame, cfg: SummaryConfig, text_col: str = "text") -> DataFrame:
-    """Split, filter, tokenize and cap: ``(doc_id, seq, sentence, terms,
-    n_words, idx, n)``."""
-    sents = sentences.split_sentences(distribute(docs, text_col), cfg.processor, text_col)
+def kept_sentences(docs: DataFrame, cfg: SummaryConfig, text_col: str = "text") -> DataFrame:
+    """Split, filter, tokenize and number: ``(doc_id, seq, sentence, terms,
+    n_words, idx, n)``; cut only where ``cfg`` has an early-termination factor."""
+    sents = sentences.split_sentences(docs.select("doc_id", text_col), cfg.processor, text_col)
     return sentences.early_termination(sentences.valid_sentences(sents), cfg.cap)
 
 
 def scored_sentences(docs: DataFrame, cfg: SummaryConfig, text_col: str = "text") -> DataFrame:
     """One row per kept sentence with ``score_l2`` and ``score_raw``."""
-    capped = capped_sentences(docs, cfg, text_col)
-    return tfidf.sentence_scores(tfidf.with_idf(tfidf.term_frequency(capped)))
+    kept = kept_sentences(docs, cfg, text_col)
+    return tfidf.sentence_scores(tfidf.with_idf(tfidf.term_frequency(kept)))
 
 
 def summarize_sentences(sents: DataFrame, cfg: SummaryConfig) -> DataFrame:
     """Summary rows ``(doc_id, idx, sentence, score)`` from a sentence table
-    ``(doc_id, seq, sentence)`` that is already distributed by ``doc_id``."""
+    ``(doc_id, seq, sentence)``."""
     capped = sentences.early_termination(sentences.valid_sentences(sents), cfg.cap)
     scores = tfidf.sentence_scores(tfidf.with_idf(tfidf.term_frequency(capped)))
     if cfg.algorithm == "default":
@@ -62,12 +58,12 @@ def summarize_sentences(sents: DataFrame, cfg: SummaryConfig) -> DataFrame:
 def summarize(
     docs: DataFrame,
     num_sentences: int = 3,
-    early_termination_factor: float = 2.0,
+    early_termination_factor: float | None = None,
     algorithm: str = "default",
     processor: str = "clean",
     text_col: str = "text",
-    split_above: int | None = None,
-    part_chars: int = CHUNK_SIZE,
+    chunk_size: int = CHUNK_SIZE,
+    spread: bool = False,
 ) -> DataFrame:
     """Summary sentences of every document as rows
     ``(doc_id, idx, sentence, score)``; read them in ``idx`` order.
@@ -76,33 +72,19 @@ def summarize(
     ``algorithm='diverse'``: blended score (TF-IDF, position, length) and a
     greedy pick that penalises near and similar-length sentences.
     ``processor``: ``clean`` (squeeze + abbreviation-aware split), ``raw``
-    (plain split) or ``chunked`` (1 MiB slices, each split cleanly).
-
-    ``split_above`` (clean processor): documents longer than this many
-    characters are cut at white space about every ``part_chars`` characters
-    and split part by part on many tasks, then stitched at the junctions;
-    the result is the same as splitting them whole. Both branches read the
-    same exchange on ``doc_id``.
+    (plain split) or ``chunked`` (slices of ``chunk_size`` characters, each split
+    cleanly). ``early_termination_factor``: read only the first sentences of a
+    document, as many as the factor gives; without it all are read.
+    ``spread``: distribute the documents before the text work (:func:`distribute`).
     """
     cfg = SummaryConfig(num_sentences, early_termination_factor, algorithm, processor)
+    docs = distribute(docs, text_col) if spread else docs.select("doc_id", text_col)
     if cfg.processor == "chunked":
         # Slices, not documents, are the unit of work: a huge document is split
-        # by many tasks; the per-document cap then limits rows before the
-        # exchange on doc_id.
-        sents = sentences.sentences_chunked(docs.select("doc_id", text_col), text_col=text_col, spread=True)
-    elif split_above is not None:
-        if cfg.processor != "clean":
-            raise ValueError("split_above works with the clean processor")
-        from ..operators.stitch import cut_at_whitespace, stitched_sentences
-
-        spread = distribute(docs, text_col)
-        small = spread.where(F.length(text_col) <= split_above)
-        large = cut_at_whitespace(spread.where(F.length(text_col) > split_above), part_chars, text_col)
-        picked_small = summarize_sentences(sentences.split_sentences(small, "clean", text_col), cfg)
-        picked_large = summarize_sentences(stitched_sentences(large, "doc_id", "ord"), cfg)
-        return picked_small.unionByName(picked_large)
+        # by many tasks.
+        sents = sentences.sentences_chunked(docs, chunk_size, text_col, spread=True)
     else:
-        sents = sentences.split_sentences(distribute(docs, text_col), cfg.processor, text_col)
+        sents = sentences.split_sentences(docs, cfg.processor, text_col)
     return summarize_sentences(sents, cfg)
 
 
@@ -111,7 +93,7 @@ def summarize_parts(
     key: str,
     order: str,
     num_sentences: int = 3,
-    early_termination_factor: float = 2.0,
+    early_termination_factor: float | None = None,
     algorithm: str = "default",
     text_col: str = "text",
 ) -> DataFrame:
@@ -131,7 +113,7 @@ def summarize_request(
     text: str | list[str] | None = None,
     path: str | None = None,
     num_sentences: int = 3,
-    early_termination_factor: float = 2.0,
+    early_termination_factor: float | None = None,
     algorithm: str = "default",
     processor: str = "clean",
 ) -> DataFrame:
@@ -140,7 +122,7 @@ def summarize_request(
     files). Returns summary records; parameters are validated before any job
     runs."""
     if (text is None) == (path is None):
-        raise ValueError("provide either a file path or text, not both")
+        raise ValueError("give exactly one of text and path")
     if isinstance(text, (list, tuple)):
         text = " ".join(str(item) for item in text)
     cfg = SummaryConfig(num_sentences, early_termination_factor, algorithm, processor)
@@ -169,9 +151,9 @@ def summary_records(picked: DataFrame, algorithm: str = "default", processor: st
 def summary_status(docs: DataFrame, cfg: SummaryConfig | None = None, text_col: str = "text") -> DataFrame:
     """Per-document status instead of an exception: ``(doc_id, status,
     n_valid)`` with ``ok`` or ``no_valid_sentences`` (a bad document never
-    fails the job). One exchange, no join back to the documents."""
+    fails the job). Only counts are exchanged; no join back to the documents."""
     cfg = cfg or SummaryConfig()
-    return sentences.sentence_status(distribute(docs, text_col), cfg.processor, text_col)
+    return sentences.sentence_status(docs.select("doc_id", text_col), cfg.processor, text_col)
 
 
 def rejected_documents(docs: DataFrame, cfg: SummaryConfig | None = None, text_col: str = "text") -> DataFrame:

@@ -1,26 +1,27 @@
 """File sources: text, Markdown and EPUB files into a documents table.
 
 ``binaryFile`` lists and reads the files (one row per file, so a task holds
-whole files, never a slice of one). Decoding and HTML stripping are built-in
-expressions; only the EPUB unzip runs Python, batch-wise in ``mapInPandas``.
+whole files, never a slice of one). One Arrow-batched pass decodes and unzips
+them; HTML stripping and everything after is built-in expressions. A bad file
+gets a status and never fails the job.
 """
 
 from __future__ import annotations
 
 import io
 import posixpath
+import re
 import zipfile
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import ALLOWED_EXTENSIONS
 from ..functions import text as T
-from ..plans.summarize import assemble_text
 
-EPUB_ITEM_SCHEMA = "path string, item int, html string, status string"
+ITEMS_SCHEMA = "path string, ext string, status string, items array<string>"
 XHTML = "application/xhtml+xml"
 
 
@@ -47,6 +48,19 @@ def corpus_files(spark: SparkSession, path: str, extensions=("md",)) -> DataFram
     return files.where(F.col("ext").isin(*extensions))
 
 
+# --- bytes ------------------------------------------------------------------------------------
+def decode(content: bytes, declared: str | None = None) -> str:
+    """Text of file bytes: the declared encoding, UTF-16 with a byte-order mark, UTF-8,
+    and at last ISO-8859-1, which reads anything; the first that reads all bytes counts."""
+    marked = ["utf-16"] if content[:2] in (b"\xff\xfe", b"\xfe\xff") else []
+    for encoding in [*([declared] if declared else []), *marked, "utf-8-sig"]:
+        try:
+            return content.decode(encoding)
+        except (UnicodeDecodeError, LookupError):
+            continue
+    return content.decode("iso-8859-1")
+
+
 # --- EPUB -------------------------------------------------------------------------------------
 def _opf_path(z: zipfile.ZipFile) -> str:
     root = ElementTree.fromstring(z.read("META-INF/container.xml"))
@@ -57,70 +71,55 @@ def _opf_path(z: zipfile.ZipFile) -> str:
 
 
 def epub_documents(content: bytes) -> list[str]:
-    """HTML of the document items of one EPUB, in manifest order."""
+    """HTML of the document items of one EPUB, in manifest order. References may be
+    percent-encoded; an item is read in the encoding that it declares."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
+        names = set(z.namelist())
         opf = _opf_path(z)
         base = posixpath.dirname(opf)
-        root = ElementTree.fromstring(z.read(opf))
         out = []
-        for el in root.iter():
-            if el.tag.endswith("}item") or el.tag == "item":
-                if el.get("media-type") == XHTML and el.get("href"):
-                    name = posixpath.normpath(posixpath.join(base, el.get("href")))
-                    out.append(z.read(name).decode("utf-8", errors="replace"))
+        for el in ElementTree.fromstring(z.read(opf)).iter():
+            if (el.tag.endswith("}item") or el.tag == "item") and el.get("media-type") == XHTML and el.get("href"):
+                written = posixpath.normpath(posixpath.join(base, el.get("href")))
+                data = z.read(written if written in names else unquote(written))
+                said = re.search(rb"""^\s*<\?xml[^>]*encoding=["']([A-Za-z0-9._-]+)""", data[:200])
+                out.append(decode(data, said[1].decode("ascii") if said else None))
         return out
 
 
-def _epub_items(batches):
+def _read_items(batches):
     for pdf in batches:
         rows = []
-        for path, content in zip(pdf["path"], pdf["content"]):
-            try:
-                for i, html in enumerate(epub_documents(bytes(content))):
-                    rows.append((path, i, html, "ok"))
-            except Exception:  # corrupt archive or package: a status, not a failed job
-                rows.append((path, -1, None, "invalid_epub"))
-        yield pd.DataFrame(rows, columns=["path", "item", "html", "status"])
-
-
-def epub_items(files: DataFrame) -> DataFrame:
-    """``(path, item, html, status)``: one row per document item of every
-    EPUB file; ``status='invalid_epub'`` for an unreadable archive."""
-    epubs = files.where(F.col("ext") == "epub").select("path", "content")
-    return epubs.mapInPandas(_epub_items, EPUB_ITEM_SCHEMA)
+        for path, ext, content in zip(pdf["path"], pdf["ext"], pdf["content"], strict=True):
+            if ext in ("txt", "md"):
+                rows.append((path, ext, "ok", [decode(bytes(content))]))
+            elif ext == "epub":
+                try:
+                    rows.append((path, ext, "ok", epub_documents(bytes(content))))
+                except Exception:  # corrupt archive or package: a status, not a failed job
+                    rows.append((path, ext, "invalid_epub", None))
+            else:
+                rows.append((path, ext, "unsupported_file", None))
+        yield pd.DataFrame(rows, columns=["path", "ext", "status", "items"])
 
 
 # --- documents ---------------------------------------------------------------------------------
 def file_documents(files: DataFrame, processor: str = "clean") -> DataFrame:
-    """Documents from files: ``(doc_id, path, ext, status, text)``.
-
-    txt/md are decoded (UTF-16 with BOM, else UTF-8 if valid, else
-    ISO-8859-1). EPUB items are converted to text and joined with one space:
-    text nodes joined by a space and blank items skipped for the ``clean``
-    processor; glued text nodes for ``chunked``. Other extensions get
-    ``status='unsupported_file'`` and no text. ``doc_id`` is a hash of the
-    path, so re-runs give the same ids.
+    """Documents from files: ``(doc_id, path, ext, status, text)``, one row a file.
+
+    txt/md are decoded. EPUB items, which one file row holds, are converted to text and
+    joined with one space in that row: text nodes joined by a space and blank items
+    skipped for the ``clean`` processor; glued text nodes for ``chunked``. Other
+    extensions get ``status='unsupported_file'`` and no text. ``doc_id`` is a hash of
+    the path, so re-runs give the same ids. One scan, one unzip, no exchange.
     """
-    plain = files.where(F.col("ext").isin("txt", "md")).select(
-        "path", "ext", F.lit("ok").alias("status"), T.decode_bytes("content").alias("text")
-    )
-    items = epub_items(files)
+    rows = files.select("path", "ext", "content").mapInPandas(_read_items, ITEMS_SCHEMA)
     if processor == "chunked":
-        item_text = items.select("path", "item", T.html_to_text_glued("html").alias("text"))
-        books = item_text.groupBy("path").agg(
-            F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("item", "text"))), lambda x: x["text"])).alias("text")
-        )
+        book = F.array_join(F.transform("items", T.html_to_text_glued), " ")
     else:
-        item_text = items.where(F.col("status") == "ok").select("path", "item", T.html_to_text("html").alias("text"))
-        books = assemble_text(item_text, "path", "item")
-    ok_books = items.where(F.col("status") == "ok").select("path").distinct().join(books, "path", "left")
-    ok_books = ok_books.select("path", F.lit("epub").alias("ext"), F.lit("ok").alias("status"), F.coalesce("text", F.lit("")).alias("text"))
-    bad_books = items.where(F.col("status") != "ok").select("path", F.lit("epub").alias("ext"), "status", F.lit(None).cast("string").alias("text"))
-    other = files.where(~F.col("ext").isin(*ALLOWED_EXTENSIONS)).select(
-        "path", "ext", F.lit("unsupported_file").alias("status"), F.lit(None).cast("string").alias("text")
-    )
-    out = plain.unionByName(ok_books).unionByName(bad_books).unionByName(other)
-    return out.select(F.xxhash64("path").alias("doc_id"), "path", "ext", "status", "text")
+        book = F.array_join(F.filter(F.transform("items", T.html_to_text), lambda t: ~T.is_blank(t)), " ")
+    text = F.when(F.col("ext") == "epub", book).otherwise(F.element_at("items", 1))
+    return rows.select(F.xxhash64("path").alias("doc_id"), "path", "ext", "status", text.alias("text"))
 
 
 def file_sentences(documents: DataFrame, processor: str = "clean") -> DataFrame:

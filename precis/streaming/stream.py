@@ -10,14 +10,11 @@ records progress in the shared checkpoint folder.
 
 from __future__ import annotations
 
-import posixpath
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import SummaryConfig
 from ..plans.summarize import summarize
-from ..session import ensure_checkpoint_dir
 
 DOCUMENT_SCHEMA = "doc_id bigint, text string"
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -27,9 +24,9 @@ def summarize_stream(
     spark: SparkSession,
     source: str,
     sink: str,
-    checkpoint: str | None = None,
+    checkpoint: str,
     num_sentences: int = 3,
-    early_termination_factor: float = 2.0,
+    early_termination_factor: float | None = None,
     algorithm: str = "default",
     processor: str = "clean",
     source_format: str = "parquet",
@@ -37,11 +34,9 @@ def summarize_stream(
     available_now: bool = True,
 ) -> StreamingQuery:
     """Start the stream; returns the running query (``awaitTermination`` to
-    wait). ``checkpoint`` defaults to a folder under the session's
-    ``spark.checkpoint.dir``."""
+    wait). ``checkpoint``: this stream's own folder in shared storage (two streams
+    never share one)."""
     SummaryConfig(num_sentences, early_termination_factor, algorithm, processor)  # validate now
-    if checkpoint is None:
-        checkpoint = posixpath.join(ensure_checkpoint_dir(spark), "summarize_stream")
     reader = spark.readStream.schema(DOCUMENT_SCHEMA).format(source_format)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -60,9 +55,9 @@ def summarize_file_stream(
     spark: SparkSession,
     source: str,
     sink: str,
-    checkpoint: str | None = None,
+    checkpoint: str,
     num_sentences: int = 3,
-    early_termination_factor: float = 2.0,
+    early_termination_factor: float | None = None,
     algorithm: str = "default",
     processor: str = "clean",
     max_files_per_trigger: int | None = None,
@@ -77,8 +72,6 @@ def summarize_file_stream(
     cfg = SummaryConfig(num_sentences, early_termination_factor, algorithm, processor)
     if cfg.processor not in ("clean", "chunked"):
         raise ValueError("processor must be 'clean' or 'chunked' for files")
-    if checkpoint is None:
-        checkpoint = posixpath.join(ensure_checkpoint_dir(spark), "summarize_file_stream")
     reader = spark.readStream.schema(BINARY_FILE_SCHEMA).format("binaryFile").option("recursiveFileLookup", "true")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)

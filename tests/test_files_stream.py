@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import zipfile
 
-from conftest import SF001, VALID
+from conftest import SF001, GARDEN
 from precis.plans.files import summarize_files
 from precis.plans.summarize import summarize
 from precis.sources.files import corpus_files, epub_documents, file_documents, read_files
@@ -18,7 +18,7 @@ CONTAINER = (
 )
 OPF = (
     '<?xml version="1.0"?><package xmlns="http://www.idpf.org/2007/opf" version="3.0"><manifest>'
-    '<item id="c1" href="ch1.xhtml" media-type="application/xhtml+xml"/>'
+    '<item id="c1" href="ch%201.xhtml" media-type="application/xhtml+xml"/>'
     '<item id="css" href="s.css" media-type="text/css"/>'
     '<item id="c2" href="ch2.xhtml" media-type="application/xhtml+xml"/>'
     "</manifest></package>"
@@ -30,19 +30,20 @@ def make_epub(path):
         z.writestr("mimetype", "application/epub+zip")
         z.writestr("META-INF/container.xml", CONTAINER)
         z.writestr("OEBPS/content.opf", OPF)
-        z.writestr("OEBPS/ch1.xhtml", f"<html><head><style>p{{}}</style></head><body><p>{VALID[0]}</p><p>{VALID[1]}</p></body></html>")
-        z.writestr("OEBPS/ch2.xhtml", f"<html><body><script>var x=1;</script><p>{' '.join(VALID[2:])}</p></body></html>")
+        z.writestr("OEBPS/ch 1.xhtml", f"<html><head><style>p{{}}</style></head><body><p>{GARDEN[0]}</p><p>{GARDEN[1]}</p></body></html>")
+        z.writestr("OEBPS/ch2.xhtml", f"<html><body><script>var x=1;</script><p>{' '.join(GARDEN[2:])}</p></body></html>")
         z.writestr("OEBPS/s.css", "p{}")
 
 
 def make_files(root):
-    text = " ".join(VALID)
+    text = " ".join(GARDEN)
     os.makedirs(f"{root}/sub", exist_ok=True)
     (root / "a.txt").write_text(text)
     (root / "sub" / "b.MD").write_bytes(text.encode("utf-16"))
     (root / "c.md").write_bytes((text + " Café crème.").encode("latin-1"))
     (root / "d.pdf").write_text("test content")
     (root / "e.txt").write_text("Short.")
+    (root / "h.txt").write_bytes(b"\xff\xfe" + text.encode("utf-16-le") + b"\x00\xd8!")  # a lone surrogate and an odd byte
     (root / "f.epub").write_bytes(b"not a zip")
     make_epub(root / "g.epub")
 
@@ -50,30 +51,31 @@ def make_files(root):
 def test_epub_items_manifest_order(tmp_path):
     make_epub(tmp_path / "g.epub")
     items = epub_documents((tmp_path / "g.epub").read_bytes())
-    assert len(items) == 2 and VALID[0] in items[0] and VALID[2] in items[1]
+    assert len(items) == 2 and GARDEN[0] in items[0] and GARDEN[2] in items[1]
 
 
 def test_file_documents_and_statuses(spark, tmp_path):
     make_files(tmp_path)
     docs = {os.path.basename(r.path): r for r in file_documents(read_files(spark, str(tmp_path))).collect()}
-    assert docs["a.txt"].text == " ".join(VALID)
-    assert docs["b.MD"].text == " ".join(VALID)
+    assert docs["a.txt"].text == " ".join(GARDEN)
+    assert docs["b.MD"].text == " ".join(GARDEN)
     assert docs["c.md"].text.endswith("Café crème.")
     assert docs["d.pdf"].status == "unsupported_file"
     assert docs["f.epub"].status == "invalid_epub"
-    assert docs["g.epub"].status == "ok" and docs["g.epub"].text == " ".join(VALID)
+    assert docs["g.epub"].status == "ok" and docs["g.epub"].text == " ".join(GARDEN)
 
 
 def test_summarize_files(spark, tmp_path):
     make_files(tmp_path)
     for processor in ("clean", "chunked"):
         out = {os.path.basename(r.path): r for r in summarize_files(spark, str(tmp_path), 2, processor=processor).collect()}
-        assert out["a.txt"].summary == [VALID[0], VALID[3]]
-        assert out["b.MD"].summary == [VALID[0], VALID[3]]
+        assert out["a.txt"].summary == [GARDEN[0], GARDEN[2]]
+        assert out["b.MD"].summary == [GARDEN[0], GARDEN[2]]
         if processor == "clean":
-            assert out["g.epub"].summary == [VALID[0], VALID[3]]
+            assert out["g.epub"].summary == [GARDEN[0], GARDEN[2]]
         else:  # text nodes glued without a separator: "...length.Here is..." is one sentence
-            assert out["g.epub"].summary[0] == VALID[0] + VALID[1]
+            assert out["g.epub"].summary[0] == GARDEN[0] + GARDEN[1]
+        assert out["h.txt"].status in ("ok", "no_valid_sentences")
         assert out["e.txt"].status == "no_valid_sentences" and out["e.txt"].summary is None
         assert out["d.pdf"].status == "unsupported_file"
         assert out["f.epub"].status == "invalid_epub"
@@ -86,7 +88,7 @@ def test_corpus_folder_keeps_markdown_only(spark, tmp_path):
 
 
 def test_sink_round_trip(spark, tmp_path):
-    docs = spark.createDataFrame([(1, " ".join(VALID))], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(GARDEN))], "doc_id long, text string")
     out = summarize(docs, 2)
     write_results(out, str(tmp_path / "p"))
     write_results(out, str(tmp_path / "j"), fmt="json")
@@ -120,8 +122,30 @@ def test_file_stream_equals_folder_summary(spark, tmp_path):
     q = summarize_file_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ckpt"), 2, max_files_per_trigger=3)
     q.awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out"))
-    assert got.select("batch_id").distinct().count() == 3  # 7 files, 3 per trigger
+    assert got.select("batch_id").distinct().count() == 3  # 8 files, 3 per trigger
     want = summarize_files(spark, str(tmp_path / "in"), 2)
     got = got.drop("batch_id")
-    assert got.count() == want.count() == 7
+    assert got.count() == want.count() == 8
     assert got.exceptAll(want).count() == 0
+
+
+def test_one_scan_one_unzip_no_exchange(spark, tmp_path):
+    make_files(tmp_path)
+    p = file_documents(read_files(spark, str(tmp_path)))._jdf.queryExecution().executedPlan().toString()
+    assert p.count("FileScan binaryFile") == 1 and p.count("MapInPandas") == 1 and "Exchange" not in p
+
+
+def test_workers_need_no_copy_of_the_library(tmp_path):
+    import subprocess
+    import sys
+
+    make_files(tmp_path / "in")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys; sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+from precis import summarize_files
+assert summarize_files(spark, {str(tmp_path / "in")!r}, 2).where("status = 'ok'").count() >= 4
+"""
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, timeout=300).returncode == 0

@@ -25,8 +25,7 @@ def exchanges(p: str) -> list[str]:
         "summarize_default",
         "summarize_diverse",
         "summarize_raw",
-        "summary_status",
-        "rejected_documents",
+        "summarize_raw_diverse",
         "term_frequency",
         "idf",
         "tfidf_l2",
@@ -39,8 +38,9 @@ def exchanges(p: str) -> list[str]:
         "sentence_vectors",
     ],
 )
-def test_one_exchange_on_doc_id(spark, key):
+def test_one_exchange_on_doc_id_after_the_text_work(spark, key):
     p = plan(E.queries()[key](spark, SF001))
+    assert p.index("Exchange hashpartitioning(doc_id") < p.rindex("Generate posexplode")  # printed top down: the split is below
     ex = exchanges(p)
     assert len(ex) == 1, ex
     assert ex[0].startswith("hashpartitioning(doc_id")
@@ -53,17 +53,32 @@ def test_scan_reads_two_columns_and_tokenizes_once(spark):
     assert p.count("regexp_extract_all") == 1
 
 
+@pytest.mark.parametrize(
+    "key",
+    """squeeze_whitespace preprocess_text chunk_text sentences_raw sentences_clean sentences_abbrev sentences_valid sentences_chunked
+    length_filter tokens tokens_filtered valid_sentences html_to_text""".split(),
+)
+def test_row_local_queries_move_nothing(spark, key):
+    assert "Exchange" not in plan(E.queries()[key](spark, SF001))
+
+
+@pytest.mark.parametrize("key", ["summary_status", "rejected_documents"])
+def test_status_moves_counts_only(spark, key):
+    p = plan(E.queries()[key](spark, SF001))
+    assert len(exchanges(p)) == 1 and p.index("Exchange") < p.index("partial_count")
+
+
 def test_cap_is_a_group_limit(spark):
-    p = plan(E.queries()["summarize_default"](spark, SF001))
-    assert "WindowGroupLimit" in p
+    p = plan(E.queries()["early_termination"](spark, SF001))
+    assert "WindowGroupLimit" in p and "Partial" in p
+    assert "Limit" not in plan(E.queries()["summarize_default"](spark, SF001)).split("Window [row_number")[-1]
 
 
-def test_chunked_spreads_slices_then_caps_before_the_document_exchange(spark):
+def test_chunked_spreads_slices(spark):
     p = plan(E.queries()["summarize_chunked"](spark, SF001))
     ex = exchanges(p)
     assert len(ex) == 2, ex
     assert any(e.startswith("hashpartitioning(doc_id") and "chunk_no" in e for e in ex)
-    assert "Partial" in p and "WindowGroupLimit" in p  # cap applied before the exchange on doc_id
 
 
 def test_corpus_idf_subquery_reuses_the_term_exchange(spark):
