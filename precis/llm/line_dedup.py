@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import cut
+from .tables import cut, kept_names, packed, sieve, unpacked
 
 WINDOW = 2
 SPREAD = 3
@@ -79,7 +79,9 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     rows = with_chunks(plain).select("_id", "_h", F.posexplode("chunks").alias("at", "chunk")).where(_removable(F.col("chunk")))
     rows = rows.withColumn("digest", F.xxhash64("chunk", F.lit(5)))
     counted = rows.select("digest").groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-    again = cut(rows.join(cut(counted, "digests"), "digest", "left_semi"), "candidates")
+    counted = cut(counted, "digests")
+    maybe = sieve(rows, F.col("digest"), counted, "_maybe").where("_maybe").drop("_maybe")
+    again = cut(maybe.join(counted, "digest", "left_semi"), "candidates")
     first = again.groupBy("digest", "chunk").agg(F.min(F.struct("_id", "_h", "at")).alias("first"))
     both = again.join(cut(first, "firsts"), ["digest", "chunk"])
     later = both.where(~F.struct("_id", "_h", "at").eqNullSafe(F.col("first")))
@@ -89,22 +91,31 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, report: bool = False) -> DataFrame:
     """``docs`` without the repeated chunks in ``text`` (and ``n_chars`` to match);
     ``report`` adds ``n_chunks`` and ``n_removed``."""
-    columns = docs.columns
     lost = cut(repeated_chunks(docs), "lost").select(F.col("_id").alias("_id2"), F.col("_h").alias("_h2"), "removed")
-    own = _keyed(docs)
-    both = own.join(lost, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_h") == F.col("_h2")), "left").drop("_id", "_h", "_id2", "_h2")
+    own = sieve(_keyed(packed(docs, "doc_id", "text")), F.xxhash64("_id", "_h"), lost.select(F.xxhash64("_id2", "_h2")), "_maybe")
     none = F.array().cast("array<int>")
-    both = with_chunks(both.withColumn("removed", F.coalesce("removed", none)))
+    names = kept_names(docs.columns)
+    same = own.where("not _maybe").select("text", *names, none.alias("removed"))
+    # only texts that may lose chunks move to meet their list
+    some = own.where("_maybe").join(lost, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_h") == F.col("_h2")), "left")
+    some = some.select("text", *names, F.coalesce("removed", none).alias("removed"))
+    if report:
+        return _rebuilt(same.unionByName(some), docs, True)
+    kept = same.unionByName(some.where(F.size("removed") == 0)).select(*unpacked(docs.columns))
+    return kept.unionByName(_rebuilt(some.where(F.size("removed") > 0), docs, False))
+
+
+def _rebuilt(rows: DataFrame, docs: DataFrame, report: bool) -> DataFrame:
+    both = with_chunks(rows)
     kept = F.filter(F.transform("chunks", lambda c, i: F.struct(i.alias("i"), c.alias("c"))), lambda s: ~F.array_contains("removed", s["i"]))
     text = F.when(F.size("removed") > 0, F.array_join(F.transform(kept, lambda s: s["c"]), "\n")).otherwise(F.col("text").cast("string"))
     both = _once(both, "_text", text)
     changed = {"text": F.col("_text")}
-    if "n_chars" in columns:
-        changed["n_chars"] = F.when(F.size("removed") > 0, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    out = [changed.get(c, F.col(c)).alias(c) for c in columns]
-    if report:
-        out += [F.size("chunks").cast("long").alias("n_chunks"), F.size("removed").cast("long").alias("n_removed")]
-    return both.select(*out)
+    if "n_chars" in docs.columns:
+        length = F.length("_text").cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(F.size("removed") > 0, length).otherwise(dict(zip(docs.columns, map(F.col, kept_names(docs.columns)), strict=True))["n_chars"])
+    more = [F.size("chunks").cast("long").alias("n_chunks"), F.size("removed").cast("long").alias("n_removed")] if report else []
+    return both.select(*unpacked(docs.columns, changed), *more)
 
 
 ORACLE_SQL = f"""

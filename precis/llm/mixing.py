@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import cut, doc_words, sieve
+from .tables import cut, doc_words, kept_names, packed, sieve, unpacked
 
 WEIGHTS = (3, 1, 2)
 #: Words in a block.
@@ -123,7 +123,6 @@ def mix(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents of the mix: a row for every time that a document is taken, the
     last one cut after its words taken; columns as in ``docs``."""
-    columns = docs.columns
     taken = mix(docs).select(F.col("doc_id").alias("_id"), "_text_md5", "size", "taken")
     # repeated rows (same id, same text) are numbered on both sides; others move once at most
     twins = Window.partitionBy("_id", "_text_md5").orderBy(F.col("taken").desc())
@@ -131,7 +130,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     repeated = taken.where("_twin = 2").select(F.xxhash64("_id", "_text_md5"))
     taken = taken.where("taken > 0")
     md5 = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
-    own = docs.withColumn("_id2", F.col("doc_id").cast("long")).withColumn("_md5", md5)
+    own = packed(docs, "doc_id", "text").withColumn("_id2", F.col("doc_id").cast("long")).withColumn("_md5", md5)
     own = sieve(own, F.xxhash64("_id2", "_md5"), repeated, "_maybe")
     once = own.where("not _maybe").withColumn("_twin2", F.lit(1))
     many = own.where("_maybe").withColumn("_twin2", F.row_number().over(Window.partitionBy("_id2", "_md5").orderBy(F.lit(1))))
@@ -142,9 +141,10 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0)), F.lit(1), F.col("_words").cast("int")), "")
     text = F.when(F.col("_words") < F.col("size"), part).otherwise(F.col("text"))
     changed = {"text": text}
-    if "n_chars" in columns:
-        changed["n_chars"] = F.when(F.col("_words") < F.col("size"), F.length(part).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return both.select(*[changed.get(c, F.col(c)).alias(c) for c in columns])
+    if "n_chars" in docs.columns:
+        length = F.length(part).cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(F.col("_words") < F.col("size"), length).otherwise(dict(zip(docs.columns, map(F.col, kept_names(docs.columns)), strict=True))["n_chars"])
+    return both.select(*unpacked(docs.columns, changed))
 
 
 #: The same rule in plain SQL: all quotients are listed and ranked.

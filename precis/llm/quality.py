@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from . import arrow_text as A
 from .labelled import fold, labels_of, sampled
+from .tables import packed, unpacked
 
 #: Positive and unlabelled rows read for fitting, at most so many of each.
 SAMPLE = 12_000
@@ -189,8 +190,8 @@ def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches):
         hasher = A.WordHasher()
         for batch in batches:
-            marks = [model.score(measure(data, offsets, hasher)) >= 0.5 for _, data, offsets in A.slices(batch.column("_text"))]
+            marks = [model.score(measure(data, offsets, hasher)) >= 0.5 for _, data, offsets in A.slices(batch.column("text"))]
             yield batch.filter(pa.array(np.concatenate(marks))) if marks else batch
 
-    staged = docs.withColumn("_text", F.col("text").cast("string"))
-    return staged.mapInArrow(run, staged.schema).drop("_text")
+    kept = packed(docs.withColumn("text", F.col("text").cast("string")), "text")
+    return kept.mapInArrow(run, kept.schema).select(*unpacked(docs.columns))

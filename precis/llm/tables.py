@@ -42,6 +42,23 @@ def cut(df: DataFrame, name: str = "part", rows: int | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept_names(columns: list[str]) -> list[str]:
+    """Working names of the columns that a stage passes on."""
+    return [f"_row{i}" for i in range(len(columns))]
+
+
+def packed(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns, and all of them under working names: whatever columns
+    ``docs`` has, none can clash with one that a stage adds."""
+    kept = [F.col(f"`{c}`").alias(k) for c, k in zip(docs.columns, kept_names(docs.columns), strict=True)]
+    return docs.select(*names, *kept)
+
+
+def unpacked(columns: list[str], changed: dict[str, Column] | None = None) -> list[Column]:
+    """The columns of packed rows under their own names, some of them changed."""
+    return [(changed or {}).get(c, F.col(k)).alias(c) for c, k in zip(columns, kept_names(columns), strict=True)]
+
+
 #: Rows of a sieve: with 64 bits each, 1 MB whatever the number of keys.
 SIEVE_ROWS = 1 << 16
 
