@@ -28,12 +28,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import arrow_text as A
 from .graph import connected_components
-from .tables import cut
+from .tables import cut, kept_names, packed, sieve, unpacked
 
 WORDS = 5
 PERMUTATIONS = 120
@@ -43,7 +43,7 @@ SEED = 20_240_607
 PERCENT = 75
 #: A bucket compares its open pairs directly if they are at most so many a member;
 #: four times as many in every further round, when few buckets are left.
-SPREAD = 16
+SPREAD = 12
 
 _U = np.uint64
 
@@ -167,7 +167,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return out.withColumn("linked", 100 * F.col("common") >= PERCENT * (F.col("n_a") + F.col("n_b") - F.col("common")))
 
 
-def _with_roots(members: DataFrame, roots: DataFrame | None, spread: int) -> DataFrame:
+def _with_roots(members: DataFrame, rows: int, roots: DataFrame | None, spread: int) -> DataFrame:
     """Buckets in which more than one component is left: ``(bucket, node, root,
     size, direct, main)``. ``direct``: the pairs of different components are at most
     ``spread`` a member, so they can be compared as they are; ``main`` is the
@@ -176,54 +176,57 @@ def _with_roots(members: DataFrame, roots: DataFrame | None, spread: int) -> Dat
     if roots is None:
         members = members.withColumn("root", F.col("node"))
     else:
-        members = cut(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+        members = cut(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted", rows)
     parts = members.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     open_ = parts.groupBy("bucket").agg(
         F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("same"), F.max(F.struct("n", "root")).getField("root").alias("main"), F.count(F.lit(1)).alias("roots")
     )
     direct = F.col("size") * F.col("size") - F.col("same") <= 2 * spread * F.col("size")
-    open_ = cut(open_.where("roots > 1").select("bucket", "size", direct.alias("direct"), "main"), "open")
-    return cut(members.join(open_, "bucket"), "sized")
+    open_ = cut(open_.where("roots > 1").select("bucket", "size", direct.alias("direct"), "main"), "open", rows)
+    return cut(members.join(open_, "bucket"), "sized", 2 * rows)
 
 
-def _centres(members: DataFrame) -> DataFrame:
+def _centres(members: DataFrame, rows: int) -> DataFrame:
     """Add the bucket's ``centre``: the member that meets most others."""
-    weight = cut(members.groupBy("node").agg(F.sum("size").alias("weight")), "weight")
+    weight = cut(members.groupBy("node").agg(F.sum("size").alias("weight")), "weight", rows)
     best = members.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node")).getField("node").alias("centre"))
-    return members.join(cut(best, "centres"), "bucket")
+    return members.join(cut(best, "centres", rows), "bucket")
 
 
-def links(sig: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Confirmed links ``(a, b)`` between classes and the classes' ``(node,
-    root)`` for those that have a link."""
+def linked_classes(sig: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(node, root)`` of the classes that have a confirmed link; ``root`` names the component."""
     full = sig.where("n_shingles > 0")
-    reps = cut(full.groupBy("node").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null"), "reps")
+    rows = sig.count()
+    reps = cut(full.groupBy("node").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null"), "reps", rows)
     banded = full.select("doc_id", "node", "bands").join(reps, ["node", "doc_id"]).dropDuplicates(["node", "doc_id"])
     banded = cut(banded.select("node", F.explode("bands").alias("bucket")), "bands")
     shared = cut(banded.groupBy("bucket").count().where("count > 1").select("bucket"), "shared")
     members = cut(banded.join(shared, "bucket", "left_semi").select(F.col("bucket").cast("string").alias("bucket"), "node"), "buckets")
-    wanted = cut(reps.join(members.select("node").distinct(), "node", "left_semi").select("doc_id", "node"), "wanted")
+    wanted = cut(reps.join(members.select("node").distinct(), "node", "left_semi").select("doc_id", "node"), "wanted", rows)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # most texts stay where they are: only those that the sieve lets through are joined
+    text = sieve(text, F.xxhash64("doc_id"), wanted.select(F.xxhash64("doc_id")), "maybe").where("maybe").drop("maybe")
     text = text.join(wanted, "doc_id").dropDuplicates(["doc_id", "node", "text"]).select("node", "text")
     sets = cut(text.mapInArrow(_sets, "node long, own binary"), "sets")
     return _closed(members, sets)
 
 
-def _closed(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _closed(members: DataFrame, sets: DataFrame) -> DataFrame:
     measured: DataFrame | None = None
     roots: DataFrame | None = None
-    linked = members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     first, spread = True, SPREAD
     while True:
-        now = cut(_centres(_with_roots(members, roots, spread)), "now")
-        if now.isEmpty():
-            return linked, roots if roots is not None else members.select("node", F.col("node").alias("root")).limit(0)
+        rows = members.count()
+        now = cut(_centres(_with_roots(members, rows, roots, spread), rows), "now", 2 * rows)
         star = now.where(~F.col("direct") | F.lit(first)).where("node != centre")
         pairs = star.select(F.col("centre").alias("a"), F.col("node").alias("b"), (~F.col("direct")).alias("star"))
         if not first:
-            few = now.where("direct").select("bucket", "node", "root", "main")
-            minor = few.where("root != main").select("bucket", F.col("node").alias("x"), F.col("root").alias("root_x"))
+            few = now.where("direct").select("bucket", "node", "root", "main", "common", "n")
+            minor = few.where("root != main").select("bucket", F.col("node").alias("x"), F.col("root").alias("root_x"), F.col("common").alias("common_x"), F.col("n").alias("n_x"))
             few = few.join(minor, "bucket").where("root != root_x")
+            # both were measured against one centre: they share no more than this
+            most = F.least("common", "common_x") + F.least(F.col("n") - F.col("common"), F.col("n_x") - F.col("common_x"))
+            few = few.where(100 * most >= PERCENT * (F.col("n") + F.col("n_x") - most))
             pairs = pairs.union(few.select(F.least("node", "x"), F.greatest("node", "x"), F.lit(False)))
         pairs = pairs.groupBy("a", "b").agg(F.max("star").alias("star"))
         if measured is not None:  # a star needs its own orientation; other pairs need none
@@ -233,58 +236,72 @@ def _closed(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
             pairs = pairs.where("was is null or (star and not was)").drop("was")
         fresh = cut(_verified(pairs, sets), "measured")
         measured = fresh if measured is None else measured.union(fresh)
-        linked = cut(measured.where("linked").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-        roots = connected_components(linked)
-        members = cut(_left_open(now, measured, fresh, first), "buckets")
+        if roots is None or not fresh.where("linked").isEmpty():
+            roots = connected_components(measured.where("linked").select("a", "b"))
+        open_ = _left_open(now, measured, fresh, first, rows)
+        if open_ is None:
+            return roots
+        members = cut(open_, "buckets")
         first, spread = False, 4 * spread
 
 
-def _left_open(now: DataFrame, measured: DataFrame, fresh: DataFrame, first: bool) -> DataFrame:
-    """Buckets ``(bucket, node)`` of the next round."""
-    out = [now.where("direct").select("bucket", "node")] if first else []
+def _left_open(now: DataFrame, measured: DataFrame, fresh: DataFrame, first: bool, rows: int) -> DataFrame | None:
+    """Buckets ``(bucket, node, common, n)`` of the next round: what a member shares with
+    the bucket's former centre, and its size. Pairs with that centre are known. None:
+    nothing is left open."""
+    out = []
+    if first:
+        few = now.where("direct").select("bucket", F.col("centre").alias("a"), F.col("node").alias("b"))
+        out.append(few.join(fresh, ["a", "b"]).select("bucket", F.col("b").alias("node"), "common", F.col("n_b").alias("n")))
     # around every centre with new members, if it has any that did not link
-    centres = cut(fresh.where("star").select("a").distinct(), "centres")
+    centres = cut(fresh.where("star").select("a").distinct(), "centres", rows)
+    if not first and centres.isEmpty():
+        return None
     around = measured.where("star").join(centres, "a", "left_semi")
-    beyond = around.select("a", "b", "linked", F.explode("rest").alias("shingle"))
+    beyond = around.select("a", "b", "linked", "common", "n_b", F.explode("rest").alias("shingle"))
     met = beyond.groupBy("a", "shingle").agg(F.count(F.lit(1)).alias("n"), F.min("linked").alias("every"))
     met = cut(met.where("n > 1 and not every").select("a", "shingle"), "met")
     beyond = beyond.join(met, ["a", "shingle"], "left_semi")
-    out.append(beyond.select(F.concat_ws(":", F.lit("s"), F.col("a"), F.col("shingle")).alias("bucket"), F.col("b").alias("node")))
+    out.append(beyond.select(F.concat_ws(":", F.lit("s"), F.col("a"), F.col("shingle")).alias("bucket"), F.col("b").alias("node"), "common", F.col("n_b").alias("n")))
     # without a shared outside shingle the common part lies within the centre, which
     # needs 7 * min(common) >= 3 * (n_x + n_y): the other's size is at most the slack
-    sized = around.select("a", "b", "linked", "n_b", F.floor((7 * F.col("common") - 3 * F.col("n_b")) / 3).alias("slack"))
-    bounds = cut(sized.groupBy("a").agg(F.min("n_b").alias("least"), F.max(F.when(~F.col("linked"), F.col("slack"))).alias("room")), "bounds")
+    sized = around.select("a", "b", "linked", "common", "n_b", F.floor((7 * F.col("common") - 3 * F.col("n_b")) / 3).alias("slack"))
+    bounds = cut(sized.groupBy("a").agg(F.min("n_b").alias("least"), F.max(F.when(~F.col("linked"), F.col("slack"))).alias("room")), "bounds", rows)
     part = sized.join(bounds, "a").where("slack >= least and n_b <= room")
-    out.append(part.select(F.concat_ws(":", F.lit("n"), F.col("a")).alias("bucket"), F.col("b").alias("node")))
+    out.append(part.select(F.concat_ws(":", F.lit("n"), F.col("a")).alias("bucket"), F.col("b").alias("node"), "common", F.col("n_b").alias("n")))
     return reduce(DataFrame.union, out).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id, kept, n_links``.
+    """One row per document: ``doc_id, n_shingles, component_id, kept``.
 
     ``component_id`` is the smallest ``doc_id`` of the documents reachable over
-    links (itself included), ``kept`` marks that document, ``n_links`` counts the
-    links of its class to other classes.
+    links (itself included) and ``kept`` marks that document.
     """
     sig = cut(signatures(docs), "signatures")
-    linked, roots = links(sig, docs)
-    ends = linked.select(F.explode(F.array("a", "b")).alias("node"))
-    degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    roots = linked_classes(sig, docs)
+    rows = sig.count()
     lowest = sig.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("lowest"))
-    named = lowest.join(roots, "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = cut(lowest.join(roots, "node", "left").select("node", "lowest", F.coalesce("root", "node").alias("root")), "lowest", rows)
     component = named.groupBy("root").agg(F.min("lowest").alias("component_id"))
-    named = cut(named.join(component, "root").select("node", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
+    named = cut(named.join(component, "root").select("node", "component_id"), "named", rows)
     full = sig.where("n_shingles > 0").select("doc_id", "n_shingles", "node").join(named, "node")
-    full = full.select("doc_id", "n_shingles", "component_id", "n_links")
-    empty = sig.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    out = full.union(empty)
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "n_links")
+    empty = sig.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = full.select("doc_id", "n_shingles", "component_id").union(empty)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose document is kept; of rows with one id and one
     text (exact repeats) one stays. A row without id or shingles stays."""
-    marks = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    window = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1))
-    kept = docs.join(marks, "doc_id", "left_anti")
-    return kept.withColumn("_copy", F.row_number().over(window)).where("_copy = 1 or doc_id is null").drop("_copy")
+    dropped = cut(near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct(), "dropped")
+    names = kept_names(docs.columns)
+    own = packed(docs, "doc_id", "text").withColumn("_id", F.col("doc_id").cast("long"))
+    key = F.xxhash64("_id")
+    twice = own.where("_id is not null").groupBy(key.alias("key"), F.xxhash64("text").alias("h")).count().where("count > 1").select("key")
+    marked = sieve(own, key, twice.union(dropped.select(F.xxhash64("doc_id"))), "_maybe")
+    # only rows that may go move to meet the list
+    some = marked.where("_maybe").join(dropped.select(F.col("doc_id").alias("_id")), "_id", "left_anti")
+    copies = Window.partitionBy("_id", F.xxhash64("text")).orderBy(F.lit(1))
+    some = some.withColumn("_copy", F.row_number().over(copies)).where("_copy = 1 or _id is null")
+    return marked.where("not _maybe").select(*names).union(some.select(*names)).select(*unpacked(docs.columns))
