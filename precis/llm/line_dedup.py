@@ -1,8 +1,9 @@
 """Removal of repeated line chunks, with chunk borders set by the content.
 
 The lines of a text are hashed; a rolling hash over the last ``WINDOW`` line hashes
-puts a border wherever it falls into one class of ``SPREAD``, so the borders of a
-shared run of lines are the same wherever it stands. A line of ``LONG_WORDS`` words
+puts a border wherever it falls into one class of ``SPREAD``, but not after two lines
+running, so that chunks have two lines at least; the borders of a shared run of lines
+are the same wherever it stands. A line of ``LONG_WORDS`` words
 or more, a passage of its own, always stands alone. Chunks of two lines or more,
 and such long lines, that occur again anywhere are removed after the first place
 (smallest id, then text hash, then position).
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .tables import cut, kept_names, packed, sieve, unpacked
 
 WINDOW = 2
-SPREAD = 3
+SPREAD = 2
 LONG_WORDS = 50
 _BASE = 31
 
@@ -57,9 +58,12 @@ def with_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
     n = F.size("_info")
     before = F.concat(none, F.slice(F.col("_info"), F.lit(1), n - 1))
     after = F.concat(F.slice(F.col("_info"), F.lit(2), n), none)
-    rolled = F.zip_with("_info", before, lambda a, b: F.struct(((a["h"] + b["h"] * _BASE) % SPREAD == 0).alias("hit"), a["long"].alias("long")))
-    border = F.zip_with(rolled, after, lambda a, b: F.when(a["hit"] | a["long"] | b["long"], F.lit("\nB")).otherwise(F.lit("\nC")))
-    out = _once(out, "_border", F.concat(F.slice(border, F.lit(1), n - 1), F.array(F.lit(""))), ("_info",))
+    rolled = F.zip_with("_info", before, lambda a, b: (a["h"] + b["h"] * _BASE) % SPREAD == 0)
+    out = _once(out, "_hit", rolled)
+    earlier = F.concat(F.array(F.lit(False)), F.slice(F.col("_hit"), F.lit(1), n - 1))
+    alone = F.zip_with("_info", after, lambda a, b: a["long"] | b["long"])
+    border = F.zip_with(F.zip_with("_hit", earlier, lambda a, b: a & ~b), alone, lambda a, b: F.when(a | b, F.lit("\nB")).otherwise(F.lit("\nC")))
+    out = _once(out, "_border", F.concat(F.slice(border, F.lit(1), n - 1), F.array(F.lit(""))), ("_info", "_hit"))
     joined = F.array_join(F.zip_with("_lines", "_border", lambda line, b: F.concat(line, b)), "")
     chunks = F.transform(F.split(joined, "\nB"), lambda c: F.replace(c, F.lit("\nC"), F.lit("\n")))
     return _once(out, "chunks", chunks, ("_lines", "_border"))
@@ -124,8 +128,8 @@ WITH l AS (
 h AS (
   SELECT *, ('0x' || substr(md5(line), 1, 6))::BIGINT AS h, length(line) - length(replace(line, ' ', '')) >= {LONG_WORDS - 1} AS long FROM l),
 b AS (
-  SELECT *, (h + coalesce(lag(h) OVER w, 0) * {_BASE}) % {SPREAD} = 0 OR long OR coalesce(lead(long) OVER w, false) AS border
-  FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+  SELECT *, (hit AND NOT coalesce(lag(hit) OVER w, false)) OR long OR coalesce(lead(long) OVER w, false) AS border
+  FROM (SELECT *, (h + coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0) * {_BASE}) % {SPREAD} = 0 AS hit FROM h) WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 n AS (
   SELECT *, coalesce(sum(border::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM b),
 c AS (SELECT doc_id, part, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS lines, bool_or(long) AS long FROM n GROUP BY doc_id, part),
