@@ -93,8 +93,14 @@ def _trie_pattern(words) -> str:
     return emit(root)
 
 
-# A whole space-delimited token made of letters/digits only, not a stop word.
-KEPT_TERM = rf"(?<= )(?!{_trie_pattern(STOP_WORDS)} )[\p{{L}}\p{{N}}]+(?= )"
+def kept_term(stop_words) -> str:
+    """A whole space-delimited token made of letters/digits only, not a stop word."""
+    words = [w for w in stop_words if w]
+    stop = f"(?!(?:{_trie_pattern(words)}) )" if words else ""
+    return rf"(?<= ){stop}[\p{{L}}\p{{N}}]+(?= )"
+
+
+KEPT_TERM = kept_term(STOP_WORDS)
 
 # --- sentence validity ------------------------------------------------------------
 HAS_LETTER = r"\p{L}"

@@ -118,10 +118,21 @@ def normalize_tokens(c) -> Column:
     return F.when(maybe, F.regexp_replace(t, P.CONTRACTIONS, "$1 ")).otherwise(t)
 
 
-def terms(c) -> Column:
+def terms(c, stop_words=None) -> Column:
     """Filtered word tokens of a sentence (letters/digits only, no stop words,
-    duplicates and order kept) as ``ARRAY<STRING>``."""
-    return F.regexp_extract_all(normalize_tokens(c), F.lit(P.KEPT_TERM), 0)
+    duplicates and order kept) as ``ARRAY<STRING>``. ``stop_words``: lower-case words
+    instead of the English list."""
+    pattern = P.KEPT_TERM if stop_words is None else P.kept_term(stop_words)
+    return F.regexp_extract_all(normalize_tokens(c), F.lit(pattern), 0)
+
+
+def terms_by_language(c, lang, stop_words: dict) -> Column:
+    """:func:`terms` with the stop list of each row's language; a language without a
+    list (or null) loses no words. Tokens are computed once, whatever the list."""
+    pattern = F.lit(P.kept_term(()))
+    for language, words in stop_words.items():
+        pattern = F.when(_col(lang) == language, F.lit(P.kept_term(words))).otherwise(pattern)
+    return F.regexp_extract_all(normalize_tokens(c), pattern, 0)
 
 
 def preprocess_text(c) -> Column:

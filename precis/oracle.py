@@ -278,6 +278,12 @@ FROM (SELECT doc_id, seq, list_filter(string_split(trim({normalize_tokens('sente
         """SELECT doc_id, CAST(seq AS BIGINT) AS seq, CAST(unnest(generate_series(0, len(terms) - 1)) AS BIGINT) AS tok_pos,
        unnest(terms) AS term FROM tok""",
     )
+    by_lang = terms("sentence").replace("AND NOT list_contains", "AND NOT (lang IS NOT DISTINCT FROM 'en' AND list_contains").rstrip(")") + ")))"
+    sql["tokens_filtered_lang"] = _sel(
+        (CLEAN,),
+        f"""SELECT doc_id, CAST(seq AS BIGINT) AS seq, CAST(unnest(generate_series(0, len(t) - 1)) AS BIGINT) AS tok_pos, unnest(t) AS term
+FROM (SELECT s.doc_id, seq, {by_lang} AS t FROM sents s JOIN documents d USING (doc_id) WHERE length(sentence) BETWEEN 40 AND 1000)""",
+    )
     sql["valid_sentences"] = _sel(
         (CLEAN, VALID_CTES), "SELECT doc_id, CAST(seq AS BIGINT) AS seq, CAST(n_words AS BIGINT) AS n_words, sentence FROM valid"
     )

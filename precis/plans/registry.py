@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import SummaryConfig, termination_cap
+from ..config import STOP_WORDS, SummaryConfig, termination_cap
 from ..functions import text as T
 from ..operators import scoring, selection, sentences, tfidf
 from . import summarize as S
@@ -132,6 +132,16 @@ def q_tokens_filtered(spark, sf_dir):
     return out.select("doc_id", "seq", *_long("tok_pos"), "term")
 
 
+def q_tokens_filtered_lang(spark, sf_dir):
+    """Filtered tokens with stop lists by ``documents.lang``: the English list holds for
+    English documents only."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    pieces = d.select("doc_id", "lang", F.posexplode(T.split_clean("text")).alias("seq", "sentence"))
+    own = T.terms_by_language("sentence", "lang", {"en": STOP_WORDS})
+    out = sentences.length_filter(pieces).select("doc_id", "seq", F.posexplode(own).alias("tok_pos", "term"))
+    return out.select("doc_id", *_long("seq", "tok_pos"), "term")
+
+
 def q_valid_sentences(spark, sf_dir):
     v = sentences.valid_sentences(sentences.sentences_clean(docs(spark, sf_dir)))
     return v.select("doc_id", "seq", *_long("n_words"), "sentence")

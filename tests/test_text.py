@@ -170,3 +170,10 @@ def test_character_references(spark):
 
     text = "It&#8217;s caf&eacute; &mdash; don&rsquo;t &amp;amp; &#x1F600; &#150; &#xD800; &nosuch; a & b &lt;i&gt; &copy 5&"
     assert one(spark, T.html_to_text, text) == html.unescape(text)
+
+
+def test_stop_list_is_a_parameter(spark):
+    rows = spark.createDataFrame([(1, "en", "The house of the dog."), (2, "de", "Das Haus of the dog."), (3, None, "The dog.")], "id long, lang string, t string")
+    got = {r.id: (list(r.a), list(r.b)) for r in rows.select("id", T.terms("t", ["dog"]).alias("a"), T.terms_by_language("t", "lang", {"en": ["the", "of"], "de": ["das"]}).alias("b")).collect()}
+    assert got[1] == (["the", "house", "of", "the"], ["house", "dog"])
+    assert got[2][1] == ["haus", "of", "the", "dog"] and got[3][1] == ["the", "dog"]
