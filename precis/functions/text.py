@@ -93,8 +93,8 @@ def is_valid_sentence(c) -> Column:
 
 def split_abbrev(c) -> Column:
     """Split with the abbreviation-aware look-around pattern
-    ``(?<!\\w\\.\\w.)(?![A-Z][a-z]\\.)(?<=\\.|\\?|\\!)\\s`` (defined by the
-    reference's text utilities but not used by its pipeline)."""
+    ``(?<!\\w\\.\\w.)(?![A-Z][a-z]\\.)(?<=\\.|\\?|\\!)\\s`` (an operator of its own; the
+    summaries do not use it)."""
     w = r"[\p{L}\p{N}_]"  # a Unicode word character (Java's \w is ASCII-only)
     return F.split(_col(c), rf"(?<!{w}\.{w}.)(?![A-Z][a-z]\.)(?<=\.|\?|\!)" + P.WS)
 

@@ -259,6 +259,14 @@ def build() -> dict[str, str]:
         "SELECT doc_id, CAST(unnest(generate_series(0, len(arr) - 1)) AS BIGINT) AS seq, unnest(arr) AS sentence "
         f"FROM (SELECT doc_id, {raw_split('pcs')} AS arr FROM (SELECT doc_id, {raw_pieces('text')} AS pcs FROM documents))"
     )
+    # mark every white-space character after . ? !, take the mark back after "x.y." and
+    # split at the marks (what the negative look-ahead forbids cannot follow: white space does)
+    marked = rr(rr("text", f"([.?!])({WS})", r"'\1' || chr(1) || '\2'"), r"([\pL\pN_]\.[\pL\pN_][.?!])\x{01}", r"'\1'")
+    abbrev = f"list_filter(string_split({rr(marked, r'(?s)\x{01}.', 'chr(1)')}, chr(1)), lambda s: regexp_matches(s, {q(NOT_WS)}))"
+    sql["sentences_abbrev"] = (
+        "SELECT doc_id, CAST(unnest(generate_series(0, len(arr) - 1)) AS BIGINT) AS seq, unnest(arr) AS sentence "
+        f"FROM (SELECT doc_id, {abbrev} AS arr FROM documents)"
+    )
     sql["sentences_clean"] = _sel((CLEAN,), "SELECT doc_id, CAST(seq AS BIGINT) AS seq, sentence FROM sents")
     sql["sentences_valid"] = (
         f"SELECT * FROM ({sql['sentences_raw']}) WHERE length(sentence) >= 10 AND regexp_matches(sentence, '\\pL')"

@@ -1,4 +1,4 @@
-"""Operators on the small matrices of the reference's unit tests (FIXTURES.md §1)."""
+"""Operators on small matrices whose results are known."""
 
 from __future__ import annotations
 

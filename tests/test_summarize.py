@@ -157,7 +157,7 @@ def test_score_column_types(fixture_docs):
     assert out.where(F.col("score").isNull()).count() == 0
 
 
-def test_reference_parameter_names_are_accepted(fixture_docs):
+def test_other_parameter_names_are_accepted(fixture_docs):
     assert SummaryConfig(3, 2.0, "dask", "dask") == SummaryConfig(3, 2.0, "diverse", "chunked")
     assert SummaryConfig(3, 2.0, "default", "default").processor == "clean"
     assert picks(summarize(fixture_docs, 2, algorithm="dask", processor="dask")) == picks(
