@@ -80,11 +80,17 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """``(_id, _h, removed)``: for each text that loses chunks, their positions."""
     plain = _keyed(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select("_id", "_h", "text")
-    rows = with_chunks(plain).select("_id", "_h", F.posexplode("chunks").alias("at", "chunk")).where(_removable(F.col("chunk")))
-    rows = rows.withColumn("digest", F.xxhash64("chunk", F.lit(5)))
-    counted = rows.select("digest").groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-    counted = cut(counted, "digests")
-    maybe = sieve(rows, F.col("digest"), counted, "_maybe").where("_maybe").drop("_maybe")
+
+    def chunks_of(texts: DataFrame) -> DataFrame:
+        rows = with_chunks(texts).select("_id", "_h", F.posexplode("chunks").alias("at", "chunk")).where(_removable(F.col("chunk")))
+        return rows.withColumn("digest", F.xxhash64("chunk", F.lit(5)))
+
+    digests = cut(chunks_of(plain).select("_id", "_h", "digest"), "digests")
+    counted = cut(digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "counted")
+    # texts that hold a repeated digest are cut once more, now with the chunks' bytes
+    holders = digests.join(counted, "digest", "left_semi").select(F.xxhash64("_id", "_h"))
+    held = sieve(plain, F.xxhash64("_id", "_h"), holders, "_maybe").where("_maybe").drop("_maybe")
+    maybe = sieve(chunks_of(held), F.col("digest"), counted, "_maybe").where("_maybe").drop("_maybe")
     again = cut(maybe.join(counted, "digest", "left_semi"), "candidates")
     first = again.groupBy("digest", "chunk").agg(F.min(F.struct("_id", "_h", "at")).alias("first"))
     both = again.join(cut(first, "firsts"), ["digest", "chunk"])
@@ -94,7 +100,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, report: bool = False) -> DataFrame:
     """``docs`` without the repeated chunks in ``text`` (and ``n_chars`` to match);
-    ``report`` adds ``n_chunks`` and ``n_removed``."""
+    ``report`` adds ``n_removed``."""
     lost = cut(repeated_chunks(docs), "lost").select(F.col("_id").alias("_id2"), F.col("_h").alias("_h2"), "removed")
     own = sieve(_keyed(packed(docs, "doc_id", "text")), F.xxhash64("_id", "_h"), lost.select(F.xxhash64("_id2", "_h2")), "_maybe")
     none = F.array().cast("array<int>")
@@ -103,22 +109,19 @@ def dedup_lines(docs: DataFrame, report: bool = False) -> DataFrame:
     # only texts that may lose chunks move to meet their list
     some = own.where("_maybe").join(lost, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_h") == F.col("_h2")), "left")
     some = some.select("text", *names, F.coalesce("removed", none).alias("removed"))
-    if report:
-        return _rebuilt(same.unionByName(some), docs, True)
-    kept = same.unionByName(some.where(F.size("removed") == 0)).select(*unpacked(docs.columns))
-    return kept.unionByName(_rebuilt(some.where(F.size("removed") > 0), docs, False))
+    more = [F.size("removed").cast("long").alias("n_removed")] if report else []
+    kept = same.unionByName(some.where(F.size("removed") == 0)).select(*unpacked(docs.columns), *more)
+    return kept.unionByName(_rebuilt(some.where(F.size("removed") > 0), docs, more))
 
 
-def _rebuilt(rows: DataFrame, docs: DataFrame, report: bool) -> DataFrame:
+def _rebuilt(rows: DataFrame, docs: DataFrame, more: list[Column]) -> DataFrame:
+    """Texts without their removed chunks."""
     both = with_chunks(rows)
     kept = F.filter(F.transform("chunks", lambda c, i: F.struct(i.alias("i"), c.alias("c"))), lambda s: ~F.array_contains("removed", s["i"]))
-    text = F.when(F.size("removed") > 0, F.array_join(F.transform(kept, lambda s: s["c"]), "\n")).otherwise(F.col("text").cast("string"))
-    both = _once(both, "_text", text)
+    both = _once(both, "_text", F.array_join(F.transform(kept, lambda s: s["c"]), "\n"))
     changed = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        length = F.length("_text").cast(docs.schema["n_chars"].dataType)
-        changed["n_chars"] = F.when(F.size("removed") > 0, length).otherwise(dict(zip(docs.columns, map(F.col, kept_names(docs.columns)), strict=True))["n_chars"])
-    more = [F.size("chunks").cast("long").alias("n_chunks"), F.size("removed").cast("long").alias("n_removed")] if report else []
+        changed["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
     return both.select(*unpacked(docs.columns, changed), *more)
 
 
@@ -137,8 +140,8 @@ k AS (
   SELECT *, (lines > 1 OR long) AND trim(replace(replace(replace(chunk, chr(10), ' '), chr(13), ' '), chr(9), ' ')) <> ''
             AND row_number() OVER (PARTITION BY chunk, lines > 1 OR long ORDER BY doc_id, part) > 1 AS removed FROM c),
 t AS (
-  SELECT doc_id, coalesce(string_agg(chunk, chr(10) ORDER BY part) FILTER (NOT removed), '') AS text, count(*)::BIGINT AS n_chunks, sum(removed::INT)::BIGINT AS n_removed
+  SELECT doc_id, coalesce(string_agg(chunk, chr(10) ORDER BY part) FILTER (NOT removed), '') AS text, sum(removed::INT)::BIGINT AS n_removed
   FROM k GROUP BY doc_id)
-SELECT doc_id, text, n_chunks, n_removed FROM t
-UNION ALL SELECT doc_id, NULL, 1, 0 FROM documents WHERE text IS NULL
+SELECT doc_id, text, n_removed FROM t
+UNION ALL SELECT doc_id, NULL, 0 FROM documents WHERE text IS NULL
 """
