@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import cut, doc_words, kept_names, packed, sieve, unpacked
+from .tables import cut, doc_words, kept_names, packed, unpacked
 
 WEIGHTS = (3, 1, 2)
 #: Words in a block.
@@ -84,16 +84,24 @@ def apportion(holders: DataFrame, group: list[str], holder: str, weight: str, ho
     return ranked.groupBy(*holders.columns, "_lo").agg(won.alias("seats")).drop("_lo")
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """Per document ``doc_id, size, source_size, target, taken`` and its ``source``,
-    ``shard`` and ``_text_md5``."""
+def _order(doc_id: Column, text: Column) -> Column:
+    """The seeded place of a document in its shard; its first digits choose the shard."""
+    own = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    return F.md5(F.concat_ws("|", F.lit(SEED), F.coalesce(doc_id.cast("string"), F.lit("")), own).cast("binary"))
+
+
+def _shard(order: Column, shards: Column) -> Column:
+    return F.pmod(F.conv(F.substring(order, 1, 8), 16, 10).cast("long"), shards)
+
+
+def _taken(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The documents' narrow rows with ``passes`` and ``taken``, and the sources' rows."""
     text = F.col("text").cast("string")
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        doc_words(text).alias("size"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("_text_md5"),
+        doc_words(text).alias("size"), _order(F.col("doc_id").cast("long"), text).alias("order"),
     )
-    order = F.md5(F.concat_ws("|", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_text_md5").cast("binary"))
-    rows = cut(rows.withColumn("order", order), "sizes")
+    rows = cut(rows, "sizes")
     sources = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
     shards_of = rows.groupBy("source").agg(F.ceil(F.sqrt(F.count(F.lit(1)))).cast("long").alias("shards"))
     limit = F.ceil(F.col("source_size") * F.lit(float(EPOCHS)) / BLOCK).cast("long")
@@ -101,9 +109,8 @@ def mix(docs: DataFrame) -> DataFrame:
     quota = apportion(sources.withColumn("limit", limit).withColumn("house", blocks), [], "source", "target", "house", "limit")
     quota = quota.join(shards_of.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
     quota = cut(quota.select("source", "source_size", "target", F.col("seats").alias("house"), "shards"), "quota")
-    slot = F.pmod(F.conv(F.substring("order", 1, 8), 16, 10).cast("long"), F.col("shards"))
     named = quota.withColumnRenamed("source", "_s")
-    rows = rows.join(named, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("shard", slot)
+    rows = rows.join(named, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("shard", _shard(F.col("order"), F.col("shards")))
     rows = cut(rows, "sharded")
     shard = rows.groupBy("source", "house", "shard").agg(F.sum("size").alias("shard_size"))
     shard = shard.withColumn("limit", F.ceil(F.col("shard_size") * F.lit(float(EPOCHS)) / BLOCK).cast("long"))
@@ -116,34 +123,47 @@ def mix(docs: DataFrame) -> DataFrame:
     passes = F.when(F.col("shard_size") > 0, F.floor(F.col("quota") / F.col("shard_size"))).otherwise(0).cast("long")
     rest = F.col("quota") - passes * F.col("shard_size") - before
     taken = passes * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(rest, "size"))
-    rows = rows.withColumn("taken", taken.cast("long"))
-    return rows.select("doc_id", "size", "source_size", "target", "taken", "source", "shard", "_text_md5")
+    return rows.withColumn("passes", passes).withColumn("taken", taken.cast("long")), quota
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """Per document ``doc_id, size, source_size, target, taken, source``."""
+    return _taken(docs)[0].select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents of the mix: a row for every time that a document is taken, the
-    last one cut after its words taken; columns as in ``docs``."""
-    taken = mix(docs).select(F.col("doc_id").alias("_id"), "_text_md5", "size", "taken")
-    # repeated rows (same id, same text) are numbered on both sides; others move once at most
-    twins = Window.partitionBy("_id", "_text_md5").orderBy(F.col("taken").desc())
-    taken = cut(taken.withColumn("_twin", F.row_number().over(twins)), "taken")
-    repeated = taken.where("_twin = 2").select(F.xxhash64("_id", "_text_md5"))
-    taken = taken.where("taken > 0")
-    md5 = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
-    own = packed(docs, "doc_id", "text").withColumn("_id2", F.col("doc_id").cast("long")).withColumn("_md5", md5)
-    own = sieve(own, F.xxhash64("_id2", "_md5"), repeated, "_maybe")
-    once = own.where("not _maybe").withColumn("_twin2", F.lit(1))
-    many = own.where("_maybe").withColumn("_twin2", F.row_number().over(Window.partitionBy("_id2", "_md5").orderBy(F.lit(1))))
-    own = once.unionByName(many)
-    both = own.join(taken, F.col("_id2").eqNullSafe(F.col("_id")) & (F.col("_md5") == F.col("_text_md5")) & (F.col("_twin2") == F.col("_twin")))
-    turns = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("taken") / F.col("size")).cast("long") - 1)
-    both = both.withColumn("_words", F.explode(F.transform(turns, lambda k: F.least(F.col("size"), F.col("taken") - k * F.col("size")))))
-    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0)), F.lit(1), F.col("_words").cast("int")), "")
-    text = F.when(F.col("_words") < F.col("size"), part).otherwise(F.col("text"))
-    changed = {"text": text}
+    last one cut after its words taken; columns as in ``docs``.
+
+    A shard takes all its documents some times over and then, in its order, those
+    before one place, so a document's share follows from its own place and its shard's
+    row. Texts therefore meet the small tables of sources and shards only. Equal rows
+    at a shard's last place share its words evenly.
+    """
+    rows, quota = _taken(docs)
+    more = F.col("taken") - F.col("passes") * F.col("size")
+    places = rows.groupBy("source", "shard", "passes", "order").agg(F.sum(more).alias("more"), F.count(F.lit(1)).alias("n"))
+    last = F.max(F.when(F.col("more") > 0, F.struct("order", F.floor(F.col("more") / F.col("n")).cast("long").alias("words"))))
+    shards = places.groupBy("source", "shard", "passes").agg(last.alias("last"))
+    shards = cut(shards.select(F.col("source").alias("_s"), F.col("shard").alias("_d"), "passes", F.col("last.order").alias("_last"), F.col("last.words").alias("_last_words")), "places")
+    text = F.col("text").cast("string")
+    names = dict(zip(docs.columns, kept_names(docs.columns), strict=True))
+    own = packed(docs, "text").withColumn("_source", F.col(names["source"]).cast("string"))
+    own = own.withColumn("_order", _order(F.col(names["doc_id"]).cast("long"), text)).withColumn("_size", doc_words(text))
+    of = quota.select(F.col("source").alias("_q"), "shards")
+    own = own.join(of, F.col("_source").eqNullSafe(F.col("_q"))).withColumn("_shard", _shard(F.col("_order"), F.col("shards")))
+    own = own.join(shards, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_shard") == F.col("_d")))
+    extra = F.when(F.col("_order") < F.col("_last"), F.col("_size")).when(F.col("_order") == F.col("_last"), F.col("_last_words")).otherwise(0)
+    own = own.withColumn("_taken", F.col("passes") * F.col("_size") + extra).where("_taken > 0")
+    turns = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_taken") / F.col("_size")).cast("long") - 1)
+    both = own.withColumn("_words", F.explode(F.transform(turns, lambda k: F.least(F.col("_size"), F.col("_taken") - k * F.col("_size")))))
+    word = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
+    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(word), F.lit(0)), F.lit(1), F.col("_words").cast("int")), "")
+    whole = F.col("_words") >= F.col("_size")
+    changed = {"text": F.when(whole, F.col("text")).otherwise(part)}
     if "n_chars" in docs.columns:
         length = F.length(part).cast(docs.schema["n_chars"].dataType)
-        changed["n_chars"] = F.when(F.col("_words") < F.col("size"), length).otherwise(dict(zip(docs.columns, map(F.col, kept_names(docs.columns)), strict=True))["n_chars"])
+        changed["n_chars"] = F.when(whole, F.col(names["n_chars"])).otherwise(length)
     return both.select(*unpacked(docs.columns, changed))
 
 
