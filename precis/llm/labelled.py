@@ -11,13 +11,19 @@ def fold(doc_id: str, folds: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds, F.lit(0))
 
 
-def sampled(rows: DataFrame, bound: int, seed: int) -> DataFrame:
-    """About ``bound`` rows and never more, by a hash of their id: the same rows
-    in every run, spread over the whole table."""
+def drawn(rows: DataFrame, bound: int, seed: int) -> DataFrame:
+    """Somewhat fewer than ``bound`` rows by a hash of their id: the same rows in every
+    run, spread over the whole table, left in their partitions. (Rows that share an id
+    are drawn together, so callers also bound what they collect.)"""
     n = rows.count()
     share = min(1.0, 0.95 * bound / max(n, 1))
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)
-    return (rows.where(drawn) if share < 1.0 else rows).limit(bound)
+    lucky = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)
+    return rows.where(lucky) if share < 1.0 else rows
+
+
+def sampled(rows: DataFrame, bound: int, seed: int) -> DataFrame:
+    """:func:`drawn` for narrow rows, never more than ``bound`` of them."""
+    return drawn(rows, bound, seed).limit(bound)
 
 
 def labels_of(labels: DataFrame, name: str) -> DataFrame:

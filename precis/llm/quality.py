@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrow_text as A
-from .labelled import fold, labels_of, sampled
+from .labelled import drawn, fold, labels_of, sampled
 from .tables import packed, unpacked
 
 #: Positive and unlabelled rows read for fitting, at most so many of each.
@@ -158,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, name: str = "quality") -> BinnedMo
     counts = marks.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("label")).alias("pos")).first()
     prior = min(max((counts["pos"] or 0) / max(counts["n"], 1), 0.01), 0.99)
     trusted = F.broadcast(sampled(marks.where("label = 1"), SAMPLE, SEED))
-    unlabelled = sampled(texts.where((fold("doc_id", FOLDS) != HELD_OUT) & F.col("doc_id").isNotNull()), SAMPLE, SEED + 1)
+    unlabelled = drawn(texts.where((fold("doc_id", FOLDS) != HELD_OUT) & F.col("doc_id").isNotNull()), SAMPLE, SEED + 1)
     return fit(_matrix(texts.join(trusted, "doc_id")), _matrix(unlabelled), prior)
 
 

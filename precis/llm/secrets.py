@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrow_text as A
-from .labelled import sampled
+from .labelled import drawn
 
 #: Documents read for fitting, at most.
 SAMPLE = 20_000
@@ -320,7 +320,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame) -> Field:
     """Fit on token windows of a bounded sample of the documents."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = sampled(texts, SAMPLE, SEED).select("text", F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(1 << 30)).alias("pick"))
+    rows = drawn(texts, SAMPLE, SEED).select("text", F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(1 << 30)).alias("pick"))
     got = rows.mapInArrow(_windows, "ids array<int>, tags array<byte>").limit(SAMPLE // 2).collect()
     width = len(SIZES)
     return fit([np.array(r["ids"], np.int64).reshape(-1, width) for r in got], [np.array(r["tags"], np.int8) for r in got])
