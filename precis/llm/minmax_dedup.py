@@ -43,7 +43,9 @@ SEED = 20_240_607
 PERCENT = 75
 #: A bucket compares its open pairs directly if they are at most so many a member;
 #: four times as many in every further round, when few buckets are left.
-SPREAD = 12
+SPREAD = 8
+#: Texts, or pairs of shingle sets, in an Arrow batch.
+BATCH = 512
 
 _U = np.uint64
 
@@ -193,6 +195,11 @@ def _centres(members: DataFrame, rows: int) -> DataFrame:
     return members.join(cut(best, "centres", rows), "bucket")
 
 
+def _same_members(node: str) -> list:
+    """Two hashes of a bucket's set of members."""
+    return [F.bit_xor(F.xxhash64(node, F.lit(k))).alias(name) for k, name in ((1, "one"), (2, "two"))]
+
+
 def linked_classes(sig: DataFrame, docs: DataFrame) -> DataFrame:
     """``(node, root)`` of the classes that have a confirmed link; ``root`` names the component."""
     full = sig.where("n_shingles > 0")
@@ -200,14 +207,16 @@ def linked_classes(sig: DataFrame, docs: DataFrame) -> DataFrame:
     reps = cut(full.groupBy("node").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null"), "reps", rows)
     banded = full.select("doc_id", "node", "bands").join(reps, ["node", "doc_id"]).dropDuplicates(["node", "doc_id"])
     banded = cut(banded.select("node", F.explode("bands").alias("bucket")), "bands")
-    shared = cut(banded.groupBy("bucket").count().where("count > 1").select("bucket"), "shared")
+    # of buckets with the same members one is enough
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *_same_members("node")).where("n > 1")
+    shared = cut(shared.groupBy("n", "one", "two").agg(F.min("bucket").alias("bucket")).select("bucket"), "shared")
     members = cut(banded.join(shared, "bucket", "left_semi").select(F.col("bucket").cast("string").alias("bucket"), "node"), "buckets")
     wanted = cut(reps.join(members.select("node").distinct(), "node", "left_semi").select("doc_id", "node"), "wanted", rows)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # most texts stay where they are: only those that the sieve lets through are joined
     text = sieve(text, F.xxhash64("doc_id"), wanted.select(F.xxhash64("doc_id")), "maybe").where("maybe").drop("maybe")
     text = text.join(wanted, "doc_id").dropDuplicates(["doc_id", "node", "text"]).select("node", "text")
-    sets = cut(text.mapInArrow(_sets, "node long, own binary"), "sets")
+    sets = cut(text.mapInArrow(_sets, "node long, own binary"), "sets", batch=BATCH)
     return _closed(members, sets)
 
 
@@ -221,11 +230,13 @@ def _closed(members: DataFrame, sets: DataFrame) -> DataFrame:
         star = now.where(~F.col("direct") | F.lit(first)).where("node != centre")
         pairs = star.select(F.col("centre").alias("a"), F.col("node").alias("b"), (~F.col("direct")).alias("star"))
         if not first:
-            few = now.where("direct").select("bucket", "node", "root", "main", "common", "n")
+            few = now.where("direct").select("bucket", "node", "root", "main", "common", "n", "inside")
             minor = few.where("root != main").select("bucket", F.col("node").alias("x"), F.col("root").alias("root_x"), F.col("common").alias("common_x"), F.col("n").alias("n_x"))
             few = few.join(minor, "bucket").where("root != root_x")
-            # both were measured against one centre: they share no more than this
-            most = F.least("common", "common_x") + F.least(F.col("n") - F.col("common"), F.col("n_x") - F.col("common_x"))
+            # both were measured against one centre: they share no more than this, and
+            # nothing beyond the centre in a bucket of those who share inside it alone
+            beyond = F.when(F.col("inside"), 0).otherwise(F.least(F.col("n") - F.col("common"), F.col("n_x") - F.col("common_x")))
+            most = F.least("common", "common_x") + beyond
             few = few.where(100 * most >= PERCENT * (F.col("n") + F.col("n_x") - most))
             pairs = pairs.union(few.select(F.least("node", "x"), F.greatest("node", "x"), F.lit(False)))
         pairs = pairs.groupBy("a", "b").agg(F.max("star").alias("star"))
@@ -234,7 +245,7 @@ def _closed(members: DataFrame, sets: DataFrame) -> DataFrame:
             known = known.withColumnRenamed("star", "was")
             pairs = pairs.join(known, ["a", "b"], "left").groupBy("a", "b", "star").agg(F.max("was").alias("was"))
             pairs = pairs.where("was is null or (star and not was)").drop("was")
-        fresh = cut(_verified(pairs, sets), "measured")
+        fresh = cut(_verified(pairs, sets), "measured", batch=BATCH)
         measured = fresh if measured is None else measured.union(fresh)
         if roots is None or not fresh.where("linked").isEmpty():
             roots = connected_components(measured.where("linked").select("a", "b"))
@@ -246,29 +257,30 @@ def _closed(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _left_open(now: DataFrame, measured: DataFrame, fresh: DataFrame, first: bool, rows: int) -> DataFrame | None:
-    """Buckets ``(bucket, node, common, n)`` of the next round: what a member shares with
-    the bucket's former centre, and its size. Pairs with that centre are known. None:
+    """Buckets ``(bucket, node, common, n, inside)`` of the next round: what a member shares
+    with the bucket's former centre, its size, and whether only that can link. Pairs with that centre are known. None:
     nothing is left open."""
     out = []
     if first:
         few = now.where("direct").select("bucket", F.col("centre").alias("a"), F.col("node").alias("b"))
-        out.append(few.join(fresh, ["a", "b"]).select("bucket", F.col("b").alias("node"), "common", F.col("n_b").alias("n")))
+        out.append(few.join(fresh, ["a", "b"]).select("bucket", F.col("b").alias("node"), "common", F.col("n_b").alias("n"), F.lit(False).alias("inside")))
     # around every centre with new members, if it has any that did not link
     centres = cut(fresh.where("star").select("a").distinct(), "centres", rows)
     if not first and centres.isEmpty():
         return None
     around = measured.where("star").join(centres, "a", "left_semi")
     beyond = around.select("a", "b", "linked", "common", "n_b", F.explode("rest").alias("shingle"))
-    met = beyond.groupBy("a", "shingle").agg(F.count(F.lit(1)).alias("n"), F.min("linked").alias("every"))
-    met = cut(met.where("n > 1 and not every").select("a", "shingle"), "met")
+    met = beyond.groupBy("a", "shingle").agg(F.count(F.lit(1)).alias("n"), F.min("linked").alias("every"), *_same_members("b"))
+    met = met.where("n > 1 and not every").groupBy("a", "n", "one", "two").agg(F.min("shingle").alias("shingle"))
+    met = cut(met.select("a", "shingle"), "met")
     beyond = beyond.join(met, ["a", "shingle"], "left_semi")
-    out.append(beyond.select(F.concat_ws(":", F.lit("s"), F.col("a"), F.col("shingle")).alias("bucket"), F.col("b").alias("node"), "common", F.col("n_b").alias("n")))
+    out.append(beyond.select(F.concat_ws(":", F.lit("s"), F.col("a"), F.col("shingle")).alias("bucket"), F.col("b").alias("node"), "common", F.col("n_b").alias("n"), F.lit(False).alias("inside")))
     # without a shared outside shingle the common part lies within the centre, which
     # needs 7 * min(common) >= 3 * (n_x + n_y): the other's size is at most the slack
     sized = around.select("a", "b", "linked", "common", "n_b", F.floor((7 * F.col("common") - 3 * F.col("n_b")) / 3).alias("slack"))
     bounds = cut(sized.groupBy("a").agg(F.min("n_b").alias("least"), F.max(F.when(~F.col("linked"), F.col("slack"))).alias("room")), "bounds", rows)
     part = sized.join(bounds, "a").where("slack >= least and n_b <= room")
-    out.append(part.select(F.concat_ws(":", F.lit("n"), F.col("a")).alias("bucket"), F.col("b").alias("node"), "common", F.col("n_b").alias("n")))
+    out.append(part.select(F.concat_ws(":", F.lit("n"), F.col("a")).alias("bucket"), F.col("b").alias("node"), "common", F.col("n_b").alias("n"), F.lit(True).alias("inside")))
     return reduce(DataFrame.union, out).distinct()
 
 
@@ -278,7 +290,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ``component_id`` is the smallest ``doc_id`` of the documents reachable over
     links (itself included) and ``kept`` marks that document.
     """
-    sig = cut(signatures(docs), "signatures")
+    sig = cut(signatures(docs), "signatures", batch=BATCH)
     roots = linked_classes(sig, docs)
     rows = sig.count()
     lowest = sig.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("lowest"))

@@ -20,7 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not sc.master.startswith("local["):
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir().rstrip("/")
@@ -30,15 +30,24 @@ def shared_dir(spark: SparkSession) -> str:
 TASK_ROWS = 50_000
 
 
-def cut(df: DataFrame, name: str = "part", rows: int | None = None) -> DataFrame:
+def cut(df: DataFrame, name: str = "part", rows: int | None = None, batch: int | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: what
     follows starts from files that outlive any executor. ``rows``: about how many
-    narrow rows the last stage reads; a small table is then written by few tasks."""
+    narrow rows the last stage reads; a small table is then written by few tasks.
+    ``batch``: rows an Arrow batch holds at most, where rows are wide."""
     spark = df.sparkSession
     if rows is not None:
         df = df.coalesce(2 * spark.sparkContext.defaultParallelism + rows // TASK_ROWS)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(setting)
+    if batch is not None:
+        spark.conf.set(setting, batch)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if batch is not None:
+            spark.conf.set(setting, usual)
     return spark.read.schema(df.schema).parquet(path)
 
 
