@@ -278,8 +278,10 @@ def _left_open(now: DataFrame, measured: DataFrame, fresh: DataFrame, first: boo
     # without a shared outside shingle the common part lies within the centre, which
     # needs 7 * min(common) >= 3 * (n_x + n_y): the other's size is at most the slack
     sized = around.select("a", "b", "linked", "common", "n_b", F.floor((7 * F.col("common") - 3 * F.col("n_b")) / 3).alias("slack"))
-    bounds = cut(sized.groupBy("a").agg(F.min("n_b").alias("least"), F.max(F.when(~F.col("linked"), F.col("slack"))).alias("room")), "bounds", rows)
-    part = sized.join(bounds, "a").where("slack >= least and n_b <= room")
+    # one of the two did not link: a linked member meets the slack of those, they meet any
+    most, room = F.max("slack").alias("most"), F.max(F.when(~F.col("linked"), F.col("slack"))).alias("room")
+    bounds = cut(sized.groupBy("a").agg(F.min("n_b").alias("least"), most, room), "bounds", rows)
+    part = sized.join(bounds, "a").where("slack >= least and n_b <= if(linked, room, most)")
     out.append(part.select(F.concat_ws(":", F.lit("n"), F.col("a")).alias("bucket"), F.col("b").alias("node"), "common", F.col("n_b").alias("n"), F.lit(True).alias("inside")))
     return reduce(DataFrame.union, out).distinct()
 

@@ -65,6 +65,20 @@ def test_families_match_brute_force(spark):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == set(components(rows))
 
 
+def test_unlinked_member_meets_a_linked_one(spark):
+    """One bucket around a centre ``a``: ``z`` links to it, ``y`` only to ``z``, with
+    more shingles than any unlinked member has room for."""
+    import numpy as np
+
+    z = list(range(1, 101))
+    a, y = [*z, 201, 202, 203], [*z, *range(301, 334)]
+    sets = {k: list(range(1000 * k, 1000 * k + 5)) for k in range(1, 19)} | {30: z, 31: y, 99: a}
+    members = spark.createDataFrame([("b", k) for k in sets], "bucket string, node long")
+    own = spark.createDataFrame([(k, bytearray(np.array(s, np.uint64).tobytes())) for k, s in sets.items()], "node long, own binary")
+    roots = {r.node: r.root for r in minmax_dedup._closed(members, own).collect()}
+    assert roots == {30: 30, 31: 30, 99: 30}
+
+
 def test_kept_documents(edges):
     out = minmax_dedup.drop_near_duplicates(edges)
     assert out.columns == edges.columns
