@@ -17,7 +17,9 @@ Neighbour lookups (the previous part's ending, the latest sentence start) are
 two-level: within blocks of ``block`` parts by a window over ``(key, block)``
 and across blocks over a per-block summary joined back on ``(key, block)``. So
 a document with a huge number of parts is spread over many tasks and no task
-holds a whole document.
+holds a whole document. A sentence that runs over many parts is cut at its
+re-split marks before its pieces meet, and its length is known before it is
+built: where the caller names the longest sentence it reads, none longer is.
 """
 
 from __future__ import annotations
@@ -34,11 +36,14 @@ ENDS_SENTENCE = r"""(?<![.!?])[.!?]++["')\]}]*+$"""
 ENDS_GUARDED = rf"(?:^|[ (])(?:{_abbrev}|\p{{L}})\.$"
 ENDS_NUMBER = r"(?:^|[ (])\p{Nd}[\p{Nd}.,-]*\.$"
 STARTS_LOWER = r"^\p{Ll}"
+# P.RESPLIT without its white space, so that the cuts put together are the piece.
+RESPLIT_PLACE = r"(?<=[.!?])(?= )"
+ENDS_RESPLIT = r"[.!?]$"
 
 
-def _pos(o: str, p: F.Column) -> F.Column:
-    """Position of a piece: (part order, piece number), ordered."""
-    return F.struct(F.col(o).cast("bigint").alias("o"), p.cast("int").alias("p"))
+def _pos(o: str, p: F.Column, s: F.Column) -> F.Column:
+    """Position of a cut: (part order, piece number, cut number in the piece), ordered."""
+    return F.struct(F.col(o).cast("bigint").alias("o"), p.cast("int").alias("p"), s.cast("int").alias("s"))
 
 
 def _previous(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -56,16 +61,16 @@ def _previous(df: DataFrame, key: str, value: str) -> DataFrame:
     return out.withColumn(f"prev_{value}", prev).drop("_lag", "_prev_block_last")
 
 
-def _latest_before(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Add ``latest_<value>``: the maximum of ``value`` over the rows of the
+def _latest_before(df: DataFrame, key: str, *values: str) -> DataFrame:
+    """Add ``latest_<value>``: the maximum of each value over the rows of the
     same key strictly before this one in ``ord`` order (two-level prefix)."""
     in_block = Window.partitionBy(key, "blk").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    out = df.withColumn("_in", F.max(value).over(in_block))
-    blocks = df.groupBy(key, "blk").agg(F.max(value).alias("_bmax"))
+    out = df.select("*", *[F.max(v).over(in_block).alias(f"_in_{v}") for v in values])
+    blocks = df.groupBy(key, "blk").agg(*[F.max(v).alias(f"_bmax_{v}") for v in values])
     before = Window.partitionBy(key).orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(key, "blk", F.max("_bmax").over(before).alias("_before"))
+    blocks = blocks.select(key, "blk", *[F.max(f"_bmax_{v}").over(before).alias(f"_before_{v}") for v in values])
     out = out.join(blocks, [key, "blk"], "left")
-    return out.withColumn(f"latest_{value}", F.greatest("_in", "_before")).drop("_in", "_before")
+    return out.select(*df.columns, *[F.greatest(f"_in_{v}", f"_before_{v}").alias(f"latest_{v}") for v in values])
 
 
 def cut_at_whitespace(docs: DataFrame, part_chars: int, text_col: str = "text") -> DataFrame:
@@ -80,22 +85,25 @@ def cut_at_whitespace(docs: DataFrame, part_chars: int, text_col: str = "text")
 
 
 def stitched_sentences(
-    parts: DataFrame, key: str, order: str, text_col: str = "text", block: int = 4096
+    parts: DataFrame, key: str, order: str, text_col: str = "text", block: int = 4096, longest: int | None = None
 ) -> DataFrame:
     """Clean-split sentences of each document assembled from ``parts``:
     ``(doc_id, seq STRUCT<ord, piece, sub>, sentence)``; ``seq`` orders the
-    sentences of a document."""
+    sentences of a document. ``longest``: sentences of more characters may be
+    left out, so that none is built however many parts it runs over."""
     kept = parts.where(F.col(text_col).isNotNull() & ~T.is_blank(text_col))
     s = T.squeeze_whitespace(text_col)
+    cuts = F.transform(F.split(T.mark_breaks(text_col), P.BREAK), lambda x: F.split(F.translate(x, P.GUARD, " "), RESPLIT_PLACE))
     p = kept.select(
         F.col(key).alias("doc_id"),
         F.col(order).alias("ord"),
         F.floor(F.col(order) / block).alias("blk"),
-        F.split(T.mark_breaks(text_col), P.BREAK).alias("pieces"),
+        cuts.alias("pieces"),
         F.struct(
             s.rlike(ENDS_SENTENCE).alias("sentence"),
             s.rlike(ENDS_GUARDED).alias("guarded"),
             s.rlike(ENDS_NUMBER).alias("number"),
+            s.rlike(ENDS_RESPLIT).alias("resplit"),
         ).alias("end"),
         s.rlike(STARTS_LOWER).alias("starts_lower"),
     )
@@ -103,30 +111,53 @@ def stitched_sentences(
     prev = F.col("prev_end")
     guarded = prev["guarded"] | (prev["number"] & F.col("starts_lower"))
     # A new sentence starts with this part's first piece: first part, or the
-    # junction before it ends a sentence.
+    # junction before it ends a sentence. A new cut starts there too where a long
+    # sentence is re-split at the junction.
     p = p.withColumn("fresh", prev.isNull() | (~guarded & prev["sentence"]))
-    n = F.size("pieces")
-    # Start of the sentence this part's last piece belongs to, when known
+    p = p.withColumn("fresh_cut", F.col("fresh") | prev["resplit"])
+    n, n_cuts = F.size("pieces"), F.size(F.element_at("pieces", -1))
+    zero = F.lit(0)
+    # Start of the sentence (the cut) this part's last piece belongs to, when known
     # inside the part (several pieces, or a single piece starting fresh).
-    last_start = F.when(n > 1, _pos("ord", n - 1)).when(F.col("fresh"), _pos("ord", F.lit(0)))
-    p = p.withColumn("last_start", last_start)
-    p = _latest_before(p, "doc_id", "last_start")
-    first_seg = F.when(F.col("fresh"), _pos("ord", F.lit(0))).otherwise(F.col("latest_last_start"))
+    last_seg = F.when(n > 1, _pos("ord", n - 1, zero)).when(F.col("fresh"), _pos("ord", zero, zero))
+    known = (n > 1) | (n_cuts > 1) | F.col("fresh_cut")
+    p = p.withColumn("last_start", last_seg).withColumn("last_cut", F.when(known, _pos("ord", n - 1, n_cuts - 1)))
+    p = _latest_before(p, "doc_id", "last_start", "last_cut")
+    first = _pos("ord", zero, zero)
     pieces = p.select(
         "doc_id",
         "ord",
-        first_seg.alias("first_seg"),
-        F.posexplode("pieces").alias("piece", "text"),
+        "blk",
+        F.when(F.col("fresh"), first).otherwise(F.col("latest_last_start")).alias("first_seg"),
+        F.when(F.col("fresh_cut"), first).otherwise(F.col("latest_last_cut")).alias("first_cut"),
+        F.posexplode("pieces").alias("piece", "cuts"),
     )
-    seg = F.when(F.col("piece") == 0, F.col("first_seg")).otherwise(_pos("ord", F.col("piece")))
-    pieces = pieces.select("doc_id", seg.alias("seg"), "ord", "piece", "text")
-    # One group per sentence-level piece: usually a single part's piece, a few
-    # when a sentence runs across junctions.
-    ordered = F.array_sort(F.collect_list(F.struct("ord", "piece", "text")))
-    joined = pieces.groupBy("doc_id", "seg").agg(F.concat_ws(" ", F.transform(ordered, lambda x: x["text"])).alias("piece_text"))
-    t = F.translate("piece_text", P.GUARD, " ")
-    subs = F.when(F.length(t) > LONG_SENTENCE_RESPLIT, F.split(t, P.RESPLIT)).otherwise(F.array(t))
-    out = joined.select("doc_id", "seg", F.posexplode(subs).alias("sub", "sentence"))
-    seq = F.struct(F.col("seg.o").alias("ord"), F.col("seg.p").alias("piece"), "sub").alias("seq")
-    out = out.select("doc_id", seq, F.trim("sentence").alias("sentence"))
-    return out.where(T.is_valid_sentence("sentence"))
+    here = F.col("piece")
+    seg = F.when(here == 0, F.col("first_seg")).otherwise(_pos("ord", here, zero))
+    pieces = pieces.select("doc_id", seg.alias("seg"), "first_cut", "ord", "blk", "piece", F.posexplode("cuts").alias("sub", "text"))
+    joins = (here == 0) & (F.col("sub") == 0)
+    cut = F.when(joins, F.col("first_cut")).otherwise(_pos("ord", here, F.col("sub")))
+    pieces = pieces.select("doc_id", "seg", cut.alias("cut"), "ord", "blk", "piece", "sub", "text")
+    # Within a block of parts first: the text of a cut's pieces, the characters of the
+    # whole sentence with the spaces at its junctions, and those of a cut without white
+    # space at its pieces' ends (it has no fewer). A text that is too long is not kept.
+    size, fits = F.length(F.trim("text")), (lambda n, text: text if longest is None else F.when(n <= longest, text))
+    ordered = F.array_sort(F.collect_list(F.struct("ord", "piece", "sub", fits(size, F.col("text")).alias("text"))))
+    spaced = F.transform(ordered, lambda x: F.concat(F.when(x["sub"] == 0, F.lit(" ")).otherwise(F.lit("")), x["text"]))
+    blocks = pieces.groupBy("doc_id", "seg", "cut", "blk").agg(
+        F.sum(F.length("text") + F.when(F.col("sub") == 0, 1).otherwise(0)).alias("chars"),
+        F.sum(size).alias("least"),
+        fits(F.sum(size), F.array_join(spaced, "")).alias("text"),
+    )
+    blocks = blocks.withColumn("chars", F.sum("chars").over(Window.partitionBy("doc_id", "seg")) - 1)
+    blocks = blocks.withColumn("least", F.sum("least").over(Window.partitionBy("doc_id", "seg", "cut")))
+    long = F.col("chars") > LONG_SENTENCE_RESPLIT
+    if longest is not None:
+        blocks = blocks.where(~long | (F.col("least") <= longest))
+    blocks = blocks.withColumn("start", F.when(long, F.col("cut")).otherwise(F.col("seg")))
+    # One group per sentence: usually a single part's piece, a few when it runs
+    # across junctions.
+    ordered = F.array_sort(F.collect_list(F.struct("cut", "blk", "text")))
+    out = blocks.groupBy("doc_id", "seg", "start").agg(F.trim(F.array_join(F.transform(ordered, lambda x: x["text"]), "")).alias("sentence"))
+    seq = F.struct(F.col("start.o").alias("ord"), F.col("start.p").alias("piece"), F.col("start.s").alias("sub")).alias("seq")
+    return out.select("doc_id", seq, "sentence").where(T.is_valid_sentence("sentence"))

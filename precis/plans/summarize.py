@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import CHUNK_SIZE, SummaryConfig
+from ..config import CHUNK_SIZE, MAX_SENTENCE_LENGTH, SummaryConfig
 from ..functions import text as T
 from ..operators import scoring, selection, sentences, tfidf
 
@@ -105,7 +105,8 @@ def summarize_parts(
     from ..operators.stitch import stitched_sentences
 
     cfg = SummaryConfig(num_sentences, early_termination_factor, algorithm, "clean")
-    return summarize_sentences(stitched_sentences(parts, key, order, text_col), cfg)
+    sents = stitched_sentences(parts, key, order, text_col, longest=MAX_SENTENCE_LENGTH)
+    return summarize_sentences(sents, cfg)
 
 
 def summarize_request(

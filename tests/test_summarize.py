@@ -197,6 +197,39 @@ def test_huge_document_is_cut_and_stitched_in_linear_time(spark):
     assert got == [r.sentence for r in sentences_clean(docs).orderBy("seq").collect()]
 
 
+def test_conversation_without_a_sentence_end_is_not_built(spark, monkeypatch):
+    from precis.plans import summarize as S
+
+    rows = [(1, k, f"turn {k} runs on without any mark of an end") for k in range(5000)]
+    rows += [(2, k, t) for k, t in enumerate(GARDEN)] + [(None, k, t) for k, t in enumerate(GARDEN)]
+    built = []
+    whole = S.summarize_sentences
+    monkeypatch.setattr(S, "summarize_sentences", lambda sents, cfg: whole(built.append(sents) or sents, cfg))
+    out = S.summarize_parts(spark.createDataFrame(rows, "conv_id long, turn long, text string"), "conv_id", "turn", 2)
+    assert sorted((r.doc_id or 0, r.sentence) for r in out.collect()) == sorted((d, GARDEN[k]) for d in (0, 2) for k in (0, 2))
+    assert max(len(r.sentence) for r in built[0].collect()) <= 1000
+
+
+def test_long_sentences_over_junctions_match_the_joined_text(spark):
+    import random
+
+    from precis.operators.sentences import sentences_clean
+    from precis.operators.stitch import stitched_sentences
+    from precis.plans.summarize import assemble_text
+
+    rng = random.Random(4)
+    words = ["harbour", "lantern", "Dr.", "St.", "A.", "e.g.", "of 12.", "12. of", "ropes", "so...", "nets!", '"why?"', "(see", "it)"]
+    rows = [(d, 3 * k, " ".join(rng.choices(words[:9] if d % 3 else words, k=rng.randrange(1, 60)))) for d in range(60) for k in range(12)]
+    parts = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    joined = assemble_text(parts, "conv_id", "turn").withColumnRenamed("conv_id", "doc_id")
+    want = [(r.doc_id, r.sentence) for r in sentences_clean(joined).orderBy("doc_id", "seq").collect()]
+    for block in (4, 4096):
+        got = stitched_sentences(parts, "conv_id", "turn", block=block).orderBy("doc_id", "seq")
+        assert [(r.doc_id, r.sentence) for r in got.collect()] == want
+    short = stitched_sentences(parts, "conv_id", "turn", longest=300).orderBy("doc_id", "seq").collect()
+    assert [(r.doc_id, r.sentence) for r in short if len(r.sentence) <= 300] == [w for w in want if len(w[1]) <= 300]
+
+
 def test_all_sentences_count_without_a_factor(docs_df):
     words = [f"alpha{i} beta{i} gamma{i} delta{i} epsilon{i} zeta{i} theta{i} kappa{i}" for i in range(450)]
     docs = docs_df({5: " ".join(f"Sentence {w} ends here." for w in words)})
