@@ -85,7 +85,7 @@ def _distinct(values: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches):
-    """Arrow batches ``(doc_id, text)`` to class key, set size and band hashes."""
+    """Arrow batches ``(doc_id, text, text_hash)`` to class key, set size and band hashes."""
     hasher, factors, shifts = A.WordHasher(), _constants(PERMUTATIONS, SEED), _constants(PERMUTATIONS, SEED + 1)
     n_bands = 2 * PERMUTATIONS // BAND_VALUES
     weights, marks = _constants(BAND_VALUES, SEED + 2), _constants(n_bands, SEED + 3)
@@ -109,16 +109,17 @@ def _sign(batches):
                 bands[full] = A.mix64(cells.sum(axis=1, dtype=np.uint64) + marks[:, None]).view(np.int64).T
             lists = pa.array([bands[d] if size[d] else [] for d in range(n_docs)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(at, n_docs).cast(pa.int64()), pa.array(size), pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), lists],
-                names=["doc_id", "n_shingles", "node", "node2", "bands"],
+                [batch.column("doc_id").slice(at, n_docs).cast(pa.int64()), batch.column("text_hash").slice(at, n_docs), pa.array(size), pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), lists],
+                names=["doc_id", "text_hash", "n_shingles", "node", "node2", "bands"],
             )
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_shingles, node, node2, bands)`` per document; ``node`` names
+    """``(doc_id, text_hash, n_shingles, node, node2, bands)`` per document; ``node`` names
     the class of documents with the same shingle set (0: no shingles)."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(_sign, "doc_id long, n_shingles long, node long, node2 long, bands array<long>")
+    plain = plain.withColumn("text_hash", F.xxhash64("text"))
+    return plain.mapInArrow(_sign, "doc_id long, text_hash long, n_shingles long, node long, node2 long, bands array<long>")
 
 
 def _key(own: np.ndarray) -> np.ndarray:
@@ -292,6 +293,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ``component_id`` is the smallest ``doc_id`` of the documents reachable over
     links (itself included) and ``kept`` marks that document.
     """
+    return _components(docs).drop("text_hash")
+
+
+def _components(docs: DataFrame) -> DataFrame:
+    """:func:`near_duplicates` with a hash of each row's text."""
     sig = cut(signatures(docs), "signatures", batch=BATCH)
     roots = linked_classes(sig, docs)
     rows = sig.count()
@@ -299,23 +305,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = cut(lowest.join(roots, "node", "left").select("node", "lowest", F.coalesce("root", "node").alias("root")), "lowest", rows)
     component = named.groupBy("root").agg(F.min("lowest").alias("component_id"))
     named = cut(named.join(component, "root").select("node", "component_id"), "named", rows)
-    full = sig.where("n_shingles > 0").select("doc_id", "n_shingles", "node").join(named, "node")
-    empty = sig.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = full.select("doc_id", "n_shingles", "component_id").union(empty)
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    full = sig.where("n_shingles > 0").select("doc_id", "text_hash", "n_shingles", "node").join(named, "node")
+    empty = sig.where("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = full.select("doc_id", "text_hash", "n_shingles", "component_id").union(empty)
+    return out.select("doc_id", "text_hash", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose document is kept; of rows with one id and one
-    text (exact repeats) one stays. A row without id or shingles stays."""
-    dropped = cut(near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct(), "dropped")
+    text (exact repeats) one stays. A row without id or shingles stays. Of rows
+    with one id and several texts only those go whose own text is not kept."""
+    dropped = cut(_components(docs).where("not kept and doc_id is not null").select("doc_id", "text_hash").distinct(), "dropped")
     names = kept_names(docs.columns)
     own = packed(docs, "doc_id", "text").withColumn("_id", F.col("doc_id").cast("long"))
     key = F.xxhash64("_id")
     twice = own.where("_id is not null").groupBy(key.alias("key"), F.xxhash64("text").alias("h")).count().where("count > 1").select("key")
     marked = sieve(own, key, twice.union(dropped.select(F.xxhash64("doc_id"))), "_maybe")
     # only rows that may go move to meet the list
-    some = marked.where("_maybe").join(dropped.select(F.col("doc_id").alias("_id")), "_id", "left_anti")
+    some = marked.where("_maybe").withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
+    some = some.join(dropped.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), ["_id", "_hash"], "left_anti")
     copies = Window.partitionBy("_id", F.xxhash64("text")).orderBy(F.lit(1))
     some = some.withColumn("_copy", F.row_number().over(copies)).where("_copy = 1 or _id is null")
     return marked.where("not _maybe").select(*names).union(some.select(*names)).select(*unpacked(docs.columns))

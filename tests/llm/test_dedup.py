@@ -87,6 +87,13 @@ def test_kept_documents(edges):
     assert ids == sorted([1, 4, 5, 6, 7, 9, None, None, 11, 11], key=str)
 
 
+def test_an_id_on_two_texts_loses_only_the_near_duplicate(spark):
+    one, two = BASE, " ".join(f"own{k}" for k in range(60))
+    rows = [(1, one), (5, one.replace("term30", "other")), (5, two), (7, two), (8, two.replace("own59", "end"))]
+    out = minmax_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, out.collect())) == sorted([rows[0], rows[2]])
+
+
 def test_components_of_a_long_path(spark):
     path = spark.createDataFrame([(k, k + 1) for k in range(100)] + [(200, 201)], "a long, b long")
     got = {r.node: r.root for r in connected_components(path).collect()}
