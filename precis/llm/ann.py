@@ -170,7 +170,7 @@ def nearest_neighbours(vectors: DataFrame) -> DataFrame:
     points = clean.join(few, "vec_id", "left").withColumn("candidate", F.coalesce("candidate", F.lit(False))).where(F.col("candidate") | is_query)
     points = cut(points.select("vec_id", "embedding", "candidate"), "points")
     sample = points.select("embedding").limit(FIT_ROWS).toArrow()
-    if not sample.num_rows:
+    if not sample.num_rows or points.where(is_query).isEmpty():
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     index = _ranked(points, _keyed(_matrix(sample.column("embedding"))))
     window = _fit_window(index, points, points.where(is_query))

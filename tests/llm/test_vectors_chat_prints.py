@@ -61,6 +61,12 @@ def test_vector_edges(spark):
     assert ann.nearest_neighbours(df.where("vec_id = 20")).count() == 0
 
 
+def test_vectors_without_a_query(spark):
+    df = spark.createDataFrame([(k, [1.0, float(k)]) for k in range(1, 20)], "vec_id long, embedding array<double>")
+    out = ann.nearest_neighbours(df)
+    assert out.columns == ["query_id", "rank", "vec_id", "score"] and out.count() == 0
+
+
 def test_chat_matches_sql(spark, con):
     from precis.llm.registry import ORACLE_SQL, op1_chat_perspectives as q
 
