@@ -255,8 +255,12 @@ def q_file_extension(spark, sf_dir):
 def q_decode_bytes(spark, sf_dir):
     """Texts written as bytes in three encodings and read back."""
     d = documents(spark, sf_dir)
-    kind = F.pmod(F.col("doc_id"), F.lit(2))
-    content = F.when(kind == 0, F.encode("text", "UTF-8")).otherwise(F.encode("text", "UTF-16"))
+    kind = F.pmod(F.col("doc_id"), F.lit(3))
+    latin = F.when(~F.col("text").rlike(r"[^\x00-\xFF]"), F.encode("text", "ISO-8859-1"))
+    # bytes that read as one of the others are not written: they say nothing of their encoding
+    latin = F.when(F.col("text").rlike(r"^[\x00-\x7F]*$") | (T.decode_bytes(latin) == F.col("text")), latin)
+    content = F.when(kind == 0, F.encode("text", "UTF-8")).when(kind == 1, F.encode("text", "UTF-16"))
+    content = F.coalesce(content, latin, F.encode("text", "UTF-8"))
     return d.select("doc_id", T.decode_bytes(content).alias("text"))
 
 

@@ -177,3 +177,17 @@ def test_stop_list_is_a_parameter(spark):
     got = {r.id: (list(r.a), list(r.b)) for r in rows.select("id", T.terms("t", ["dog"]).alias("a"), T.terms_by_language("t", "lang", {"en": ["the", "of"], "de": ["das"]}).alias("b")).collect()}
     assert got[1] == (["the", "house", "of", "the"], ["house", "dog"])
     assert got[2][1] == ["haus", "of", "the", "dog"] and got[3][1] == ["the", "dog"]
+
+
+def test_query_of_bytes_reaches_every_encoding(spark, monkeypatch):
+    from precis.plans import registry
+
+    written = []
+    decode = registry.T.decode_bytes
+    monkeypatch.setattr(registry.T, "decode_bytes", lambda c: decode(written.append(c) or c))
+    texts = ["plain", "caf\u00e9", "\u20ac uro", "\u00c3\u00a9", "\u00ff\u00fe bom", None]
+    docs = spark.createDataFrame([(3 * n + kind, t) for n, t in enumerate(texts) for kind in range(3)], "doc_id long, text string")
+    monkeypatch.setattr(registry, "documents", lambda *_: docs)
+    assert sorted(registry.q_decode_bytes(spark, "").collect(), key=str) == sorted(docs.collect(), key=str)
+    content = {r[0]: r[1] for r in docs.select("doc_id", written[-1]).collect()}
+    assert (content[3], content[4][:2], content[5]) == ("caf\u00e9".encode(), b"\xfe\xff", "caf\u00e9".encode("latin-1"))
