@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, fingerprints, line_dedup, minmax_dedup, mixing, packing, quality, secrets, toxicity
+from . import ann, chat, fingerprints, line_dedup, minmax_dedup, mixing, packing, quality, resampling, secrets, toxicity, vector_codes
 from .tables import table
 
 
@@ -52,6 +52,14 @@ def op10_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)
 }
@@ -59,4 +67,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_chat_perspectives": chat.ORACLE_SQL,
     "op5_content_defined_line_dedup": line_dedup.ORACLE_SQL,
     "op7_source_mixing": mixing.ORACLE_SQL,
+    "op11_vector_codes": vector_codes.ORACLE_SQL,
+    "op13_importance_resampling": resampling.ORACLE_SQL,
 }

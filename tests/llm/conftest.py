@@ -35,6 +35,6 @@ def empty(spark):
 @pytest.fixture(scope="session")
 def con():
     c = duckdb.connect()
-    for t in ("documents", "labels", "conversations", "embeddings"):
+    for t in ("documents", "labels", "conversations", "embeddings", "benchmark", "pages"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF001}/{t}.parquet')")
     return c
