@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, fingerprints, line_dedup, minmax_dedup, mixing, packing, quality, resampling, secrets, toxicity, vector_codes
+from . import ann, chat, extraction, fingerprints, line_dedup, minmax_dedup, mixing, packing, quality, resampling, secrets, toxicity, vector_codes
 from .tables import table
 
 
@@ -56,6 +56,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
