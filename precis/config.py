@@ -1,4 +1,4 @@
-"""Parameters and fixed values of the summarizer.
+"""Parameters and fixed values.
 
 Everything here is validated on the driver, before any plan is built, so a bad
 parameter fails fast instead of inside a task.

@@ -106,9 +106,16 @@ KEPT_TERM = kept_term(STOP_WORDS)
 HAS_LETTER = r"\p{L}"
 
 # --- HTML ---------------------------------------------------------------------------
-HTML_SCRIPT_STYLE = r"(?is)<(script|style)(?:[\s/][^>]*)?>.*?</\1\s*>"
-HTML_COMMENT = r"(?s)<!--.*?-->"
-HTML_TAG = r"(?s)<[!/?a-zA-Z][^>]*>"
+# One grammar of markup tokens, matched from left to right, so that what looks like another
+# token inside one is no token: comments; script and style with their contents, to the end of
+# the text if they are not closed; CDATA, whose text (group 2) stays; declarations and end
+# tags; start tags, which end at the first ">" outside a quoted value. A value in quotes
+# follows "="; one never closed is plain text. (Quotes of the first 64 values count.)
+_ATTRIBUTES = r"""[^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+')?+[^>=]*+){0,64}+[^>]*+"""
+HTML_MARKUP = (
+    rf"(?is)<!--.*?-->|<(script|style)(?=[\s/>]){_ATTRIBUTES}(?<!/)>.*?(?:</\1\s*+>|\z)"
+    rf"|<!\[CDATA\[(.*?)\]\]>|<(?!!--)[!?/][^>]*+>|<[a-z]{_ATTRIBUTES}>"
+)
 # Character references by name, and the codes that HTML reads as another character
 # (the Windows-1252 range), both from the standard library.
 HTML_NAMES = json.dumps(html.entities.html5)

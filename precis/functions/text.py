@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import LONG_SENTENCE_RESPLIT, MIN_VALID_SENTENCE_CHARS
+from . import encodings as E
 from . import patterns as P
 
 
@@ -142,10 +143,9 @@ def preprocess_text(c) -> Column:
 
 
 # --- chunks ---------------------------------------------------------------------------
-def chunk_starts(c, size: int) -> Column:
-    """0-based chunk numbers of a text cut into ``size``-character slices."""
-    n = F.ceil(F.length(_col(c)) / F.lit(size)).cast("int")
-    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+def chunks(c, size: int) -> Column:
+    """A text cut into slices of ``size`` characters, found in one pass over it."""
+    return F.regexp_extract_all(_col(c), F.lit(rf"(?s).{{1,{size}}}+"), F.lit(0))
 
 
 # --- HTML -------------------------------------------------------------------------------
@@ -177,37 +177,55 @@ def _decode_entities(t: Column) -> Column:
 def html_to_text(c) -> Column:
     """Visible text of an HTML document, text nodes joined by one space.
 
-    Script/style blocks and comments are dropped, every tag becomes a space,
-    entities are decoded and white space is squeezed.
+    Markup is read by one token grammar: script/style blocks (closed or not) and
+    comments are dropped, tags may hold ``>`` in quoted values, every token becomes
+    a space, entities are decoded and white space is squeezed.
     """
-    t = F.regexp_replace(_col(c), P.HTML_SCRIPT_STYLE, " ")
-    t = F.regexp_replace(t, P.HTML_COMMENT, " ")
-    t = F.regexp_replace(t, P.HTML_TAG, " ")
-    return squeeze_whitespace(_decode_entities(t))
+    return squeeze_whitespace(_decode_entities(F.regexp_replace(_col(c), P.HTML_MARKUP, " $2 ")))
 
 
 def html_to_text_glued(c) -> Column:
     """Visible text of an HTML document with text nodes glued together (no
     separator, no stripping)."""
-    t = F.regexp_replace(_col(c), P.HTML_SCRIPT_STYLE, "")
-    t = F.regexp_replace(t, P.HTML_COMMENT, "")
-    t = F.regexp_replace(t, P.HTML_TAG, "")
-    return _decode_entities(t)
+    return _decode_entities(F.regexp_replace(_col(c), P.HTML_MARKUP, "$2"))
 
 
 # --- bytes -----------------------------------------------------------------------------
-def decode_bytes(c) -> Column:
-    """Decode file bytes: UTF-16 when a byte-order mark is present, else UTF-8
-    when the bytes are valid UTF-8, else ISO-8859-1 (which always succeeds)."""
-    b = _col(c)
+def encoding_of(c) -> Column:
+    """Encoding of file bytes: ``UTF-16LE``/``UTF-16BE`` where a byte-order mark stands
+    before whole units with paired surrogates, else ``UTF-8`` where the bytes are valid, else
+    the legacy encoding that explains them best (:mod:`.encodings`)."""
+    return E.let(_col(c), _encoding_of)
+
+
+def _encoding_of(b: Column) -> Column:
     head = F.hex(F.substring(b, 1, 2))
+    body = F.substring(b, 3, 2147483647)
+    little = (head == "FFFE") & E.is_utf16(body, True)
+    big = (head == "FEFF") & E.is_utf16(body, False)
+    return F.when(little, F.lit("UTF-16LE")).when(big, F.lit("UTF-16BE")).when(F.is_valid_utf8(b), F.lit("UTF-8")).otherwise(E.detect(b))
+
+
+def decode_as(c, encoding) -> Column:
+    """Text of file bytes in the encoding that :func:`encoding_of` names, without the
+    byte-order mark. Never fails where that name came from the same bytes."""
+    b, name = _col(c), _col(encoding)
+    body = F.substring(b, 3, 2147483647)
+    unmarked = F.when(F.hex(F.substring(b, 1, 3)) == "EFBBBF", F.substring(b, 4, 2147483647)).otherwise(b)
     return (
-        F.when(head.isin("FFFE", "FEFF"), F.decode(b, "UTF-16"))
-        .when(F.is_valid_utf8(b), F.decode(b, "UTF-8"))
-        .otherwise(F.decode(b, "ISO-8859-1"))
+        F.when(name == "UTF-16LE", F.decode(body, "UTF-16LE"))
+        .when(name == "UTF-16BE", F.decode(body, "UTF-16BE"))
+        .when(name == "UTF-8", F.decode(unmarked, "UTF-8"))
+        .otherwise(E.decode_as(b, name))
     )
 
 
+def decode_bytes(c) -> Column:
+    """Text of file bytes in whatever encoding they are (:func:`encoding_of`); any bytes
+    can be read."""
+    return E.let(_col(c), lambda b: E.let(_encoding_of(b), lambda name: decode_as(b, name)))
+
+
 def file_extension(c) -> Column:
     """Lower-cased text after the last dot of the file name (the last ``/``
     part of a path)."""

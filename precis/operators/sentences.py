@@ -19,6 +19,11 @@ from ..functions import text as T
 _CHUNK_SHIFT = 1 << 32
 
 
+def shuffle_partitions(df: DataFrame) -> int:
+    """Number of shuffle partitions that the session sets."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _posexplode(df: DataFrame, arr, keep: list[str]) -> DataFrame:
     return df.select(*keep, F.posexplode(arr).alias("seq", "sentence")).withColumn("seq", F.col("seq").cast("long"))
 
@@ -44,12 +49,7 @@ def chunk_text(docs: DataFrame, chunk_size: int = CHUNK_SIZE, text_col: str = "t
     """Cut each text into ``chunk_size``-character slices; blank slices are
     dropped. Returns ``(doc_id, chunk_no, chunk)``. A huge document becomes
     many rows, so later stages can spread it over tasks."""
-    chunks = docs.select("doc_id", text_col, F.explode(T.chunk_starts(text_col, chunk_size)).alias("chunk_no"))
-    chunks = chunks.select(
-        "doc_id",
-        "chunk_no",
-        F.substring(F.col(text_col), F.col("chunk_no") * chunk_size + 1, chunk_size).alias("chunk"),
-    )
+    chunks = docs.select("doc_id", F.posexplode(T.chunks(text_col, chunk_size)).alias("chunk_no", "chunk"))
     return chunks.where(~T.is_blank("chunk"))
 
 
@@ -65,7 +65,8 @@ def sentences_chunked(
     """
     chunks = chunk_text(docs, chunk_size, text_col)
     if spread:
-        chunks = chunks.repartition("doc_id", "chunk_no")
+        # an explicit number: the work is CPU, so merging partitions by bytes would idle cores
+        chunks = chunks.repartition(shuffle_partitions(docs), "doc_id", "chunk_no")
     out = chunks.select("doc_id", "chunk_no", F.posexplode(T.split_clean("chunk")).alias("pos", "sentence"))
     return out.select(
         "doc_id",
@@ -152,10 +153,7 @@ def sentence_status(docs: DataFrame, processor: str = "clean", text_col: str = "
     aggregate on ``doc_id`` over data already distributed by ``doc_id``.
     """
     if processor == "chunked":
-        slices = F.transform(
-            T.chunk_starts(text_col, CHUNK_SIZE), lambda i: F.substring(F.col(text_col), i * CHUNK_SIZE + 1, CHUNK_SIZE)
-        )
-        chunks = docs.select("doc_id", F.explode_outer(slices).alias("chunk"))
+        chunks = docs.select("doc_id", F.explode_outer(T.chunks(text_col, CHUNK_SIZE)).alias("chunk"))
         sents = chunks.select("doc_id", F.explode_outer(F.when(~T.is_blank("chunk"), T.split_clean("chunk"))).alias("sentence"))
     else:
         arr = T.split_raw(text_col) if processor == "raw" else T.split_clean(text_col)

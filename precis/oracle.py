@@ -122,6 +122,88 @@ def html_text(expr: str, sep: str) -> str:
     return t
 
 
+# --- learned boundaries -------------------------------------------------------------------
+def _word_sql(w: str) -> str:
+    """Columns type, end_, first of a word."""
+    core = rr(w, r"""^["'(\[{]+|["')\]}]+$""", "''")
+    bare = f"lower(CASE WHEN ends_with(core, '.') THEN left(core, -1) ELSE core END)"
+    return (
+        f"CASE WHEN regexp_matches({bare}, '^[-+]?\\p{{Nd}}[\\p{{Nd}}.,]*$') THEN '##' ELSE {bare} END AS type, "
+        "CASE WHEN regexp_matches(core, '[!?][.!?]*$') THEN 'sure' WHEN ends_with(core, '..') THEN 'ellipsis' WHEN ends_with(core, '.') THEN 'period' ELSE 'plain' END AS end_, "
+        "CASE WHEN regexp_matches(core, '^\\p{Lu}') THEN 'upper' WHEN regexp_matches(core, '^\\p{Ll}') THEN 'lower' ELSE 'other' END AS first"
+    ).replace("core", f"({core})")
+
+
+def _ll(both: str, first: str, second: str, n: str) -> str:
+    def like(k: str, m: str, p: str) -> str:
+        part = lambda c, x: f"(CASE WHEN {c} > 0 THEN ({c}) * ln({x}) ELSE 0 END)"
+        return f"{part(k, p)} + {part(f'({m}) - ({k})', f'1 - ({p})')}"
+
+    p, p1, p2 = f"{second}::DOUBLE / {n}", f"{both}::DOUBLE / {first}", f"({second} - {both})::DOUBLE / ({n} - {first})"
+    rest, others = f"{second} - {both}", f"{n} - {first}"
+    return f"2 * ({like(both, first, p1)} + {like(rest, others, p2)} - ({like(both, first, p)}) - ({like(rest, others, p)}))"
+
+
+GUARDED = "(a.type IS NOT NULL OR regexp_matches(prev_type, '^\\pL$') OR prev_type = '##')"
+BOUNDARY_CTES = f"""toks AS (
+  SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i
+  FROM (SELECT doc_id, list_filter(string_split({squeeze('text')}, ' '), lambda x: x <> '') AS ws FROM documents)),
+known AS (SELECT doc_id, i, {_word_sql('w')} FROM toks),
+word AS (
+  SELECT *, lag(type) OVER o AS prev_type, lag(end_) OVER o AS prev_end FROM known WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+types AS (
+  SELECT type, count(*) FILTER (end_ <> 'period') AS n_plain, count(*) FILTER (end_ = 'period') AS n_period, count(*) FILTER (first = 'lower') AS n_lower,
+         count(*) FILTER (first = 'upper' AND prev_end = 'plain') AS n_upper_mid
+  FROM word WHERE regexp_matches(type, '\\pL') OR type = '##' GROUP BY type),
+total AS (SELECT sum(n_period)::BIGINT AS np, sum(n_plain + n_period)::BIGINT AS n, least(0.99::DOUBLE, sum(n_period)::DOUBLE / sum(n_plain + n_period)) AS p0 FROM types),
+scored_types AS (
+  SELECT types.*, CASE WHEN n_period > 0 AND type <> '##' THEN
+    2 * (n_period * ln(0.99::DOUBLE) + n_plain * ln(1 - 0.99::DOUBLE) - n_period * ln(p0) - n_plain * ln(1 - p0)) * exp(-(length(replace(type, '.', '')))::DOUBLE)
+      * (length(type) - length(replace(type, '.', '')) + 1) * exp(-n_plain * ln(length(replace(type, '.', ''))::DOUBLE)) ELSE 0::DOUBLE END AS score FROM types, total),
+abbr AS (SELECT type FROM scored_types WHERE score >= 0.3),
+across AS (
+  SELECT prev_type, word.type, prev_end = 'sure' OR NOT {GUARDED} AS sure, count(*) AS n
+  FROM word LEFT JOIN abbr a ON a.type = prev_type
+  WHERE prev_end IN ('period', 'sure') AND (regexp_matches(word.type, '\\pL') OR word.type = '##') GROUP BY ALL),
+starts AS (SELECT type, sum(n)::BIGINT AS n_start FROM across WHERE sure GROUP BY type),
+start_total AS (SELECT sum(n_start)::BIGINT AS s FROM starts),
+starters AS (
+  SELECT type, n_start, CASE WHEN n_start * n > (n_plain + n_period) * s THEN {_ll('n_start', 's', '(n_plain + n_period)', 'n')} ELSE 0 END AS likelihood
+  FROM starts JOIN types USING (type), total, start_total),
+openers AS (SELECT type FROM types WHERE n_lower > 0 AND n_upper_mid = 0 UNION SELECT type FROM starters WHERE likelihood >= 30),
+together AS (
+  SELECT c.prev_type, c.type AS next_type FROM (SELECT prev_type, type, n AS c12 FROM across WHERE NOT sure AND n > 1) c
+  JOIN (SELECT type AS prev_type, n_plain + n_period AS c1 FROM types) x USING (prev_type) JOIN (SELECT type, n_plain + n_period AS c2 FROM types) y USING (type), total
+  WHERE c12 * n > c1 * c2 AND {_ll('c12', 'c1', 'c2', 'n')} >= 7.88 AND c.type NOT IN (SELECT type FROM starters WHERE likelihood >= 30))"""
+
+
+def trained_sql() -> str:
+    cut_ = rr(squeeze("text"), r"""([.!?]["')\]}]*) """, r"'\1' || chr(1)")
+    return with_(
+        BOUNDARY_CTES,
+        f"""cuts AS (SELECT doc_id, unnest(ps) AS piece, generate_subscripts(ps, 1) - 1 AS pos FROM (SELECT doc_id, string_split({cut_}, chr(1)) AS ps FROM documents)),
+ends AS (
+  SELECT doc_id, pos, {_word_sql("regexp_extract(piece, '[^ ]+$')")}, lead(piece) OVER (PARTITION BY doc_id ORDER BY pos) AS following FROM cuts),
+doubt AS (
+  SELECT e.doc_id, e.pos, e.type AS prev_type, e.end_, f.type AS next_type, f.first
+  FROM ends e JOIN (SELECT doc_id, pos, {_word_sql("regexp_extract(following, '^[^ ]+')")} FROM ends WHERE following IS NOT NULL) f USING (doc_id, pos)
+  WHERE e.end_ IN ('period', 'ellipsis')),
+on_ AS (
+  SELECT doc_id, pos FROM doubt LEFT JOIN abbr a ON a.type = prev_type LEFT JOIN openers o ON o.type = next_type
+    LEFT JOIN together t ON t.prev_type = doubt.prev_type AND t.next_type = doubt.next_type
+  WHERE (end_ = 'ellipsis' OR {GUARDED.replace('prev_type', 'doubt.prev_type')}) AND (first = 'lower' OR t.prev_type IS NOT NULL
+    OR (NOT (doubt.prev_type = '##' AND end_ = 'period') AND NOT (first = 'upper' AND o.type IS NOT NULL)))),
+numbered AS (
+  SELECT c.doc_id, c.pos, c.piece, max(CASE WHEN p.pos IS NULL THEN c.pos END) OVER (PARTITION BY c.doc_id ORDER BY c.pos) AS start_
+  FROM cuts c LEFT JOIN on_ p ON p.doc_id = c.doc_id AND p.pos = c.pos - 1),
+wholes AS (SELECT doc_id, start_, string_agg(piece, ' ' ORDER BY pos) AS s FROM numbered GROUP BY doc_id, start_),
+resplit AS (
+  SELECT doc_id, start_, unnest(parts) AS sentence, generate_subscripts(parts, 1) - 1 AS sub
+  FROM (SELECT doc_id, start_, CASE WHEN length(s) > 200 THEN string_split({rr('s', r'([.!?]) +', "'" + chr(92) + "1' || chr(1)")}, chr(1)) ELSE [s] END AS parts FROM wholes))""",
+    ) + """SELECT doc_id, CAST(start_ * 4294967296 + sub AS BIGINT) AS seq, trim(sentence) AS sentence FROM resplit
+WHERE length(trim(sentence)) >= 10 AND regexp_matches(trim(sentence), '\\pL')"""
+
+
 # --- shared CTE chains -------------------------------------------------------------------
 def sentences_cte(split_fn=None, src: str = "documents", key: str = "doc_id", text: str = "text") -> str:
     arr = (split_fn or clean_split)(text)
@@ -302,6 +384,13 @@ FROM (SELECT s.doc_id, seq, {by_lang} AS t FROM sents s JOIN documents d USING (
 FROM (SELECT d.source, v.doc_id, v.seq, v.sentence, row_number() OVER (PARTITION BY d.source ORDER BY v.doc_id, v.seq) AS rn
       FROM valid v JOIN documents d USING (doc_id)) WHERE rn <= {CAP}""",
     )
+    sql["boundary_types"] = with_(BOUNDARY_CTES) + (
+        "SELECT type, n_plain, n_period, n_lower, n_upper_mid, round(score, 6) + 0::DOUBLE AS score, CAST(score >= 0.3 AS BIGINT) AS abbreviation FROM scored_types WHERE n_period > 0"
+    )
+    sql["boundary_starters"] = with_(BOUNDARY_CTES) + (
+        "SELECT type, n_start, round(likelihood, 5) AS likelihood, CAST(likelihood >= 30 AS BIGINT) AS starter FROM starters"
+    )
+    sql["sentences_trained"] = trained_sql()
     sql["term_frequency"] = _sel(PIPE, "SELECT doc_id, CAST(idx AS BIGINT) AS idx, term, CAST(tf AS BIGINT) AS tf FROM tf")
     sql["document_frequency"] = _sel(PIPE, "SELECT doc_id, term, CAST(df AS BIGINT) AS df FROM dfq")
     sql["idf"] = _sel(PIPE, f"SELECT DISTINCT doc_id, term, CAST(df AS BIGINT) AS df, round(idf, {R}) AS idf FROM tfidf")
@@ -373,6 +462,13 @@ WHERE abs(a.n_words - b.n_words) < 5""",
     sql["summarize_chunked_default"] = summary_sql((chunked_sentences_cte(1024),), "default")
     sql["file_extension"] = """SELECT page_id, lower(list_last(string_split(list_last(string_split(url, '/')), '.'))) AS ext FROM pages"""
     sql["decode_bytes"] = "SELECT doc_id, text FROM documents"
+    ascii_ = rr("text", "[^\\x00-\\x7F]", "''")
+    latin, cyrillic = "etaoinshrdlucmwfgypbvkjxqzETAOINSHRDLUCMWFGYPBVKJXQZ", "оеаинтсрвлкмдпуяыьгзбчйхжшОЕАИНТСРВЛКМДПУЯЫЬГЗБЧЙХЖШ"
+    kana = "あいうえおかきくけこさしすせそたちつてとなにぬねのは"
+    sql["decode_legacy"] = (
+        f"SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN translate({ascii_}, '{latin}', '{cyrillic}') "
+        f"ELSE translate(lower({ascii_}), '{latin[:26]}', '{kana}') END AS text FROM documents"
+    )
     pages_cte = f"pdocs AS (SELECT page_id AS doc_id, {squeeze(html_text('html', q(' ')))} AS text FROM pages)"
     sql["summarize_pages"] = summary_sql((pages_cte, sentences_cte(src="pdocs")), "default")
     conv_cte = (

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import STOP_WORDS, SummaryConfig, termination_cap
 from ..functions import text as T
-from ..operators import scoring, selection, sentences, tfidf
+from ..operators import boundaries, scoring, selection, sentences, tfidf
 from . import summarize as S
 
 DIGITS = 9
@@ -23,6 +23,12 @@ CFG = SummaryConfig(num_sentences=3)
 CAP = termination_cap(3, 2.0)
 
 
+# Letters of q_decode_legacy, one for one; the Cyrillic ones are as frequent as the Latin ones.
+LATIN_LETTERS = "etaoinshrdlucmwfgypbvkjxqzETAOINSHRDLUCMWFGYPBVKJXQZ"
+CYRILLIC_LETTERS = "оеаинтсрвлкмдпуяыьгзбчйхжшОЕАИНТСРВЛКМДПУЯЫЬГЗБЧЙХЖШ"
+HIRAGANA_LETTERS = "あいうえおかきくけこさしすせそたちつてとなにぬねのは"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -158,6 +164,27 @@ def q_early_termination(spark, sf_dir):
     return out.select(F.col("doc_id").alias("source"), *_long("idx"), "seq.doc_id", "seq.seq", *_long("n"), "sentence")
 
 
+def q_boundary_types(spark, sf_dir):
+    """Word types that occur with a period, and how likely they are abbreviations."""
+    types = boundaries.with_abbreviation_score(boundaries.type_counts(boundaries.words(docs(spark, sf_dir))))
+    known = (F.col("score") >= boundaries.ABBREVIATION_SCORE).cast("long").alias("abbreviation")
+    return types.where("n_period > 0").select("type", *_long("n_plain", "n_period", "n_lower", "n_upper_mid"), F.round("score", 6).alias("score"), known)
+
+
+def q_boundary_starters(spark, sf_dir):
+    """Word types after sure sentence ends, and how significant that is."""
+    rows = boundaries.words(docs(spark, sf_dir))
+    types = boundaries.type_counts(rows)
+    abbreviations = boundaries.with_abbreviation_score(types).where(F.col("score") >= boundaries.ABBREVIATION_SCORE)
+    starts = boundaries.starters(boundaries.after_ends(rows, abbreviations), types)
+    known = (F.col("likelihood") >= boundaries.STARTER_LIKELIHOOD).cast("long").alias("starter")
+    return starts.select("type", *_long("n_start"), F.round("likelihood", 5).alias("likelihood"), known)
+
+
+def q_sentences_trained(spark, sf_dir):
+    return boundaries.sentences_trained(docs(spark, sf_dir))
+
+
 # --- term statistics --------------------------------------------------------------------
 def q_term_frequency(spark, sf_dir):
     return _tf(spark, sf_dir).select("doc_id", *_long("idx"), "term", *_long("tf"))
@@ -264,6 +291,21 @@ def q_decode_bytes(spark, sf_dir):
     return d.select("doc_id", T.decode_bytes(content).alias("text"))
 
 
+def q_decode_legacy(spark, sf_dir):
+    """Texts written in the bytes of three legacy encodings and read back: windows-1252 (as they
+    are, where it holds them), windows-1251 and Shift-JIS (letters put into Cyrillic and
+    hiragana). Which encoding it is has to be found from the bytes alone."""
+    d = documents(spark, sf_dir)
+    ascii_ = F.regexp_replace("text", r"[^\x00-\x7F]", "")
+    cyrillic = F.translate(ascii_, LATIN_LETTERS, "".join(bytes([c]).decode("latin-1") for c in CYRILLIC_LETTERS.encode("cp1251")))
+    trail = "".join(chr(c) for c in HIRAGANA_LETTERS.encode("shift_jis")[1::2])
+    kana = F.regexp_replace(F.translate(F.lower(ascii_), LATIN_LETTERS[:26], trail), r"([^\x00-\x7F])", "\u0082$1")
+    kind = F.pmod(F.col("doc_id"), F.lit(3))
+    western = F.when(~F.col("text").rlike(r"[^\x00-\x7F\xA0-\xFF]"), F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
+    content = F.when(kind == 0, western).when(kind == 1, F.encode(cyrillic, "ISO-8859-1")).otherwise(F.encode(kana, "ISO-8859-1"))
+    return d.select("doc_id", T.decode_bytes(content).alias("text"))
+
+
 # --- composite ------------------------------------------------------------------------------
 def _summary(spark, sf_dir, algorithm, processor, **kw):
     return _summary_rows(S.summarize(documents(spark, sf_dir), 3, None, algorithm, processor, spread=_spread(spark), **kw))
@@ -294,8 +336,10 @@ def q_summarize_chunked_default(spark, sf_dir):
 
 
 def q_summarize_pages(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), T.html_to_text("html").alias("text"))
-    return _summary_rows(S.summarize(pages, 3, None, "default", "clean", spread=_spread(spark)))
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "html")
+    if _spread(spark):  # before the markup is read: that is work of the same kind
+        pages = S.distribute(pages, "html")
+    return _summary_rows(S.summarize(pages.select("doc_id", T.html_to_text("html").alias("text")), 3, None, "default", "clean"))
 
 
 def q_summarize_conversations(spark, sf_dir):

@@ -26,8 +26,10 @@ from ..operators import scoring, selection, sentences, tfidf
 def distribute(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Hash-distribute the (column-pruned) documents by ``doc_id``: for callers whose
     files give fewer scan tasks than there are cores (one row group is one task).
-    It moves whole texts, so nothing does it unasked."""
-    return docs.select("doc_id", text_col).repartition("doc_id")
+    It moves whole texts, so nothing does it unasked. The number of partitions is
+    explicit: the work that follows is CPU, and partitions merged by their bytes would
+    leave cores idle."""
+    return docs.select("doc_id", text_col).repartition(sentences.shuffle_partitions(docs), "doc_id")
 
 
 def kept_sentences(docs: DataFrame, cfg: SummaryConfig, text_col: str = "text") -> DataFrame:

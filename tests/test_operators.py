@@ -11,32 +11,33 @@ from pyspark.sql import functions as F
 from precis.operators import scoring, tfidf
 
 
-def test_tfidf_of_count_matrix(spark):
-    # dense 2x3 count matrix [[1,1,0],[0,1,1]] in coordinate form
-    rows = [(1, 0, "t0", 1), (1, 0, "t1", 1), (1, 1, "t1", 1), (1, 1, "t2", 1)]
+def test_tfidf_of_counts(spark):
+    # three sentences: "a a b", "b c", "b"
+    rows = [(1, 0, "a", 2), (1, 0, "b", 1), (1, 1, "b", 1), (1, 1, "c", 1), (1, 2, "b", 1)]
     tf = spark.createDataFrame(rows, "doc_id long, idx int, term string, tf int")
     row_sum = F.sum("tf").over(Window.partitionBy("doc_id", "idx")).cast("int")
-    tf = tf.withColumn("n", F.lit(2)).withColumn("n_words", row_sum)
+    tf = tf.withColumn("n", F.lit(3)).withColumn("n_words", row_sum)
     w = {(r.idx, r.term): r for r in tfidf.tfidf_weights(tfidf.with_idf(tf)).collect()}
-    assert len(w) == 4  # shape 2x3, sparse: the two zero cells are absent
-    rare = math.log(3 / 2) + 1
-    assert w[(0, "t0")].idf == pytest.approx(rare) and w[(0, "t1")].idf == pytest.approx(1.0)
-    assert w[(0, "t0")].w_rel == pytest.approx(0.5 * rare)
-    assert w[(1, "t1")].w_rel == pytest.approx(0.5)
-    l2 = math.sqrt(rare**2 + 1)
-    assert w[(0, "t0")].w_l2 == pytest.approx(rare / l2)
+    assert len(w) == 5
+    rare = math.log(4 / 2) + 1  # in one sentence of three; "b" is in all
+    assert w[(0, "a")].idf == pytest.approx(rare) and w[(2, "b")].idf == pytest.approx(1.0)
+    assert w[(0, "a")].w_rel == pytest.approx(2 / 3 * rare)
+    assert w[(1, "c")].w_rel == pytest.approx(0.5 * rare)
+    assert w[(0, "a")].w_l2 == pytest.approx(2 * rare / math.sqrt(4 * rare**2 + 1))
+    assert w[(2, "b")].w_l2 == pytest.approx(1.0)
 
 
 def test_blended_scores_in_unit_interval(spark):
-    # TF-IDF rows [[.5,.5],[.3,.7]] with token lists of length 2 and 3
-    rows = [(1, 0, 2, 0.5 + 0.5), (1, 1, 3, 0.3 + 0.7)]
+    rows = [(1, 0, 9, 1.6), (1, 1, 14, 1.6), (2, 0, 10, 0.4), (2, 1, 60, 1.2), (2, 2, 120, 0.8)]
     scores = spark.createDataFrame(rows, "doc_id long, idx int, n_words int, score_raw double")
-    out = sorted(scoring.blended_scores(scores).collect(), key=lambda r: r.idx)
+    out = {(r.doc_id, r.idx): r for r in scoring.blended_scores(scores).collect()}
     # equal raw scores normalise to 1.0
-    assert [r.score_norm for r in out] == [1.0, 1.0]
-    assert out[0].score == pytest.approx(0.5 + 0.3 + 0.2 * (2 / 50) * (1 - 2 / 100))
-    assert out[1].score == pytest.approx(0.5 + 0.3 / 1.05 + 0.2 * (3 / 50) * (1 - 3 / 100))
-    assert all(0.0 <= r.score <= 1.0 for r in out)
+    assert [out[(1, k)].score_norm for k in (0, 1)] == [1.0, 1.0]
+    assert [out[(2, k)].score_norm for k in range(3)] == pytest.approx([0.0, 1.0, 0.5])
+    assert out[(1, 0)].score == pytest.approx(0.5 + 0.3 + 0.2 * (9 / 50) * (1 - 9 / 100))
+    assert out[(2, 1)].score == pytest.approx(0.5 + 0.3 / 1.05 + 0.2 * (1 - 60 / 100))
+    assert out[(2, 2)].score == pytest.approx(0.25 + 0.3 / 1.1 + 0.2 * 0.1)
+    assert all(0.0 <= r.score <= 1.0 for r in out.values())
 
 
 def test_vocabulary_grows_in_first_appearance_order(spark):
