@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import cache
 
 from pyspark.sql import Column
@@ -170,14 +170,14 @@ def _read_double(text: Column, name: str) -> Column:
     return F.array_join(F.transform(pieces, lambda u: F.when(u.rlike(rf"(?s)^{first}{second}$"), read(u)).otherwise(half(u))), "")
 
 
-def decode_as(b: Column, name: Column) -> Column:
-    """Text of the bytes in the named encoding (any of the candidates, else ISO-8859-1)."""
+def decode_as(b: Column, name: Column, among: Iterable[str] = CANDIDATES) -> Column:
+    """Text of the bytes in the named encoding: one of ``among``, else ISO-8859-1. (The tables
+    of double-byte encodings are large, so a caller who knows the names should give them.)"""
     text = latin(b)
     out = text
-    for c, (codec, *_) in SINGLE.items():
-        out = F.when(name == c, F.translate(text, _HIGH, "".join(_chars(codec)))).otherwise(out)
-    for c in DOUBLE:
-        out = F.when(name == c, _read_double(text, c)).otherwise(out)
+    for c in among:
+        read = F.translate(text, _HIGH, "".join(_chars(SINGLE[c][0]))) if c in SINGLE else _read_double(text, c)
+        out = F.when(name == c, read).otherwise(out)
     return out
 
 

@@ -113,8 +113,8 @@ HAS_LETTER = r"\p{L}"
 # follows "="; one never closed is plain text. (Quotes of the first 64 values count.)
 _ATTRIBUTES = r"""[^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+')?+[^>=]*+){0,64}+[^>]*+"""
 HTML_MARKUP = (
-    rf"(?is)<!--.*?-->|<(script|style)(?=[\s/>]){_ATTRIBUTES}(?<!/)>.*?(?:</\1\s*+>|\z)"
-    rf"|<!\[CDATA\[(.*?)\]\]>|<(?!!--)[!?/][^>]*+>|<[a-z]{_ATTRIBUTES}>"
+    rf"(?is)<(?:!--.*?-->|(script|style)(?=[\s/>]){_ATTRIBUTES}(?<!/)>.*?(?:</\1\s*+>|\z)"
+    rf"|!\[CDATA\[(.*?)\]\]>|(?!!--)[!?/][^>]*+>|[a-z]{_ATTRIBUTES}>)"
 )
 # Character references by name, and the codes that HTML reads as another character
 # (the Windows-1252 range), both from the standard library.

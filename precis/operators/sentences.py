@@ -67,6 +67,11 @@ def sentences_chunked(
     if spread:
         # an explicit number: the work is CPU, so merging partitions by bytes would idle cores
         chunks = chunks.repartition(shuffle_partitions(docs), "doc_id", "chunk_no")
+    return sentences_of_chunks(chunks)
+
+
+def sentences_of_chunks(chunks: DataFrame) -> DataFrame:
+    """Clean split of slices ``(doc_id, chunk_no, chunk)``."""
     out = chunks.select("doc_id", "chunk_no", F.posexplode(T.split_clean("chunk")).alias("pos", "sentence"))
     return out.select(
         "doc_id",

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import ABBREVIATIONS, LONG_SENTENCE_RESPLIT
+from ..config import ABBREVIATIONS, LONG_SENTENCE_RESPLIT, MAX_SENTENCE_LENGTH
 from ..functions import patterns as P
 from ..functions import text as T
 
@@ -161,3 +161,43 @@ def stitched_sentences(
     out = blocks.groupBy("doc_id", "seg", "start").agg(F.trim(F.array_join(F.transform(ordered, lambda x: x["text"]), "")).alias("sentence"))
     seq = F.struct(F.col("start.o").alias("ord"), F.col("start.p").alias("piece"), F.col("start.s").alias("sub")).alias("seq")
     return out.select("doc_id", seq, "sentence").where(T.is_valid_sentence("sentence"))
+
+
+def stitched_raw(
+    parts: DataFrame, key: str, order: str, text_col: str, last: str, block: int = 4096, longest: int = MAX_SENTENCE_LENGTH
+) -> DataFrame:
+    """Raw-split sentences of each document whose parts follow each other without a
+    separator (``last`` marks its last part): ``(doc_id, seq STRUCT<ord, piece, sub>, sentence)``
+    with white space kept as :func:`precis.functions.text.split_raw` keeps it. A sentence of more
+    than ``longest`` characters is left out, so that none is built however many parts it runs
+    over."""
+    p = parts.select(F.col(key).alias("doc_id"), F.col(order).alias("ord"), F.floor(F.col(order) / block).alias("blk"), F.col(last).alias("last"), F.col(text_col).alias("text"))
+    # whether the text breaks off at an end, which a blank part leaves as it is
+    state = F.when(~T.is_blank("text"), F.struct("ord", F.col("text").rlike(rf"[.!?]{P.WS}+$").alias("broken")))
+    p = _latest_before(p.withColumn("state", state).withColumn("seen", F.col("ord")), "doc_id", "state", "seen")
+    starts = F.col("latest_seen").isNull()
+    prev = F.coalesce(F.col("latest_state.broken"), F.lit(False))
+    # white space after an end belongs to the separator, also across the cut
+    text = F.when(prev, F.regexp_replace("text", f"^{P.WS}+", "")).otherwise(F.col("text"))
+    p = p.select("doc_id", "ord", "blk", "last", starts.alias("starts"), (starts | prev).alias("fresh"), F.split(text, P.RAW_SPLIT).alias("pieces"))
+    n, zero, fresh = F.size("pieces"), F.lit(0), F.col("fresh")
+    p = p.withColumn("last_start", F.when(n > 1, _pos("ord", n - 1, zero)).when(fresh, _pos("ord", zero, zero)))
+    p = _latest_before(p, "doc_id", "last_start")
+    here, only = F.col("piece"), F.col("alone")
+    alone = F.col("last") & F.col("starts") & (n == 1)
+    pieces = p.select("doc_id", "ord", F.when(fresh, _pos("ord", zero, zero)).otherwise(F.col("latest_last_start")).alias("first_seg"), alone.alias("alone"), F.posexplode("pieces").alias("piece", "text"))
+    seg = F.when(here == 0, F.col("first_seg")).otherwise(_pos("ord", here, zero))
+    # only a text's last piece can end in white space, only its first start with it
+    whole = F.when(only, T.strip_whitespace("text")).otherwise(F.col("text"))
+    rows = pieces.select("doc_id", seg.alias("seg"), "ord", "piece", whole.alias("text"))
+    sized = rows.groupBy("doc_id", "seg").agg(F.sum(F.length("text")).alias("chars"), F.count(F.lit(1)).alias("n"))
+    # of a sentence in many parts only its length meets, unless it is short enough to build;
+    # white space at the end of a text is the one thing that may be longer than what is kept
+    single = rows.where("text <> ''")
+    fits = sized.where((F.col("chars") <= longest) | (F.col("n") == 1)).select("doc_id", "seg")
+    single = single.join(fits, ["doc_id", "seg"], "left_semi")
+    ordered = F.array_sort(F.collect_list(F.struct("ord", "piece", "text")))
+    out = single.groupBy("doc_id", "seg").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "").alias("sentence"))
+    out = out.select("doc_id", F.struct(F.col("seg.o").alias("ord"), F.col("seg.p").alias("piece"), F.col("seg.s").alias("sub")).alias("seq"), "sentence")
+    trailing = F.regexp_replace("sentence", f"(?<!{P.WS}){P.WS}++$", "")
+    return out.withColumn("sentence", trailing).where(~T.is_blank("sentence"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import SummaryConfig
-from ..sources.files import file_documents, file_sentences, read_files
+from ..sources.files import read_files
+from ..sources.parts import file_part_sentences, file_statuses, file_texts
 from .summarize import summarize_sentences, summary_records
 
 
@@ -35,14 +36,15 @@ def summarize_file_rows(
     algorithm: str = "default",
     processor: str = "clean",
 ) -> DataFrame:
-    """:func:`summarize_files` on rows ``(path, name, ext, content)`` (a folder
-    read, or one micro-batch of a file stream)."""
+    """:func:`summarize_files` on rows ``(path, ext, length)`` (a folder
+    listed, or one micro-batch of a file stream). The files are read in parts, so
+    none has to fit into a row."""
     cfg = SummaryConfig(num_sentences, early_termination_factor, algorithm, processor)
     algorithm, processor = cfg.algorithm, cfg.processor
     if processor not in ("clean", "chunked"):
         raise ValueError("processor must be 'clean' or 'chunked' for files")
-    docs = file_documents(files, processor)
-    picked = summarize_sentences(file_sentences(docs, processor), cfg)
+    docs = file_statuses(files).select(F.xxhash64("path").alias("doc_id"), "path", "status")
+    picked = summarize_sentences(file_part_sentences(file_texts(files), processor), cfg)
     records = summary_records(picked, algorithm, processor)
     out = docs.select("doc_id", "path", "status").join(records.drop("method", "processor"), "doc_id", "left")
     status = F.when((F.col("status") == "ok") & F.col("summary").isNull(), F.lit("no_valid_sentences")).otherwise(F.col("status"))

@@ -1,42 +1,39 @@
 """File sources: text, Markdown and EPUB files into a documents table.
 
-``binaryFile`` lists and reads the files (one row per file, so a task holds
-whole files, never a slice of one). One Arrow-batched pass decodes and unzips
-them; HTML stripping and everything after is built-in expressions. A bad file
-gets a status and never fails the job.
+``binaryFile`` lists the files. Summaries read them in parts (:mod:`.parts`); the documents
+table here has one row a file, as its name says: one Arrow-batched pass unzips, and decoding,
+HTML stripping and everything after is built-in expressions. A bad file gets a status and
+never fails the job.
 """
 
 from __future__ import annotations
 
 import io
-import posixpath
-import re
 import zipfile
-from urllib.parse import unquote
-from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .parts import epub_names, in_unicode
 
-ITEMS_SCHEMA = "path string, ext string, status string, items array<string>"
-XHTML = "application/xhtml+xml"
+ITEMS_SCHEMA = "path string, ext string, status string, items array<binary>"
 
 
 def read_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """``(path, name, ext, content BINARY)`` for every file under ``path``."""
+    """``(path, name, ext, length, content BINARY)`` for every file under ``path``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     return with_file_columns(files)
 
 
 def with_file_columns(files: DataFrame) -> DataFrame:
-    """``(path, name, ext, content)`` from ``binaryFile`` rows (batch or stream)."""
+    """``(path, name, ext, length, content)`` from ``binaryFile`` rows (batch or stream)."""
     return files.select(
         "path",
         F.element_at(F.split("path", "/"), -1).alias("name"),
         T.file_extension("path").alias("ext"),
+        "length",
         "content",
     )
 
@@ -48,43 +45,11 @@ def corpus_files(spark: SparkSession, path: str, extensions=("md",)) -> DataFram
     return files.where(F.col("ext").isin(*extensions))
 
 
-# --- bytes ------------------------------------------------------------------------------------
-def decode(content: bytes, declared: str | None = None) -> str:
-    """Text of file bytes: the declared encoding, UTF-16 with a byte-order mark, UTF-8,
-    and at last ISO-8859-1, which reads anything; the first that reads all bytes counts."""
-    marked = ["utf-16"] if content[:2] in (b"\xff\xfe", b"\xfe\xff") else []
-    for encoding in [*([declared] if declared else []), *marked, "utf-8-sig"]:
-        try:
-            return content.decode(encoding)
-        except (UnicodeDecodeError, LookupError):
-            continue
-    return content.decode("iso-8859-1")
-
-
 # --- EPUB -------------------------------------------------------------------------------------
-def _opf_path(z: zipfile.ZipFile) -> str:
-    root = ElementTree.fromstring(z.read("META-INF/container.xml"))
-    for el in root.iter():
-        if el.tag.endswith("rootfile") and el.get("full-path"):
-            return el.get("full-path")
-    raise ValueError("no rootfile in container.xml")
-
-
 def epub_documents(content: bytes) -> list[str]:
-    """HTML of the document items of one EPUB, in manifest order. References may be
-    percent-encoded; an item is read in the encoding that it declares."""
+    """Markup of the document items of one EPUB, in manifest order."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        names = set(z.namelist())
-        opf = _opf_path(z)
-        base = posixpath.dirname(opf)
-        out = []
-        for el in ElementTree.fromstring(z.read(opf)).iter():
-            if (el.tag.endswith("}item") or el.tag == "item") and el.get("media-type") == XHTML and el.get("href"):
-                written = posixpath.normpath(posixpath.join(base, el.get("href")))
-                data = z.read(written if written in names else unquote(written))
-                said = re.search(rb"""^\s*<\?xml[^>]*encoding=["']([A-Za-z0-9._-]+)""", data[:200])
-                out.append(decode(data, said[1].decode("ascii") if said else None))
-        return out
+        return [in_unicode(z.read(name)) for name in epub_names(z)]
 
 
 def _read_items(batches):
@@ -92,10 +57,10 @@ def _read_items(batches):
         rows = []
         for path, ext, content in zip(pdf["path"], pdf["ext"], pdf["content"], strict=True):
             if ext in ("txt", "md"):
-                rows.append((path, ext, "ok", [decode(bytes(content))]))
+                rows.append((path, ext, "ok", [bytes(content)]))
             elif ext == "epub":
                 try:
-                    rows.append((path, ext, "ok", epub_documents(bytes(content))))
+                    rows.append((path, ext, "ok", [item.encode() for item in epub_documents(bytes(content))]))
                 except Exception:  # corrupt archive or package: a status, not a failed job
                     rows.append((path, ext, "invalid_epub", None))
             else:
@@ -115,23 +80,8 @@ def file_documents(files: DataFrame, processor: str = "clean") -> DataFrame:
     """
     rows = files.select("path", "ext", "content").mapInPandas(_read_items, ITEMS_SCHEMA)
     if processor == "chunked":
-        book = F.array_join(F.transform("items", T.html_to_text_glued), " ")
+        book = F.array_join(F.transform("items", lambda i: T.html_to_text_glued(T.decode_bytes(i))), " ")
     else:
-        book = F.array_join(F.filter(F.transform("items", T.html_to_text), lambda t: ~T.is_blank(t)), " ")
-    text = F.when(F.col("ext") == "epub", book).otherwise(F.element_at("items", 1))
+        book = F.array_join(F.filter(F.transform("items", lambda i: T.html_to_text(T.decode_bytes(i))), lambda t: ~T.is_blank(t)), " ")
+    text = F.when(F.col("ext") == "epub", book).otherwise(T.decode_bytes(F.element_at("items", 1)))
     return rows.select(F.xxhash64("path").alias("doc_id"), "path", "ext", "status", text.alias("text"))
-
-
-def file_sentences(documents: DataFrame, processor: str = "clean") -> DataFrame:
-    """Sentences of file documents, as the file processors split them:
-    ``clean`` splits txt/md plainly (raw) and EPUB text cleanly; ``chunked``
-    cuts every text into 1 MiB slices and splits each cleanly."""
-    from ..operators import sentences as S
-
-    ok = documents.where(F.col("status") == "ok").select("doc_id", "ext", "text")
-    if processor == "chunked":
-        # slices of one large file are split by many tasks
-        return S.sentences_chunked(ok, spread=True)
-    arr = F.when(F.col("ext").isin("txt", "md"), T.split_raw("text")).otherwise(T.split_clean("text"))
-    out = ok.select("doc_id", F.posexplode(arr).alias("seq", "sentence"))
-    return out.withColumn("seq", F.col("seq").cast("long"))
