@@ -104,14 +104,28 @@ def _keyed(sample: np.ndarray):
     return keys
 
 
-def _ranked(points: DataFrame, keys) -> DataFrame:
-    """``points(vec_id, embedding, candidate)`` once a curve, with their ``rank`` in it."""
+def lifted(x: np.ndarray, radius2: float, query: bool) -> np.ndarray:
+    """Vectors with one coordinate more, so that the largest inner product is the smallest
+    distance: candidates are lifted to one sphere of the squared radius."""
+    squares = np.einsum("ij,ij->i", x, x)
+    if query:  # its length changes no order, so it is put on the same sphere
+        return np.column_stack((x * np.sqrt(radius2 / squares)[:, None], np.zeros(len(x))))
+    return np.column_stack((x, np.sqrt(np.maximum(radius2 - squares, 0))))
+
+
+def _ranked(points: DataFrame, keys, radius2: float) -> DataFrame:
+    """``points(vec_id, embedding, candidate)`` once a curve, with their ``rank`` in it; a
+    candidate that is a query too stands in it twice (``candidate`` tells which)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                for curve, key in enumerate(keys(_matrix(batch.column("embedding")))):
-                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, curve, np.int32)), pa.array(key)], names=[*batch.schema.names, "curve", "key"])
+            asked = pa.array(batch.column("vec_id").to_numpy() % EVERY == 0)
+            for rows, role in ((batch.filter(batch.column("candidate")), True), (batch.filter(asked), False)):
+                if rows.num_rows:
+                    own = pa.array(np.full(rows.num_rows, role))
+                    for curve, key in enumerate(keys(lifted(_matrix(rows.column("embedding")), radius2, not role))):
+                        cols = [rows.column("vec_id"), rows.column("embedding"), own, pa.array(np.full(rows.num_rows, curve, np.int32)), pa.array(key)]
+                        yield pa.RecordBatch.from_arrays(cols, names=["vec_id", "embedding", "candidate", "curve", "key"])
 
     kind = points.schema["embedding"].dataType.simpleString()
     keyed = points.mapInArrow(run, f"vec_id long, embedding {kind}, candidate boolean, curve int, key long")
@@ -139,11 +153,12 @@ def _fit_window(index: DataFrame, points: DataFrame, queries: DataFrame) -> int:
     near = points.where("candidate").select("vec_id", "embedding").mapInArrow(run, _NEAR)
     true = cut(_nearest(near), "probed").select("query_id", "vec_id")
     wanted = true.select("vec_id").union(true.select("query_id")).distinct()  # PROBES * (K + 1) ids at most
-    at = index.join(F.broadcast(wanted), "vec_id", "left_semi").select("curve", "vec_id", "rank").collect()
-    place: dict[int, dict[int, int]] = {}
+    at = index.join(F.broadcast(wanted), "vec_id", "left_semi").select("curve", "vec_id", "candidate", "rank").collect()
+    place: dict[tuple[int, bool], dict[int, int]] = {}
     for r in at:
-        place.setdefault(r["vec_id"], {})[r["curve"]] = r["rank"]
-    apart = [min(abs(place[r["query_id"]][c] - place[r["vec_id"]][c]) for c in place[r["vec_id"]]) for r in true.collect()]
+        place.setdefault((r["vec_id"], r["candidate"]), {})[r["curve"]] = r["rank"]
+    pairs = [(place[(r["query_id"], False)], place[(r["vec_id"], True)]) for r in true.collect()]
+    apart = [min(abs(q[c] - p[c]) for c in p) for q, p in pairs]
     return int(np.quantile(apart, RECALL)) + 1 if apart else 1
 
 
@@ -169,10 +184,15 @@ def nearest_neighbours(vectors: DataFrame) -> DataFrame:
     is_query = F.pmod(F.col("vec_id"), F.lit(EVERY)) == 0
     points = clean.join(few, "vec_id", "left").withColumn("candidate", F.coalesce("candidate", F.lit(False))).where(F.col("candidate") | is_query)
     points = cut(points.select("vec_id", "embedding", "candidate"), "points")
-    sample = points.select("embedding").limit(FIT_ROWS).toArrow()
+    # scale and centre are fitted on vectors drawn by hash from the whole table
+    share = int(950_000 * min(1.0, FIT_ROWS / max(points.count(), 1)))
+    drawn = points if share >= 950_000 else points.where(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(1_000_000)) < share)
+    sample = drawn.select("embedding").limit(FIT_ROWS).toArrow()
     if not sample.num_rows or points.where(is_query).isEmpty():
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    index = _ranked(points, _keyed(_matrix(sample.column("embedding"))))
+    squares = F.aggregate("embedding", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
+    radius2 = points.where("candidate").select(F.max(squares)).first()[0] or 0.0
+    index = _ranked(points, _keyed(lifted(_matrix(sample.column("embedding")), radius2, False)), radius2)
     window = _fit_window(index, points, points.where(is_query))
     # a block meets the query blocks that have ranks within the window of its own
     reach = lambda rank, size: (F.floor((rank - window) / size), F.floor((rank + window) / size))
@@ -180,6 +200,6 @@ def nearest_neighbours(vectors: DataFrame) -> DataFrame:
     lo, hi = reach(block * BLOCK, QUERY_BLOCK)[0], reach(block * BLOCK + BLOCK - 1, QUERY_BLOCK)[1]
     rows = index.where("candidate").select("curve", block.alias("block"), F.explode(F.sequence(F.greatest(lo, F.lit(0)), hi)).alias("query_block"), "vec_id", "embedding")
     lo, hi = reach(F.col("rank"), BLOCK)
-    asked = index.where(is_query).select(F.col("curve").alias("q_curve"), F.explode(F.sequence(F.greatest(lo, F.lit(0)), hi)).alias("q_block"), query_block.alias("q_query_block"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    asked = index.where(~F.col("candidate")).select(F.col("curve").alias("q_curve"), F.explode(F.sequence(F.greatest(lo, F.lit(0)), hi)).alias("q_block"), query_block.alias("q_query_block"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     found = asked.groupBy("q_curve", "q_block", "q_query_block").cogroup(rows.groupBy("curve", "block", "query_block")).applyInArrow(_rerank, _NEAR)
     return _nearest(found)

@@ -33,8 +33,8 @@ TOKENIZER = "byte_bpe_50k"
 PARTITION_PIECES = 8_192
 #: A partition that meets its bound keeps the bins that are at least so full.
 TIGHT = 0.9
-#: Exchanges between partitions with a gap, at most.
-ROUNDS = 3
+#: Partitions exchange their open pieces as long as that leaves at most this share of them open.
+CLOSING = 0.9
 #: White space in one run from which a text goes to the slower, equal encoder.
 LONG_RUN = 5_000
 
@@ -42,12 +42,11 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def encoder(folder: str | None = None):
-    """``texts -> list of id lists`` of the tokenizer file (``folder``: where the
-    public vocabulary files lie; default: their package).
+    """``text -> ids`` of the tokenizer file as it stands, with its added token
+    (``folder``: where the public vocabulary files lie; default: their package).
 
     The rank file gives the ids of the ``tokenizers`` file several times faster;
     texts with a very long run of white space go to ``tokenizers`` itself.
-    Strings of special tokens are ordinary text.
     """
     import base64
     import re
@@ -59,7 +58,7 @@ def encoder(folder: str | None = None):
     place = (lambda name: f"{folder}/{name}") if folder else public_tokenizers.path
     with open(place(f"{TOKENIZER}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    fast = tiktoken.Encoding(TOKENIZER, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    fast = tiktoken.Encoding(TOKENIZER, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
     run = re.compile(rf"\s{{{LONG_RUN}}}")
     slow = None
 
@@ -68,9 +67,8 @@ def encoder(folder: str | None = None):
         if len(text) > LONG_RUN and run.search(text):
             if slow is None:
                 slow = Tokenizer.from_file(place(f"{TOKENIZER}.json"))
-                slow.encode_special_tokens = True
             return slow.encode(text, add_special_tokens=False).ids
-        return fast.encode_ordinary(text)
+        return fast.encode(text, allowed_special="all")
 
     return encode
 
@@ -165,31 +163,34 @@ def _pack(capacity: int):
 def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Pack pieces ``PIECES`` (lengths from 1 to ``capacity``) into sequences: adds
     ``sequence_id`` (round, partition and bin in its bits; negative for a full
-    piece, which is a sequence of its own) and ``offset``."""
+    piece, which is a sequence of its own), ``offset``, and the certificate of the
+    partition that the piece was packed in: ``bins`` used and the lower ``bound``.
+    Partitions with a gap, and loose bins, exchange their pieces and are packed again
+    until that closes no more; what then has more bins than its bound shows it."""
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]
     items = cut(items.select(*key), "pieces").withColumn("row", F.monotonically_increasing_id())
     whole = items.where(F.col("length") == capacity)
-    out = whole.select(*key, (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    one = F.lit(1).cast("long")
+    out = whole.select(*key, (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), one.alias("bins"), one.alias("bound"))
     left = items.where(F.col("length") < capacity)
-    for round_ in range(ROUNDS + 1):
-        n = left.count()
-        if not n:
-            break
+    round_, before = 0, None
+    while n := left.count():
         parts = -(-n // PARTITION_PIECES)
+        last = parts == 1 or (before is not None and n > CLOSING * before)
         dealt = left.withColumn("part", F.pmod(F.xxhash64("row", F.lit(round_)), F.lit(parts).cast("long")))
         packed = cut(dealt.groupBy("part").applyInArrow(_pack(capacity), PACKED), "packed")
-        last = round_ == ROUNDS or parts == 1
         full = F.col("fill") == capacity
         tight = (F.col("bins") == F.col("bound")) & (F.col("fill") >= TIGHT * capacity)
         stays = F.lit(True) if last else full | tight
-        number = F.lit(round_ << 60).cast("long") + F.shiftleft("part", 24) + F.col("bin")
-        out = out.union(packed.where(stays).select(*key, number.alias("sequence_id"), "offset"))
-        left = packed.where(~stays).select(*key, "row")
+        number = F.lit(round_ << 52).cast("long") + F.shiftleft("part", 24) + F.col("bin")
+        out = out.union(packed.where(stays).select(*key, number.alias("sequence_id"), "offset", "bins", "bound"))
         if last:
             break
+        left, before, round_ = packed.where(~stays).select(*key, "row"), n, round_ + 1
     return out
 
 
 def pack_documents(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """One row a piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``."""
+    """One row a piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset, bins,
+    bound``."""
     return pack(pieces(docs, folder))
