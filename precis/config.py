@@ -51,7 +51,7 @@ STOP_WORDS = tuple(
 ABBREVIATIONS = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Sr", "Jr", "St", "vs", "etc", "e.g", "i.e")
 
 ALGORITHMS = ("default", "diverse")
-PROCESSORS = ("clean", "raw", "chunked")
+PROCESSORS = ("clean", "raw", "chunked", "trained")
 # Other names that callers may use (fixed values): algorithm "dask" is the diverse algorithm; processor "default"
 # is the clean splitter and "dask" the chunked one.
 ALGORITHM_ALIASES = {"dask": "diverse"}

@@ -101,9 +101,7 @@ def split_abbrev(c) -> Column:
 
 
 # --- word tokens --------------------------------------------------------------------
-def normalize_tokens(c) -> Column:
-    """Lower-case and space out punctuation the way a Treebank-style word
-    tokenizer does; the result is padded with one space on each side."""
+def _spaced(c) -> Column:
     t = F.lower(_col(c))
     t = F.regexp_replace(t, P.FINAL_PERIOD, "$1 $2")
     t = F.regexp_replace(t, P.INNER_PERIOD, "$1 $2")
@@ -111,14 +109,33 @@ def normalize_tokens(c) -> Column:
     t = F.regexp_replace(t, P.COMMA_COLON_END, " ")
     seps = P.SEPARATOR_CHARS + P.WS_CHARS
     t = F.regexp_replace(F.translate(t, seps, _spaces(len(seps))), P.MULTI_SEPARATORS, " ")
-    t = F.concat(F.lit(" "), t, F.lit(" "))
-    # Rare rules run only on sentences that can match them (a cheap substring test).
+    return F.concat(F.lit(" "), t, F.lit(" "))
+
+
+# Rare rules run only on sentences that can match them (a cheap substring test).
+def _quotes(t: Column) -> Column:
     quoted = F.regexp_replace(F.regexp_replace(t, P.OPENING_QUOTE, "' $1"), P.CLITICS, "$1 $2 ")
-    t = F.when(t.contains("'"), quoted).otherwise(t)
+    return F.when(t.contains("'"), quoted).otherwise(t)
+
+
+def _contractions(t: Column) -> Column:
     maybe = t.contains("nnot") | t.contains("mme") | t.contains("nna") | t.contains("tta")
     return F.when(maybe, F.regexp_replace(t, P.CONTRACTIONS, "$1 ")).otherwise(t)
 
 
+def normalize_tokens(c) -> Column:
+    """Lower-case and space out punctuation the way a Treebank-style word
+    tokenizer does; the result is padded with one space on each side."""
+    return _contractions(_quotes(_spaced(c)))
+
+
+def terms_of_one(c: Column) -> Column:
+    """:func:`terms` for use inside an array function, where Spark does not share what an
+    expression repeats: every step is bound once."""
+    last = lambda t: F.regexp_extract_all(_contractions(t), F.lit(P.KEPT_TERM), 0)
+    return E.let(_spaced(c), lambda t: E.let(_quotes(t), last))
+
+
 def terms(c, stop_words=None) -> Column:
     """Filtered word tokens of a sentence (letters/digits only, no stop words,
     duplicates and order kept) as ``ARRAY<STRING>``. ``stop_words``: lower-case words

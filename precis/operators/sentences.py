@@ -8,11 +8,12 @@ sentences are produced in the same task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CHUNK_SIZE, MAX_SENTENCE_LENGTH, MIN_SENTENCE_LENGTH, MIN_WORDS_COUNT, PROCESSORS
 from ..functions import text as T
+from ..functions.encodings import let
 
 # Chunk number goes to the high 32 bits of seq in the chunked processor; a
 # chunk of at most 2**31 characters has fewer sentences than 2**32.
@@ -81,13 +82,18 @@ def sentences_of_chunks(chunks: DataFrame) -> DataFrame:
 
 
 def split_sentences(docs: DataFrame, processor: str = "clean", text_col: str = "text") -> DataFrame:
-    """Dispatch on the processor name: ``clean``, ``raw`` or ``chunked``."""
+    """Dispatch on the processor name: ``clean``, ``raw``, ``chunked`` or ``trained`` (the clean
+    split with boundaries learned from these documents)."""
     if processor == "clean":
         return sentences_clean(docs, text_col)
     if processor == "raw":
         return sentences_raw(docs, text_col)
     if processor == "chunked":
         return sentences_chunked(docs, text_col=text_col)
+    if processor == "trained":
+        from .boundaries import sentences_trained
+
+        return sentences_trained(docs, text_col=text_col)
     raise ValueError(f"processor must be one of {PROCESSORS}")
 
 
@@ -148,6 +154,28 @@ def early_termination(valid: DataFrame, cap: int | None) -> DataFrame:
     )
 
 
+def first_valid(docs: DataFrame, cap: int, processor: str = "clean", text_col: str = "text") -> DataFrame:
+    """The first ``cap`` valid sentences of each document, pulled one after the other:
+    ``(doc_id, seq, sentence, terms, n_words)``. Once a document has them, no further
+    sentence is tokenized, so the costly part of the work follows the cap and not the
+    document's length. Row-local; the same rows as :func:`early_termination`."""
+    split = T.split_raw(text_col) if processor == "raw" else T.split_clean(text_col)
+    rows = docs.select("doc_id", F.explode(F.array(split)).alias("_s"))
+    numbered_ = F.transform("_s", lambda s, i: F.struct(i.cast("long").alias("seq"), s.alias("sentence")))
+
+    def pull(found: Column, s: Column) -> Column:
+        def take(terms: Column) -> Column:
+            one = F.struct(s["seq"].alias("seq"), s["sentence"].alias("sentence"), terms.alias("terms"))
+            return F.when(F.size(terms) >= MIN_WORDS_COUNT, F.array_append(found, one)).otherwise(found)
+
+        fits = F.length(s["sentence"]).between(MIN_SENTENCE_LENGTH, MAX_SENTENCE_LENGTH)
+        return F.when((F.size(found) < cap) & fits, let(T.terms_of_one(s["sentence"]), take)).otherwise(found)
+
+    none = F.array().cast("array<struct<seq:bigint,sentence:string,terms:array<string>>>")
+    out = rows.select("doc_id", F.explode(F.aggregate(numbered_, none, pull)).alias("_f"))
+    return out.select("doc_id", "_f.seq", "_f.sentence", "_f.terms", F.size("_f.terms").alias("n_words"))
+
+
 def sentence_status(docs: DataFrame, processor: str = "clean", text_col: str = "text") -> DataFrame:
     """Per-document status: ``ok`` with the number of valid sentences, or
     ``no_valid_sentences``.
@@ -157,6 +185,10 @@ def sentence_status(docs: DataFrame, processor: str = "clean", text_col: str = "
     the count per document needs no join back to the documents: a single
     aggregate on ``doc_id`` over data already distributed by ``doc_id``.
     """
+    if processor == "trained":  # its sentences are rows already
+        found = valid_sentences(split_sentences(docs, processor, text_col)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_valid"))
+        counts = docs.select("doc_id").distinct().join(found, "doc_id", "left").withColumn("n_valid", F.coalesce("n_valid", F.lit(0)))
+        return _status_of(counts)
     if processor == "chunked":
         chunks = docs.select("doc_id", F.explode_outer(T.chunks(text_col, CHUNK_SIZE)).alias("chunk"))
         sents = chunks.select("doc_id", F.explode_outer(F.when(~T.is_blank("chunk"), T.split_clean("chunk"))).alias("sentence"))
@@ -169,6 +201,10 @@ def sentence_status(docs: DataFrame, processor: str = "clean", text_col: str = "
     candidate = F.when(in_bounds, F.col("sentence")).otherwise(F.lit(""))
     sents = sents.select("doc_id", F.size(T.terms(candidate)).alias("n_words"))
     counts = sents.groupBy("doc_id").agg(F.count(F.when(F.col("n_words") >= MIN_WORDS_COUNT, 1)).alias("n_valid"))
+    return _status_of(counts)
+
+
+def _status_of(counts: DataFrame) -> DataFrame:
     return counts.select(
         "doc_id",
         F.when(F.col("n_valid") == 0, F.lit("no_valid_sentences")).otherwise(F.lit("ok")).alias("status"),

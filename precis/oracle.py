@@ -384,6 +384,12 @@ FROM (SELECT s.doc_id, seq, {by_lang} AS t FROM sents s JOIN documents d USING (
 FROM (SELECT d.source, v.doc_id, v.seq, v.sentence, row_number() OVER (PARTITION BY d.source ORDER BY v.doc_id, v.seq) AS rn
       FROM valid v JOIN documents d USING (doc_id)) WHERE rn <= {CAP}""",
     )
+    sql["early_stop"] = _sel(
+        (CLEAN, VALID_CTES),
+        """SELECT doc_id, idx, seq, least(n, 20) AS n, n_words, sentence FROM (
+  SELECT doc_id, row_number() OVER o - 1 AS idx, CAST(seq AS BIGINT) AS seq, count(*) OVER (PARTITION BY doc_id) AS n,
+         CAST(n_words AS BIGINT) AS n_words, sentence FROM valid WINDOW o AS (PARTITION BY doc_id ORDER BY seq)) WHERE idx < 20""",
+    )
     sql["boundary_types"] = with_(BOUNDARY_CTES) + (
         "SELECT type, n_plain, n_period, n_lower, n_upper_mid, round(score, 6) + 0::DOUBLE AS score, CAST(score >= 0.3 AS BIGINT) AS abbreviation FROM scored_types WHERE n_period > 0"
     )
@@ -456,6 +462,7 @@ WHERE abs(a.n_words - b.n_words) < 5""",
         "sents AS (SELECT doc_id, unnest(generate_series(0, len(arr) - 1)) AS seq, unnest(arr) AS sentence "
         f"FROM (SELECT doc_id, {raw_split('pcs')} AS arr FROM (SELECT doc_id, {raw_pieces('text')} AS pcs FROM documents)))"
     )
+    sql["summarize_trained"] = summary_sql((f"sents AS ({trained_sql()})",), "default")
     sql["summarize_raw"] = summary_sql((raw_cte,), "default")
     sql["summarize_raw_diverse"] = summary_sql((raw_cte,), "diverse")
     sql["summarize_chunked"] = summary_sql((chunked_sentences_cte(1024),), "diverse")

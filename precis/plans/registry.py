@@ -185,6 +185,12 @@ def q_sentences_trained(spark, sf_dir):
     return boundaries.sentences_trained(docs(spark, sf_dir))
 
 
+def q_early_stop(spark, sf_dir):
+    """The feature itself: each document is read until it has 20 valid sentences."""
+    out = sentences.numbered(sentences.first_valid(docs(spark, sf_dir), 20))
+    return out.select("doc_id", *_long("idx", "seq", "n", "n_words"), "sentence")
+
+
 # --- term statistics --------------------------------------------------------------------
 def q_term_frequency(spark, sf_dir):
     return _tf(spark, sf_dir).select("doc_id", *_long("idx"), "term", *_long("tf"))
@@ -327,6 +333,10 @@ def q_summarize_raw_diverse(spark, sf_dir):
     return _summary(spark, sf_dir, "diverse", "raw")
 
 
+def q_summarize_trained(spark, sf_dir):
+    return _summary(spark, sf_dir, "default", "trained")
+
+
 def q_summarize_chunked(spark, sf_dir):
     return _summary(spark, sf_dir, "diverse", "chunked", chunk_size=CHUNK_DEMO)
 

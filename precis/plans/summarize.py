@@ -48,7 +48,11 @@ def scored_sentences(docs: DataFrame, cfg: SummaryConfig, text_col: str = "text"
 def summarize_sentences(sents: DataFrame, cfg: SummaryConfig) -> DataFrame:
     """Summary rows ``(doc_id, idx, sentence, score)`` from a sentence table
     ``(doc_id, seq, sentence)``."""
-    capped = sentences.early_termination(sentences.valid_sentences(sents), cfg.cap)
+    return summarize_valid(sentences.early_termination(sentences.valid_sentences(sents), cfg.cap), cfg)
+
+
+def summarize_valid(capped: DataFrame, cfg: SummaryConfig) -> DataFrame:
+    """Summary rows from the numbered valid sentences that count."""
     scores = tfidf.sentence_scores(tfidf.with_idf(tfidf.term_frequency(capped)))
     if cfg.algorithm == "default":
         picked = selection.top_n(scores, cfg.num_sentences, "score_l2")
@@ -74,13 +78,16 @@ def summarize(
     ``algorithm='diverse'``: blended score (TF-IDF, position, length) and a
     greedy pick that penalises near and similar-length sentences.
     ``processor``: ``clean`` (squeeze + abbreviation-aware split), ``raw``
-    (plain split) or ``chunked`` (slices of ``chunk_size`` characters, each split
-    cleanly). ``early_termination_factor``: read only the first sentences of a
+    (plain split), ``chunked`` (slices of ``chunk_size`` characters, each split
+    cleanly) or ``trained`` (clean, with sentence boundaries learned from ``docs``). ``early_termination_factor``: read only the first sentences of a
     document, as many as the factor gives; without it all are read.
     ``spread``: distribute the documents before the text work (:func:`distribute`).
     """
     cfg = SummaryConfig(num_sentences, early_termination_factor, algorithm, processor)
     docs = distribute(docs, text_col) if spread else docs.select("doc_id", text_col)
+    if cfg.cap is not None and cfg.processor in ("clean", "raw"):
+        # tokenizing stops at each document's cap
+        return summarize_valid(sentences.numbered(sentences.first_valid(docs, cfg.cap, cfg.processor, text_col)), cfg)
     if cfg.processor == "chunked":
         # Slices, not documents, are the unit of work: a huge document is split
         # by many tasks.

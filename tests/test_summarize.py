@@ -5,9 +5,10 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import HARBOUR, GARDEN
+from conftest import GARDEN, HARBOUR, SF001
 from precis.config import SummaryConfig, termination_cap
 from precis.operators import scoring
+from precis.operators import sentences as S
 from precis.plans.summarize import rejected_documents, scored_sentences, summarize, summary_records, summary_status
 
 # Golden values (hand-computed from the formulas), 6 decimals.
@@ -242,3 +243,34 @@ def test_single_request_accepts_a_list_of_strings(spark):
 
     rec = summarize_request(spark, text=list(GARDEN), num_sentences=2).first()
     assert rec.summary == [GARDEN[0], GARDEN[2]]
+
+
+@pytest.mark.parametrize("processor", ["clean", "raw"])
+def test_pulled_sentences_equal_the_capped_ones(spark, processor):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text")
+    split = S.sentences_raw if processor == "raw" else S.sentences_clean
+    for cap in (1, 7):
+        want = S.early_termination(S.valid_sentences(split(docs)), cap).select("doc_id", "idx", "n", "seq", "sentence", "terms", "n_words")
+        got = S.numbered(S.first_valid(docs, cap, processor)).select("doc_id", "idx", "n", "seq", "sentence", "terms", "n_words")
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_tokenizing_stops_at_the_cap(spark):
+    """The time of a very long document follows the cap, not its length."""
+    import time
+
+    text = " ".join(GARDEN) + " "
+    docs = spark.createDataFrame([(1, text * 8000)], "doc_id long, text string")
+
+    def seconds(cap):
+        t0 = time.time()
+        assert S.first_valid(docs, cap).count() == cap
+        return time.time() - t0
+
+    seconds(20)
+    assert seconds(20) < 0.5 * seconds(20_000)
+
+
+def test_trained_processor(spark):
+    docs = spark.createDataFrame([(k, " ".join(GARDEN)) for k in range(3)], "doc_id long, text string")
+    assert {r.sentence for r in summarize(docs, 2, processor="trained").collect()} <= set(GARDEN)
