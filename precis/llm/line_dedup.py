@@ -1,6 +1,6 @@
 """Removal of repeated line chunks, with chunk borders set by the content.
 
-The lines of a text are hashed; a rolling hash over the last ``WINDOW`` line hashes
+The lines of a text are hashed; a rolling hash over two line hashes
 puts a border wherever it falls into one class of ``SPREAD``, but not after two lines
 running, so that chunks have two lines at least; the borders of a shared run of lines
 are the same wherever it stands. A line of ``LONG_WORDS`` words
@@ -9,9 +9,10 @@ and such long lines, that occur again anywhere are removed after the first place
 (smallest id, then text hash, then position).
 
 Digests find the candidates; the candidates' bytes decide. Only digests of all
-chunks move between tasks, and then the texts of repeated ones. Tables of one row a
-chunk are aggregated before they meet the rows, so a chunk that holds a third of all
-rows is counted map-side and its join can be split. Documents are read by built-in
+chunks move between tasks, and then, once, the bytes of repeated ones: each meets the
+bytes at the first place of its digest. Tables of one row a chunk are aggregated before
+they meet the rows, so a chunk that holds a third of all rows is counted map-side and
+its join can be split. Documents are read by built-in
 functions only; each is one row and is cut in its own task.
 
 A null text stays null, an empty one empty. Rows with the same id and the same text
@@ -26,7 +27,6 @@ from pyspark.sql import functions as F
 
 from .tables import cut, kept_names, packed, sieve, unpacked
 
-WINDOW = 2
 SPREAD = 2
 LONG_WORDS = 50
 _BASE = 31
@@ -69,6 +69,10 @@ def with_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
     return _once(out, "chunks", chunks, ("_lines", "_border"))
 
 
+def _digest(chunk: Column) -> Column:
+    return F.xxhash64(chunk, F.lit(5))
+
+
 def _removable(chunk: Column) -> Column:
     return (chunk.contains("\n") | _long(chunk)) & (F.trim(F.translate(chunk, "\n\r\t", "   ")) != "")
 
@@ -83,19 +87,29 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 
     def chunks_of(texts: DataFrame) -> DataFrame:
         rows = with_chunks(texts).select("_id", "_h", F.posexplode("chunks").alias("at", "chunk")).where(_removable(F.col("chunk")))
-        return rows.withColumn("digest", F.xxhash64("chunk", F.lit(5)))
+        return rows.withColumn("digest", _digest(F.col("chunk")))
 
-    digests = cut(chunks_of(plain).select("_id", "_h", "digest"), "digests")
-    counted = cut(digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "counted")
+    place = F.struct("_id", "_h", "at")
+    digests = cut(chunks_of(plain).select("_id", "_h", "at", "digest"), "digests")
+    counted = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1")
+    counted = cut(counted.select("digest", "first"), "counted")
     # texts that hold a repeated digest are cut once more, now with the chunks' bytes
-    holders = digests.join(counted, "digest", "left_semi").select(F.xxhash64("_id", "_h"))
+    holders = digests.join(counted.select("digest"), "digest", "left_semi").select(F.xxhash64("_id", "_h"))
     held = sieve(plain, F.xxhash64("_id", "_h"), holders, "_maybe").where("_maybe").drop("_maybe")
-    maybe = sieve(chunks_of(held), F.col("digest"), counted, "_maybe").where("_maybe").drop("_maybe")
-    again = cut(maybe.join(counted, "digest", "left_semi"), "candidates")
-    first = again.groupBy("digest", "chunk").agg(F.min(F.struct("_id", "_h", "at")).alias("first"))
-    both = again.join(cut(first, "firsts"), ["digest", "chunk"])
-    later = both.where(~F.struct("_id", "_h", "at").eqNullSafe(F.col("first")))
-    return later.groupBy("_id", "_h").agg(F.collect_set("at").alias("removed"))
+    again = cut(sieve(chunks_of(held), F.col("digest"), counted.select("digest"), "_maybe").where("_maybe").drop("_maybe"), "candidates")
+    # the bytes at a digest's first place stand for it; only rows that may be such move to be found
+    at_first = F.xxhash64("digest", "_id", "_h", "at")
+    leads = counted.select(F.xxhash64("digest", "first._id", "first._h", "first.at").alias("lead"))
+    lead = sieve(again, at_first, leads, "_maybe").where("_maybe").select("digest", place.alias("place"), "chunk").join(counted, "digest")
+    lead = lead.where(F.col("place").eqNullSafe(F.col("first"))).dropDuplicates(["digest"]).select("digest", "first", F.col("chunk").alias("own"))
+    # one move of all candidates' bytes: each meets the bytes that stand for its digest
+    both = again.join(cut(lead, "leads"), "digest")
+    later = both.where((F.col("chunk") == F.col("own")) & ~place.eqNullSafe(F.col("first"))).select("_id", "_h", "at")
+    # other bytes under one digest: the same by the bytes themselves
+    other = cut(both.where(F.col("chunk") != F.col("own")).select("_id", "_h", "at", "digest", "chunk"), "collisions")
+    firsts = other.groupBy("digest", "chunk").agg(F.min(place).alias("first"))
+    more = other.join(cut(firsts, "firsts"), ["digest", "chunk"]).where(~place.eqNullSafe(F.col("first"))).select("_id", "_h", "at")
+    return later.union(more).groupBy("_id", "_h").agg(F.collect_set("at").alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, report: bool = False) -> DataFrame:

@@ -58,7 +58,7 @@ def shingle_slices(column, hasher: A.WordHasher):
     """Per slice of a text column: ``(first_row, shingles, first)`` with the
     64-bit shingle hashes of all documents, in text order, repeats included."""
     places = _constants(WORDS, 7)
-    for at, data, offsets in A.slices(column):
+    for at, data, offsets in A.slices(column, A.SMALL_SLICE):
         data = A.lower_ascii(data)
         starts, ends, first = A.word_bounds(data, offsets)
         words = hasher(data, starts, ends)

@@ -5,8 +5,10 @@ documents outside the held-out fold) and an estimated class prior, and
 minimises the non-negative unbiased risk ``prior * R_P(+) + max(0, R_U(-) -
 prior * R_P(-))`` with the bounded sigmoid loss. When the bracket turns negative, the step
 goes against it, which keeps the model from fitting the unlabelled rows by heart.
-The prior is the share of positives among the sampled labelled rows; labelled
-negatives serve for nothing else.
+The prior is estimated from positives and unlabelled rows alone (best bin estimation):
+above a score where nearly only positives stand, the unlabelled rows' share is the prior
+times the positives' share, so the lower envelope of that ratio over held-back positives
+gives it. Rows labelled 0 are not read.
 
 Features are shares of character and word kinds over the whole text, each cut
 into bins at the quantiles of the unlabelled sample. Fitting reads at most
@@ -86,7 +88,7 @@ def measure(data: np.ndarray, offsets: np.ndarray, hasher: A.WordHasher) -> np.n
 def _measured(batches):
     hasher = A.WordHasher()
     for batch in batches:
-        for _, data, offsets in A.slices(batch.column("text")):
+        for _, data, offsets in A.slices(batch.column("text"), A.SMALL_SLICE):
             x = measure(data, offsets, hasher)
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64()))], names=["x"])
 
@@ -142,6 +144,22 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> BinnedMod
     return BinnedModel(edges, theta[:-1].reshape(wide, bins), float(theta[-1]))
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of positives among the unlabelled rows. Half of the positives fit a first
+    model; over the scores of the others the ratio of the two shares above a threshold is
+    least where its upper confidence bound is."""
+    if len(positive) < 2 or not len(unlabelled):
+        return 0.5
+    first = fit(positive[::2], unlabelled, 0.5)
+    held, rest = np.sort(first.margin(positive[1::2])), np.sort(first.margin(unlabelled))
+    at = np.unique(held)
+    share_p = 1 - np.searchsorted(held, at) / len(held)
+    share_u = 1 - np.searchsorted(rest, at) / len(rest)
+    slack = np.sqrt(np.log(40) / 2) * (1 / np.sqrt(len(held)) + 1 / np.sqrt(len(rest)))
+    best = np.argmin((share_u + slack) / share_p)
+    return float(np.clip(share_u[best] / share_p[best], 0.01, 0.99))
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -155,11 +173,10 @@ def train(docs: DataFrame, labels: DataFrame, name: str = "quality") -> BinnedMo
     """Fit on bounded samples outside the held-out fold."""
     texts = _texts(docs)
     marks = labels_of(labels, name).where(fold("doc_id", FOLDS) != HELD_OUT)
-    counts = marks.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("label")).alias("pos")).first()
-    prior = min(max((counts["pos"] or 0) / max(counts["n"], 1), 0.01), 0.99)
     trusted = F.broadcast(sampled(marks.where("label = 1"), SAMPLE, SEED))
-    unlabelled = drawn(texts.where((fold("doc_id", FOLDS) != HELD_OUT) & F.col("doc_id").isNotNull()), SAMPLE, SEED + 1)
-    return fit(_matrix(texts.join(trusted, "doc_id")), _matrix(unlabelled), prior)
+    web = drawn(texts.where((fold("doc_id", FOLDS) != HELD_OUT) & F.col("doc_id").isNotNull()), SAMPLE, SEED + 1)
+    positive, unlabelled = _matrix(texts.join(trusted, "doc_id")), _matrix(web)
+    return fit(positive, unlabelled, estimate_prior(positive, unlabelled))
 
 
 def scores(docs: DataFrame, model: BinnedModel) -> DataFrame:
@@ -168,7 +185,7 @@ def scores(docs: DataFrame, model: BinnedModel) -> DataFrame:
     def run(batches):
         hasher = A.WordHasher()
         for batch in batches:
-            for at, data, offsets in A.slices(batch.column("text")):
+            for at, data, offsets in A.slices(batch.column("text"), A.SMALL_SLICE):
                 n = len(offsets) - 1
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(at, n), pa.array(model.score(measure(data, offsets, hasher)))], names=["doc_id", "score"]
@@ -190,7 +207,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches):
         hasher = A.WordHasher()
         for batch in batches:
-            marks = [model.score(measure(data, offsets, hasher)) >= 0.5 for _, data, offsets in A.slices(batch.column("text"))]
+            marks = [model.score(measure(data, offsets, hasher)) >= 0.5 for _, data, offsets in A.slices(batch.column("text"), A.SMALL_SLICE)]
             yield batch.filter(pa.array(np.concatenate(marks))) if marks else batch
 
     kept = packed(docs.withColumn("text", F.col("text").cast("string")), "text")

@@ -142,3 +142,13 @@ def test_line_dedup_matches_sql(spark, con):
     got = sorted(map(tuple, q(spark, SF001).select("doc_id", "text", "n_removed").collect()))
     assert got == sorted(con.sql(ORACLE_SQL["op5_content_defined_line_dedup"]).fetchall())
     assert sum(r[2] for r in got) > 0
+
+
+def test_bytes_decide_where_digests_collide(spark, con, monkeypatch):
+    """With three digests for all chunks the result is the same."""
+    monkeypatch.setattr(line_dedup, "_digest", lambda chunk: (F.length(chunk) % 3).cast("long"))
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text")
+    got = sorted((r.doc_id, r.text, r.n_removed) for r in line_dedup.dedup_lines(docs, report=True).collect() if r.doc_id is not None)
+    rel = con.sql(line_dedup.ORACLE_SQL)
+    at = [rel.columns.index(c) for c in ("doc_id", "text", "n_removed")]
+    assert got == sorted(tuple(r[i] for i in at) for r in rel.fetchall())

@@ -55,6 +55,37 @@ def test_keep_quality_passes_rows_through(spark, edges, empty):
     assert quality.keep_quality(empty, labels).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.8])
+def test_prior_is_estimated_from_positives_and_unlabelled(share):
+    rng = np.random.default_rng(9)
+    wide = len(quality.MEASURES)
+    positives = lambda n: np.abs(rng.normal(0.2, 0.1, (n, wide)))
+    junk = lambda n: np.abs(rng.normal(0.4, 0.15, (n, wide)))
+    n = 4000
+    prior = quality.estimate_prior(positives(2000), np.concatenate((positives(int(share * n)), junk(n - int(share * n)))))
+    assert abs(prior - share) < 0.08
+
+
+def test_negatives_are_not_read(spark):
+    docs, labels = spark.read.parquet(f"{SF01}/documents.parquet"), spark.read.parquet(f"{SF01}/labels.parquet")
+    with_, without = ({r.doc_id: r.score for r in quality.quality(docs, of).collect()} for of in (labels, labels.where("quality = 1")))
+    assert with_ == without
+
+
+def test_risk_is_the_formula():
+    """The fitted risk falls, and equals its definition term by term."""
+    rng = np.random.default_rng(3)
+    p, u = rng.normal(1, 1, (300, len(quality.MEASURES))), rng.normal(0, 1, (500, len(quality.MEASURES)))
+
+    def risk(model, prior):
+        sp, su = model.score(p), model.score(u)  # the sigmoid loss of a label is one minus the score for it
+        return prior * (1 - sp).mean() + max(0.0, su.mean() - prior * sp.mean())
+
+    model = quality.fit(p, u, 0.4)
+    flat = quality.BinnedModel(model.edges, np.zeros_like(model.weights), 0.5)
+    assert risk(model, 0.4) < risk(flat, 0.4)
+
+
 def test_interactions_are_learned():
     """Neither term alone is toxic, the pair is: weights alone cannot tell."""
     rng = np.random.default_rng(0)
