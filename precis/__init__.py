@@ -17,7 +17,7 @@ from .plans.summarize import (
     summary_records,
     summary_status,
 )
-from .streaming.stream import summarize_file_stream, summarize_stream
+from .streaming.stream import current_idf, current_summaries, idf_stream, summarize_file_stream, summarize_stream, summarize_versions_stream
 
 # Functions that run inside tasks are pickled by value, so executors need no copy of
 # the library.
@@ -26,7 +26,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 __all__ = [
     "SummaryConfig",
     "assemble_text",
+    "current_idf",
+    "current_summaries",
     "distribute",
+    "idf_stream",
     "rejected_documents",
     "summarize",
     "summarize_file_stream",
@@ -35,6 +38,7 @@ __all__ = [
     "summarize_request",
     "summarize_sentences",
     "summarize_stream",
+    "summarize_versions_stream",
     "summary_records",
     "summary_status",
 ]

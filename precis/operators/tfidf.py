@@ -139,8 +139,18 @@ def idf_corpus(capped: DataFrame) -> DataFrame:
     the per-term aggregate, so the subquery reuses its exchange instead of
     recomputing the documents. No cross join, no driver round trip.
     """
+    return idf_of_counts(document_counts(capped))
+
+
+def document_counts(capped: DataFrame) -> DataFrame:
+    """``(term, df)``: documents that hold each term; the empty term counts all documents.
+    Counts of disjoint sets of documents can be added up."""
     doc_terms = capped.select("doc_id", F.explode(F.concat(F.array(F.lit("")), "terms")).alias("term")).distinct()
-    per_term = doc_terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return doc_terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def idf_of_counts(per_term: DataFrame) -> DataFrame:
+    """``(term, df, idf)`` from :func:`document_counts`."""
     n_docs = per_term.agg(F.max(F.when(F.col("term") == "", F.col("df")))).scalar()
     idf = F.when(F.col("term") != "", F.log((n_docs + 1) / (F.col("df") + 1)) + 1)
     out = per_term.select("term", F.col("df").cast("long").alias("df"), idf.alias("idf"))

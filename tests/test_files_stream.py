@@ -149,3 +149,36 @@ from precis import summarize_files
 assert summarize_files(spark, {str(tmp_path / "in")!r}, 2).where("status = 'ok'").count() >= 4
 """
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, timeout=300).returncode == 0
+
+
+def test_documents_that_arrive_again(spark, tmp_path):
+    from precis.streaming.stream import current_summaries, newest, summarize_versions_stream
+
+    rows = [(1, " ".join(GARDEN[:3]), 1), (2, " ".join(GARDEN), 1), (3, " ".join(GARDEN[1:]), 1), (1, " ".join(GARDEN), 2), (2, " ".join(GARDEN), 1), (3, "Short.", 5), (1, " ".join(GARDEN[:2]), 1), (3, " ".join(GARDEN[:3]), 4)]
+    for k in range(0, 8, 2):  # four files, one a batch; the first holds one document twice
+        part = rows[k : k + 2] + ([(2, "An old text that does not count any more, as a higher version is beside it.", 0)] if k == 0 else [])
+        spark.createDataFrame(part, "doc_id long, text string, version long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    args = (spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ckpt"), 2)
+    summarize_versions_stream(*args, max_files_per_trigger=1).awaitTermination()
+    want = summarize(newest(spark.createDataFrame(rows, "doc_id long, text string, version long")), 2)
+    got = current_summaries(spark, str(tmp_path / "out"))
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect())) and got.count() == 4
+    # a batch written again changes nothing
+    again = spark.read.parquet(str(tmp_path / "out") + "/batch_id=1").collect()
+    spark.createDataFrame(again, want.schema).write.mode("overwrite").parquet(str(tmp_path / "out") + "/batch_id=1")
+    assert current_summaries(spark, str(tmp_path / "out")).count() == 4
+
+
+def test_corpus_idf_batch_by_batch(spark, tmp_path):
+    from precis.config import SummaryConfig
+    from precis.operators.tfidf import idf_corpus
+    from precis.plans.summarize import kept_sentences
+    from precis.streaming.stream import current_idf, idf_stream
+
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text")
+    docs.repartition(3, "doc_id").write.parquet(str(tmp_path / "in"))
+    for _ in range(2):  # the second run finds nothing new
+        idf_stream(spark, str(tmp_path / "in"), str(tmp_path / "store"), str(tmp_path / "ckpt"), max_files_per_trigger=1).awaitTermination()
+    want = {r.term: (r.df, round(r.idf, 9)) for r in idf_corpus(kept_sentences(docs, SummaryConfig())).collect()}
+    assert {r.term: (r.df, round(r.idf, 9)) for r in current_idf(spark, str(tmp_path / "store")).collect()} == want and len(want) > 1000
+    assert spark.read.parquet(str(tmp_path / "store")).select("batch_id").distinct().count() == 3
