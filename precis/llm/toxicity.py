@@ -2,8 +2,10 @@
 
 A document is the set of its hashed terms: lower-cased letter runs and their
 first five letters, so that inflected forms meet. Terms whose presence goes with
-the label in the training sample (chi-square test) get a weight and a vector;
-the score is ``sigmoid(bias + sum w + sum of pairwise products of vectors)``.
+the label in the training sample (chi-square test) get a weight and a vector, and so do
+terms that go with it among the rows of another one only (the strongest and the most
+frequent terms are tried): an insult that counts beside a group mention, and the mention,
+which alone means nothing. The score is ``sigmoid(bias + sum w + sum of pairwise products of vectors)``.
 
 Fitting reads at most ``SAMPLE`` labelled rows of the training folds, whose term
 ids alone reach the driver. Scoring is one pass without a shuffle. Null and
@@ -28,6 +30,10 @@ SPACE = 1 << 22
 #: Terms seen in fewer sampled rows, or with a smaller chi-square, get no weight.
 MIN_ROWS = 4
 MIN_CHI2 = 15.0
+#: Terms tried as partners (strongest, and most frequent), and the chi-square that a term
+#: needs among the rows of one of them.
+PARTNERS = 64
+PAIR_CHI2 = 30.0
 FACTORS = 8
 STEPS = 250
 SEED = 11
@@ -80,16 +86,44 @@ class FactorizationMachine:
         return _sigmoid(z)
 
 
+def _chi2(seen: np.ndarray, hits: np.ndarray, n: float, positive: float) -> np.ndarray:
+    """Chi-square of a term's presence and the label; ``hits`` of its ``seen`` rows are positive."""
+    spread = seen * (n - seen) * positive * (n - positive)
+    return np.divide(n * (hits * n - seen * positive) ** 2, spread, out=np.zeros(len(seen)), where=spread > 0)
+
+
+def choose_terms(labels: np.ndarray, doc: np.ndarray, term: np.ndarray) -> np.ndarray:
+    """Ids of the terms that go with the label, alone or among the rows of a partner."""
+    ids, at = np.unique(term, return_inverse=True)
+    seen = np.bincount(at, minlength=len(ids)).astype(float)
+    often = np.flatnonzero(seen >= MIN_ROWS)
+    slot = np.full(len(ids), -1, np.int64)
+    slot[often] = np.arange(len(often))
+    keep = slot[at] >= 0
+    ids, doc, at, m = ids[often], doc[keep], slot[at[keep]], len(often)
+    y = labels[doc].astype(float)
+    seen = np.bincount(at, minlength=m).astype(float)
+    alone = _chi2(seen, np.bincount(at, y, m), len(labels), float(labels.sum()))
+    good = alone >= MIN_CHI2
+    strongest, frequent = np.argsort(-alone, kind="stable")[:PARTNERS], np.argsort(-seen, kind="stable")[:PARTNERS]
+    for partner in np.union1d(strongest, frequent):
+        rows = np.zeros(len(labels), bool)
+        rows[doc[at == partner]] = True
+        there = rows[doc]
+        pair = np.bincount(at[there], minlength=m).astype(float)
+        chi2 = _chi2(pair, np.bincount(at[there], y[there], m), float(rows.sum()), float(labels[rows].sum()))
+        found = (pair >= MIN_ROWS) & (chi2 >= PAIR_CHI2)
+        good |= found
+        good[partner] |= found.any()
+    return ids[good]
+
+
 def fit(labels: np.ndarray, doc: np.ndarray, term: np.ndarray) -> FactorizationMachine:
     """Fit to sampled rows: ``labels`` a row, and distinct ``(doc, term id)`` rows."""
     n, positive = len(labels), float(labels.sum())
     prior = min(max(positive / n, 1e-3), 1 - 1e-3) if n else 0.5
     bias = float(np.log(prior / (1 - prior)))
-    seen = np.bincount(term, minlength=SPACE).astype(float)
-    hits = np.bincount(term, labels[doc].astype(float), minlength=SPACE)
-    spread = seen * (n - seen) * positive * (n - positive)
-    chi2 = np.divide(n * (hits * n - seen * positive) ** 2, spread, out=np.zeros(SPACE), where=spread > 0)
-    chosen = np.flatnonzero((seen >= MIN_ROWS) & (chi2 >= MIN_CHI2))
+    chosen = choose_terms(labels, doc, term)
     place = np.full(SPACE, -1, np.int64)
     place[chosen] = np.arange(len(chosen))
     keep = place[term] >= 0
