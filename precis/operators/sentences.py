@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from ..config import CHUNK_SIZE, MAX_SENTENCE_LENGTH, MIN_SENTENCE_LENGTH, MIN_WORDS_COUNT, PROCESSORS
 from ..functions import text as T
-from ..functions.encodings import let
 
 # Chunk number goes to the high 32 bits of seq in the chunked processor; a
 # chunk of at most 2**31 characters has fewer sentences than 2**32.
@@ -156,24 +155,25 @@ def early_termination(valid: DataFrame, cap: int | None) -> DataFrame:
 
 def first_valid(docs: DataFrame, cap: int, processor: str = "clean", text_col: str = "text") -> DataFrame:
     """The first ``cap`` valid sentences of each document, pulled one after the other:
-    ``(doc_id, seq, sentence, terms, n_words)``. Once a document has them, no further
-    sentence is tokenized, so the costly part of the work follows the cap and not the
-    document's length. Row-local; the same rows as :func:`early_termination`."""
+    ``(doc_id, seq, sentence, terms, n_words)``. Where a document has more than ``cap``
+    sentences of a fitting length, they are tokenized in order until ``cap`` valid ones are
+    found, and what follows is never read, so the costly part of the work follows the cap and
+    not the document's length. Row-local; the same rows as :func:`early_termination`."""
     split = T.split_raw(text_col) if processor == "raw" else T.split_clean(text_col)
     rows = docs.select("doc_id", F.explode(F.array(split)).alias("_s"))
-    numbered_ = F.transform("_s", lambda s, i: F.struct(i.cast("long").alias("seq"), s.alias("sentence")))
 
-    def pull(found: Column, s: Column) -> Column:
-        def take(terms: Column) -> Column:
-            one = F.struct(s["seq"].alias("seq"), s["sentence"].alias("sentence"), terms.alias("terms"))
-            return F.when(F.size(terms) >= MIN_WORDS_COUNT, F.array_append(found, one)).otherwise(found)
+    def fits(s: Column) -> Column:
+        return F.length(s).between(MIN_SENTENCE_LENGTH, MAX_SENTENCE_LENGTH)
 
-        fits = F.length(s["sentence"]).between(MIN_SENTENCE_LENGTH, MAX_SENTENCE_LENGTH)
-        return F.when((F.size(found) < cap) & fits, let(T.terms_of_one(s["sentence"]), take)).otherwise(found)
+    def pull(state: Column, s: Column) -> Column:
+        valid = fits(s) & (F.size(T.terms_of_one(s)) >= MIN_WORDS_COUNT)
+        more = F.struct((state["n"] + F.when(valid, 1).otherwise(0)).alias("n"), (state["read"] + 1).alias("read"))
+        return F.when(state["n"] >= cap, state).otherwise(more)
 
-    none = F.array().cast("array<struct<seq:bigint,sentence:string,terms:array<string>>>")
-    out = rows.select("doc_id", F.explode(F.aggregate(numbered_, none, pull)).alias("_f"))
-    return out.select("doc_id", "_f.seq", "_f.sentence", "_f.terms", F.size("_f.terms").alias("n_words"))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("read"))
+    read = F.when(F.size(F.filter("_s", fits)) <= cap, F.size("_s")).otherwise(F.aggregate("_s", start, pull, lambda state: state["read"]))
+    out = _posexplode(rows, F.slice("_s", F.lit(1), read), ["doc_id"])
+    return valid_sentences(out)
 
 
 def sentence_status(docs: DataFrame, processor: str = "clean", text_col: str = "text") -> DataFrame:
