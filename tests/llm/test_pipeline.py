@@ -35,7 +35,7 @@ def test_every_operator_is_registered_once():
     import __spark_entry__ as E
 
     names = list(E.queries())
-    assert sorted(n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()) == sorted(f"op{n}" for n in range(1, 11))
+    assert sorted(n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()) == sorted(f"op{n}" for n in range(1, 14))
     assert "pipeline" in names
 
 
