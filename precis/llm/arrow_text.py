@@ -57,11 +57,6 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iter
         at = to
 
 
-def release() -> None:
-    """Give back memory that Arrow keeps for later batches: workers live on after a task."""
-    pa.default_memory_pool().release_unused()
-
-
 def word_bounds(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte ``starts`` and ``ends`` of the words (``[^\\x20\\x09-\\x0D]+``, or runs
     between the given ``separator`` bytes) and, per document, the index of its first word (one entry more than documents)."""
