@@ -11,9 +11,10 @@ over all texts decide what a period means:
 * a pair (type with a period, next type) is a *collocation* if it occurs together significantly
   more often than its parts suggest.
 
-Every count is a map-side combined aggregate; what is learned are three tables (abbreviations,
-openers, collocations). Splitting is row-local; only positions with a doubtful period are
-joined with them, so texts move once, by document. Nothing is collected.
+All counts come from one map-side combined aggregate of words and what stands before them, so
+texts are read once and a word is looked at once, not at every place. What is learned are three
+tables (abbreviations, openers, collocations). Splitting is row-local; only positions with a
+doubtful period are joined with them, so texts move once, by document. Nothing is collected.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ COLLOCATION_LIKELIHOOD = 7.88
 PERIOD_PROBABILITY = 0.99
 NUMBER = "##"
 
-_OUTSIDE = r"""^["'(\[{]+|["')\]}]+$"""
+# quotes and brackets around a word of a squeezed text
+_OUTSIDE = r"""(?<![^ ])["'(\[{]++|["')\]}]++(?![^ ])"""
 _PIECE_END = r"""([.!?]["')\]}]*+) """
 _NUMERIC = r"^[-+]?\p{Nd}[\p{Nd}.,]*$"
 
@@ -50,10 +52,14 @@ class Boundaries:
 
 
 # --- words ------------------------------------------------------------------------------------
-def _word(w: Column) -> Column:
+def _cores(c) -> Column:
+    """Squeezed text, or one word, without the quotes and brackets around its words."""
+    return F.regexp_replace(c, _OUTSIDE, "")
+
+
+def _word(core: Column) -> Column:
     """What a word says of boundaries: ``type`` (lower case, without its period), ``end`` (how
     it ends: period, sure, ellipsis or plain) and ``first`` (case of its first letter)."""
-    core = F.regexp_replace(w, _OUTSIDE, "")
     kind = (
         F.when(core.rlike(r"[!?][.!?]*$"), F.lit("sure"))
         .when(core.endswith(".."), F.lit("ellipsis"))
@@ -66,13 +72,15 @@ def _word(w: Column) -> Column:
 
 
 def words(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """One row per word: ``(type, end, first, prev_type, prev_end)``; ``prev_end`` is null at the
-    start of a text."""
-    # each array is made once: later expressions read the generator's output
-    split = docs.select(F.explode(F.array(F.filter(F.split(T.squeeze_whitespace(text_col), " "), lambda w: w != ""))).alias("_w"))
-    known = split.select(F.explode(F.array(F.transform("_w", _word))).alias("_k"))
-    rows = known.select(F.explode(F.transform("_k", lambda k, i: F.struct(k.alias("k"), F.get("_k", i - 1).alias("p")))).alias("r"))
-    return rows.select("r.k.type", "r.k.end", "r.k.first", F.col("r.p.type").alias("prev_type"), F.col("r.p.end").alias("prev_end"))
+    """Counted words ``(core, before, n)``: ``before`` is the word before where that ends with an
+    end mark, empty where it ends nothing, null at the start of a text."""
+    # the array is made once: the pairs read the generator's output
+    split = docs.select(F.explode(F.array(F.split(_cores(T.squeeze_whitespace(text_col)), " "))).alias("_w"))
+    previous = F.concat(F.array(F.lit(None).cast("string")), F.slice("_w", F.lit(1), F.size("_w") - 1))
+    rows = split.where("_w is not null").select(F.explode(F.arrays_zip(F.col("_w").alias("core"), previous.alias("p"))).alias("r"))
+    marked = F.col("r.p").endswith(".") | F.col("r.p").endswith("!") | F.col("r.p").endswith("?")
+    before = F.when(marked, F.col("r.p")).when(F.col("r.p").isNotNull(), F.lit(""))
+    return rows.select("r.core", before.alias("before")).groupBy("core", "before").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _countable() -> Column:
@@ -82,13 +90,15 @@ def _countable() -> Column:
 def type_counts(rows: DataFrame) -> DataFrame:
     """Counts of each type: ``n_plain`` and ``n_period`` (without and with a period),
     ``n_lower``, and ``n_upper_mid`` (capitalised after a word that ends nothing)."""
-    count = lambda c: F.count(F.when(c, 1))
-    upper_mid = (F.col("first") == "upper") & (F.col("prev_end") == "plain")
-    return rows.where(_countable()).groupBy("type").agg(
+    # keys and the count only, so every use of the counts shares this exchange, and the one of the words
+    cores = rows.groupBy("core", (F.col("before") == "").alias("mid")).agg(F.sum("n").alias("n"))
+    known = cores.select(F.explode(F.array(_word(F.col("core")))).alias("k"), "mid", "n").select("k.*", "mid", "n")
+    count = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    return known.where(_countable()).groupBy("type").agg(
         count(F.col("end") != "period").alias("n_plain"),
         count(F.col("end") == "period").alias("n_period"),
         count(F.col("first") == "lower").alias("n_lower"),
-        count(upper_mid).alias("n_upper_mid"),
+        count((F.col("first") == "upper") & F.col("mid")).alias("n_upper_mid"),
     )
 
 
@@ -130,7 +140,11 @@ def _guarded(is_abbreviation: Column) -> Column:
 def after_ends(rows: DataFrame, abbreviations: DataFrame) -> DataFrame:
     """Counted pairs across an end mark: ``(prev_type, type, sure, n)``; ``sure``: a sentence
     certainly ends between them."""
-    pairs = rows.where(F.col("prev_end").isin("period", "sure") & _countable()).groupBy("prev_type", "prev_end", "type").agg(F.count(F.lit(1)).alias("n"))
+    # told apart behind the generator: a condition on ``before`` would read the texts a second time
+    pair = F.when(F.col("before") != "", F.struct(_word(F.col("core")).alias("k"), _word(F.col("before")).alias("p")))
+    known = rows.select(F.explode(F.array(pair)).alias("r"), "n")
+    known = known.select("r.k.type", F.col("r.p.type").alias("prev_type"), F.col("r.p.end").alias("prev_end"), "n")
+    pairs = known.where(F.col("prev_end").isin("period", "sure") & _countable()).groupBy("prev_type", "prev_end", "type").agg(F.sum("n").alias("n"))
     known = abbreviations.select(F.col("type").alias("prev_type"), F.lit(True).alias("_abbreviation"))
     pairs = pairs.join(known, "prev_type", "left")
     sure = (F.col("prev_end") == "sure") | ~_guarded(F.coalesce("_abbreviation", F.lit(False)))
@@ -176,7 +190,7 @@ def _pieces(docs: DataFrame, text_col: str) -> DataFrame:
     """``(doc_id, pos, piece, next_word)``: texts cut after every word with an end mark."""
     marked = F.regexp_replace(T.squeeze_whitespace(text_col), _PIECE_END, "$1" + P.BREAK)
     split = docs.select("doc_id", F.explode(F.array(F.split(marked, P.BREAK))).alias("_p"))
-    next_word = lambda i: F.regexp_extract(F.get("_p", i + 1), "^[^ ]+", 0)
+    next_word = lambda i: F.substring_index(F.get("_p", i + 1), " ", 1)
     rows = split.select("doc_id", F.posexplode(F.transform("_p", lambda p, i: F.struct(p.alias("piece"), next_word(i).alias("next_word")))).alias("pos", "_r"))
     return rows.select("doc_id", "pos", "_r.piece", "_r.next_word")
 
@@ -184,9 +198,11 @@ def _pieces(docs: DataFrame, text_col: str) -> DataFrame:
 def running_on(docs: DataFrame, model: Boundaries, text_col: str = "text") -> DataFrame:
     """``(doc_id, pos)`` of the pieces whose end mark ends no sentence."""
     rows = _pieces(docs, text_col).where("next_word is not null")
-    known, following = _word(F.regexp_extract("piece", "[^ ]+$", 0)), _word(F.col("next_word"))
-    rows = rows.select("doc_id", "pos", known.alias("k"), following.alias("f")).select(
-        "doc_id", "pos", F.col("k.type").alias("prev_type"), "k.end", F.col("f.type").alias("next_type"), F.col("f.first").alias("first")
+    cores = F.struct(_cores(F.substring_index("piece", " ", -1)).alias("last"), _cores(F.col("next_word")).alias("next"))
+    rows = rows.select("doc_id", "pos", F.explode(F.array(cores)).alias("c")).where(F.col("c.last").endswith("."))
+    pair = F.struct(_word(F.col("c.last")).alias("k"), _word(F.col("c.next")).alias("f"))
+    rows = rows.select("doc_id", "pos", F.explode(F.array(pair)).alias("r")).select(
+        "doc_id", "pos", F.col("r.k.type").alias("prev_type"), "r.k.end", F.col("r.f.type").alias("next_type"), F.col("r.f.first").alias("first")
     )
     doubtful = rows.where(F.col("end").isin("period", "ellipsis"))
     abbreviations = model.abbreviations.select(F.col("type").alias("prev_type"), F.lit(True).alias("_a"))

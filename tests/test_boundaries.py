@@ -100,3 +100,20 @@ def test_long_pieces_are_split_again(spark):
     text = "A sentence with cf. Weber " + "and more words " * 20 + "that ends here. Short tail sentence here."
     got = [r.sentence for r in B.sentences_trained(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("seq").collect()]
     assert all(len(s) >= 10 for s in got) and " ".join(got) == text
+
+
+def test_counts_meet_quotes_and_starts_and_read_texts_once(spark, tmp_path):
+    rows = [(1, '"Stop!" ("He) left cf. Weber \'\' today.'), (1, "He left cf. weber"), (None, "'Cf.' Weber He ... left"), (3, ""), (4, None)]
+    path = str(tmp_path / "texts")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    types = B.type_counts(B.words(spark.read.parquet(path)))
+    got = {r.type: tuple(r)[1:] for r in types.collect()}
+    # (plain, period, lower, capitalised after a word that ends nothing)
+    assert got == {"stop!": (1, 0, 0, 0), "he": (3, 0, 0, 1), "left": (3, 0, 3, 0), "cf": (0, 3, 2, 0), "weber": (3, 0, 1, 0), "today": (0, 1, 1, 0)}
+    none = spark.createDataFrame([], "type string")
+    after = {(r.prev_type, r.type, r.sure): r.n for r in B.after_ends(B.words(spark.read.parquet(path)), none).collect()}
+    assert after == {("stop!", "he", True): 1, ("cf", "weber", True): 3}
+    scored = B.with_abbreviation_score(types)
+    scored.collect()
+    final = scored._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("Scan parquet") == 1
