@@ -127,7 +127,9 @@ def q_length_filter(spark, sf_dir):
 
 def q_tokens(spark, sf_dir):
     s = sentences.length_filter(sentences.sentences_clean(docs(spark, sf_dir)))
-    toks = F.filter(F.split(F.trim(T.normalize_tokens("sentence")), " +"), lambda x: F.length(x) > 0)
+    # spaced out in a projection, where Spark evaluates what the expression repeats once
+    s = s.select("doc_id", "seq", T.normalize_tokens("sentence").alias("_spaced"))
+    toks = F.filter(F.split(F.trim("_spaced"), " +"), lambda x: F.length(x) > 0)
     out = s.select("doc_id", "seq", F.posexplode(toks).alias("tok_pos", "token"))
     return out.select("doc_id", "seq", *_long("tok_pos"), "token")
 
