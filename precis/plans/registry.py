@@ -21,6 +21,7 @@ DIGITS = 9
 CHUNK_DEMO = 1024  # slice size for the chunk keys (the processor default is 1 MiB)
 CFG = SummaryConfig(num_sentences=3)
 CAP = termination_cap(3, 2.0)
+TASK_BYTES = 4 << 20  # of a table's files to a task of the term statistics
 
 
 # Letters of q_decode_legacy, one for one; the Cyrillic ones are as frequent as the Latin ones.
@@ -49,6 +50,14 @@ def _spread(spark) -> bool:
     return spark.conf.get("precis.spread", "false") == "true"
 
 
+def _tasks(spark, sf_dir, name="documents") -> int:
+    """Tasks for work by document: they grow with the table's files, so that what one task
+    sorts does not; at least as many as run at once."""
+    files = table(spark, sf_dir, name).select("_metadata.file_path", "_metadata.file_size").distinct()
+    size = files.agg(F.sum("file_size")).first()[0] or 0
+    return max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+
+
 def _long(*cols):
     return [F.col(c).cast("long").alias(c) for c in cols]
 
@@ -58,7 +67,7 @@ def _r(c, name=None):
 
 
 def _kept(spark, sf_dir, cfg=CFG):
-    return S.kept_sentences(docs(spark, sf_dir), cfg)
+    return S.kept_sentences(docs(spark, sf_dir), cfg, tasks=_tasks(spark, sf_dir))
 
 
 def _tf(spark, sf_dir):
@@ -66,7 +75,7 @@ def _tf(spark, sf_dir):
 
 
 def _scores(spark, sf_dir, cfg=CFG):
-    return S.scored_sentences(docs(spark, sf_dir), cfg)
+    return S.scored_sentences(docs(spark, sf_dir), cfg, tasks=_tasks(spark, sf_dir))
 
 
 def _summary_rows(df: DataFrame) -> DataFrame:
@@ -316,7 +325,7 @@ def q_decode_legacy(spark, sf_dir):
 
 # --- composite ------------------------------------------------------------------------------
 def _summary(spark, sf_dir, algorithm, processor, **kw):
-    return _summary_rows(S.summarize(documents(spark, sf_dir), 3, None, algorithm, processor, spread=_spread(spark), **kw))
+    return _summary_rows(S.summarize(documents(spark, sf_dir), 3, None, algorithm, processor, spread=_spread(spark), tasks=_tasks(spark, sf_dir), **kw))
 
 
 def q_summarize_default(spark, sf_dir):
@@ -351,7 +360,8 @@ def q_summarize_pages(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "html")
     if _spread(spark):  # before the markup is read: that is work of the same kind
         pages = S.distribute(pages, "html")
-    return _summary_rows(S.summarize(pages.select("doc_id", T.html_to_text("html").alias("text")), 3, None, "default", "clean"))
+    texts = pages.select("doc_id", T.html_to_text("html").alias("text"))
+    return _summary_rows(S.summarize(texts, 3, None, "default", "clean", tasks=_tasks(spark, sf_dir, "pages")))
 
 
 def q_summarize_conversations(spark, sf_dir):

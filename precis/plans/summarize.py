@@ -32,23 +32,32 @@ def distribute(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select("doc_id", text_col).repartition(sentences.shuffle_partitions(docs), "doc_id")
 
 
-def kept_sentences(docs: DataFrame, cfg: SummaryConfig, text_col: str = "text") -> DataFrame:
+def kept_sentences(docs: DataFrame, cfg: SummaryConfig, text_col: str = "text", tasks: int | None = None) -> DataFrame:
     """Split, filter, tokenize and number: ``(doc_id, seq, sentence, terms,
-    n_words, idx, n)``; cut only where ``cfg`` has an early-termination factor."""
+    n_words, idx, n)``; cut only where ``cfg`` has an early-termination factor.
+    ``tasks``: see :func:`summarize`."""
     sents = sentences.split_sentences(docs.select("doc_id", text_col), cfg.processor, text_col)
-    return sentences.early_termination(sentences.valid_sentences(sents), cfg.cap)
+    return _numbered(sents, cfg, tasks)
 
 
-def scored_sentences(docs: DataFrame, cfg: SummaryConfig, text_col: str = "text") -> DataFrame:
+def _numbered(sents: DataFrame, cfg: SummaryConfig, tasks: int | None) -> DataFrame:
+    valid = sentences.valid_sentences(sents)
+    # a cap drops rows before its exchange, and trained sentences lie by document already
+    if tasks is not None and cfg.cap is None and cfg.processor != "trained":
+        valid = valid.repartition(tasks, "doc_id")
+    return sentences.early_termination(valid, cfg.cap)
+
+
+def scored_sentences(docs: DataFrame, cfg: SummaryConfig, text_col: str = "text", tasks: int | None = None) -> DataFrame:
     """One row per kept sentence with ``score_l2`` and ``score_raw``."""
-    kept = kept_sentences(docs, cfg, text_col)
+    kept = kept_sentences(docs, cfg, text_col, tasks)
     return tfidf.sentence_scores(tfidf.with_idf(tfidf.term_frequency(kept)))
 
 
-def summarize_sentences(sents: DataFrame, cfg: SummaryConfig) -> DataFrame:
+def summarize_sentences(sents: DataFrame, cfg: SummaryConfig, tasks: int | None = None) -> DataFrame:
     """Summary rows ``(doc_id, idx, sentence, score)`` from a sentence table
     ``(doc_id, seq, sentence)``."""
-    return summarize_valid(sentences.early_termination(sentences.valid_sentences(sents), cfg.cap), cfg)
+    return summarize_valid(_numbered(sents, cfg, tasks), cfg)
 
 
 def summarize_valid(capped: DataFrame, cfg: SummaryConfig) -> DataFrame:
@@ -70,6 +79,7 @@ def summarize(
     text_col: str = "text",
     chunk_size: int = CHUNK_SIZE,
     spread: bool = False,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Summary sentences of every document as rows
     ``(doc_id, idx, sentence, score)``; read them in ``idx`` order.
@@ -82,6 +92,9 @@ def summarize(
     cleanly) or ``trained`` (clean, with sentence boundaries learned from ``docs``). ``early_termination_factor``: read only the first sentences of a
     document, as many as the factor gives; without it all are read.
     ``spread``: distribute the documents before the text work (:func:`distribute`).
+    ``tasks``: into how many parts the sentences are dealt by document, for callers who know
+    how much there is; a term takes far more memory in a sort than in an exchange, so parts
+    of the size that the session aims at are large for what follows.
     """
     cfg = SummaryConfig(num_sentences, early_termination_factor, algorithm, processor)
     docs = distribute(docs, text_col) if spread else docs.select("doc_id", text_col)
@@ -94,7 +107,7 @@ def summarize(
         sents = sentences.sentences_chunked(docs, chunk_size, text_col, spread=True)
     else:
         sents = sentences.split_sentences(docs, cfg.processor, text_col)
-    return summarize_sentences(sents, cfg)
+    return summarize_sentences(sents, cfg, tasks)
 
 
 def summarize_parts(

@@ -86,3 +86,22 @@ def test_corpus_idf_subquery_reuses_the_term_exchange(spark):
     df.collect()  # the adaptive plan is final after execution
     p = plan(df)
     assert re.search(r"ReusedExchange \[term#\d+, [^\]]*\], Exchange hashpartitioning\(term", p), p
+
+
+def test_tasks_of_term_statistics_grow_with_the_table(spark, tmp_path, monkeypatch):
+    """The sentences are dealt by document into parts that follow the size of the files."""
+    from conftest import GARDEN
+    from precis.plans import registry as R
+
+    rows = [(i, "documents", " ".join(GARDEN)) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    size = sum(f.stat().st_size for f in (tmp_path / "documents.parquet").glob("*.parquet"))
+    monkeypatch.setattr(R, "TASK_BYTES", size // 70)
+    want = -(-size // (size // 70))
+    for name in ("idf", "term_frequency", "score_blended", "diverse_selection", "summarize_raw"):
+        df = R.QUERIES[name](spark, str(tmp_path))
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "hashpartitioning(doc_id#" in plan and f", {want}), REPARTITION_BY_NUM" in plan and plan.count("Exchange hashpartitioning") == 1
+    terms = {(r.doc_id, r.term): r.df for r in R.QUERIES["idf"](spark, str(tmp_path)).collect()}
+    assert len({i for i, _ in terms}) == 40 and terms[0, "gardener"] == 2
