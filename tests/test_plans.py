@@ -105,3 +105,9 @@ def test_tasks_of_term_statistics_grow_with_the_table(spark, tmp_path, monkeypat
         assert "hashpartitioning(doc_id#" in plan and f", {want}), REPARTITION_BY_NUM" in plan and plan.count("Exchange hashpartitioning") == 1
     terms = {(r.doc_id, r.term): r.df for r in R.QUERIES["idf"](spark, str(tmp_path)).collect()}
     assert len({i for i, _ in terms}) == 40 and terms[0, "gardener"] == 2
+
+
+def test_tokens_are_normalized_before_the_generator(spark):
+    """Inside a generator Spark evaluates an expression as often as it repeats."""
+    plan = E.queries()["tokens"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_replace" not in plan.split("Generate posexplode")[1][:120]
