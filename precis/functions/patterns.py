@@ -19,15 +19,19 @@ WS_CLASS = (
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 )
 WS = f"[{WS_CLASS}]"
-# The same set as a plain string, built from the ranges above (for translate).
-WS_CHARS = "".join(
-    chr(c)
-    for lo, hi in ((0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A),
-                   (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
-    for c in range(lo, hi + 1)
-)
 NOT_WS = f"[^{WS_CLASS}]"
 
+
+def _any_of(chars) -> str:
+    """A class of single characters; Java tests those of Latin-1 by one look at a bit set,
+    which ranges and intersections prevent."""
+    return "[" + "".join(rf"\x{{{ord(c):X}}}" for c in chars) + "]"
+
+
+# A run of white space that is not one plain space. Printable ASCII is ruled out by one test.
+_PLAIN = _any_of(map(chr, range(0x21, 0x7F)))
+WS_RUN = rf"(?!{_PLAIN})(?! {_PLAIN})(?! (?!{WS})){WS}++"
+
 # Marks inside the splitters: Unicode noncharacters, which the standard keeps for
 # internal use and which no text carries (control characters do occur in texts).
 BREAK = "\ufdd0"  # a sentence break
@@ -42,29 +46,34 @@ _abbrev = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
 # all kept. Replaced by ".<GUARD>".
 GUARDS = rf"\.(?<=(?:^|[ (])(?:{_abbrev}|\p{{L}})\.) "
 # Nor is a number of any length ending in a period before a lower-case word.
-NUMBER_GUARD = rf"(^|[ ({GUARD}])(\p{{Nd}}[\p{{Nd}}.,-]*\.) (?=\p{{Ll}})"
+# Here and below, what a match starts with stands first: a place that cannot match is
+# left after one test, before any group or look-behind is tried there.
+NUMBER_GUARD = rf"(?=\p{{Nd}})(?<![^ ({GUARD}])(\p{{Nd}}[\p{{Nd}}.,-]*\.) (?=\p{{Ll}})"
 # A sentence end: a run of . ! ? with optional closing quotes/brackets before a
 # space (the space is replaced), or directly before punctuation that cannot
 # be inside a word.
 # Runs are matched from their first character only and possessively, so a long
 # run of punctuation costs linear time (a match can only start at a run start).
-BREAKS = r"""(?<![.!?])([.!?]++)(?:(["')\]}]*+) |(?=[;:@*({\[]))"""
+BREAKS = r"""(?=[.!?])(?<![.!?])([.!?]++)(?:(["')\]}]*+) |(?=[;:@*({\[]))"""
 # Re-split of long pieces: after ., ! or ? followed by white space.
-RESPLIT = r"(?<=[.!?]) +"
+RESPLIT = r"(?= )(?<=[.!?]) +"
 
 # --- raw splitter ---------------------------------------------------------------
 RAW_SPLIT = rf"(?<=[.!?]){WS}+"
 
 # --- word tokenizer -------------------------------------------------------------
 OPENING_QUOTE = r"'(?!re|ve|ll|m|t|s|d|n)([\p{L}\p{N}_])(?![\p{L}\p{N}_])"
-FINAL_PERIOD = rf"""([^.])\.([\])}}>"'»”’]*+){WS}*+$"""
-INNER_PERIOD = r"([^.])\.([!?]*[;:@*({\[])"
+FINAL_PERIOD = rf"""\.(?<=[^.]\.)([\])}}>"'»”’]*+){WS}*+$"""
+# the character before the period must not belong to the match before
+INNER_PERIOD = r"\.(?<=[^.]\.)(?<!\G\.)([!?]*+[;:@*({\[])"
 COMMA_COLON = r"[:,]([^\p{Nd}])"
 COMMA_COLON_END = r"[:,]$"
 # Single characters a Treebank-style tokenizer always splits off (fixed values),
-# mapped to spaces with translate; the multi-character ones need a regex.
+# and white space other than a plain space; the multi-character ones have their own pattern.
 SEPARATOR_CHARS = ';@#$%&?!*()[]{}<>"«“‘„»”’`'
-MULTI_SEPARATORS = r"(?:\.\.+|--|'')+"
+_LOWER = "abcdefghijklmnopqrstuvwxyz0123456789"
+SEPARATORS = rf"(?!{_any_of(_LOWER + ' ')})[{_any_of(SEPARATOR_CHARS)}{WS_CLASS}]"
+MULTI_SEPARATORS = r"(?=[.'-])(?:\.\.+|--|'')+"
 CLITICS = r"([^' ])('s|'m|'d|'ll|'re|'ve|n't|') "
 CONTRACTIONS = (
     r"(?<![\p{L}\p{N}_])(can(?=not(?![\p{L}\p{N}_]))|gim(?=me(?![\p{L}\p{N}_]))"
@@ -94,10 +103,11 @@ def _trie_pattern(words) -> str:
 
 
 def kept_term(stop_words) -> str:
-    """A whole space-delimited token made of letters/digits only, not a stop word."""
+    """A whole space-delimited token made of letters/digits only, not a stop word: group 1,
+    behind its space."""
     words = [w for w in stop_words if w]
     stop = f"(?!(?:{_trie_pattern(words)}) )" if words else ""
-    return rf"(?<= ){stop}[\p{{L}}\p{{N}}]+(?= )"
+    return rf" (?! ){stop}({_any_of(_LOWER)}*+[\p{{L}}\p{{N}}]*+)(?= )"
 
 
 KEPT_TERM = kept_term(STOP_WORDS)

@@ -20,14 +20,9 @@ def _col(c) -> Column:
 
 
 # --- whitespace -------------------------------------------------------------------
-def _spaces(n: int) -> str:
-    return " " * n
-
-
 def squeeze_whitespace(c) -> Column:
     """Collapse every white-space run to one space and strip both ends."""
-    t = F.translate(_col(c), P.WS_CHARS, _spaces(len(P.WS_CHARS)))
-    return F.trim(F.regexp_replace(t, "  +", " "))
+    return F.trim(F.regexp_replace(_col(c), P.WS_RUN, " "))
 
 
 def strip_whitespace(c) -> Column:
@@ -65,7 +60,7 @@ def mark_breaks(c) -> Column:
     their space (as a protected one) so they do not end a sentence.
     """
     t = F.regexp_replace(squeeze_whitespace(c), P.GUARDS, "." + P.GUARD)
-    t = F.regexp_replace(t, P.NUMBER_GUARD, "$1$2" + P.GUARD)
+    t = F.regexp_replace(t, P.NUMBER_GUARD, "$1" + P.GUARD)
     return F.regexp_replace(t, P.BREAKS, "$1$2" + P.BREAK)
 
 
@@ -73,10 +68,9 @@ def split_clean(c) -> Column:
     """Clean split: squeeze, split at sentence ends (abbreviation-aware),
     re-split pieces longer than 200 characters at every ``[.!?]`` + space,
     strip, and keep pieces of at least 10 characters holding a letter."""
-    pieces = F.split(mark_breaks(c), P.BREAK)
+    pieces = F.split(F.replace(mark_breaks(c), F.lit(P.GUARD), F.lit(" ")), P.BREAK)
 
     def resplit(p: Column) -> Column:
-        p = F.translate(p, P.GUARD, " ")
         return F.when(F.length(p) > LONG_SENTENCE_RESPLIT, F.split(p, P.RESPLIT)).otherwise(F.array(p))
 
     sentences = F.transform(F.flatten(F.transform(pieces, resplit)), lambda s: F.trim(s))
@@ -103,12 +97,11 @@ def split_abbrev(c) -> Column:
 # --- word tokens --------------------------------------------------------------------
 def _spaced(c) -> Column:
     t = F.lower(_col(c))
-    t = F.regexp_replace(t, P.FINAL_PERIOD, "$1 $2")
-    t = F.regexp_replace(t, P.INNER_PERIOD, "$1 $2")
+    t = F.regexp_replace(t, P.FINAL_PERIOD, " $1")
+    t = F.regexp_replace(t, P.INNER_PERIOD, " $1")
     t = F.regexp_replace(t, P.COMMA_COLON, " $1")
     t = F.regexp_replace(t, P.COMMA_COLON_END, " ")
-    seps = P.SEPARATOR_CHARS + P.WS_CHARS
-    t = F.regexp_replace(F.translate(t, seps, _spaces(len(seps))), P.MULTI_SEPARATORS, " ")
+    t = F.regexp_replace(F.regexp_replace(t, P.SEPARATORS, " "), P.MULTI_SEPARATORS, " ")
     return F.concat(F.lit(" "), t, F.lit(" "))
 
 
@@ -132,7 +125,7 @@ def normalize_tokens(c) -> Column:
 def terms_of_one(c: Column) -> Column:
     """:func:`terms` for use inside an array function, where Spark does not share what an
     expression repeats: every step is bound once."""
-    last = lambda t: F.regexp_extract_all(_contractions(t), F.lit(P.KEPT_TERM), 0)
+    last = lambda t: F.regexp_extract_all(_contractions(t), F.lit(P.KEPT_TERM), 1)
     return E.let(_spaced(c), lambda t: E.let(_quotes(t), last))
 
 
@@ -141,7 +134,7 @@ def terms(c, stop_words=None) -> Column:
     duplicates and order kept) as ``ARRAY<STRING>``. ``stop_words``: lower-case words
     instead of the English list."""
     pattern = P.KEPT_TERM if stop_words is None else P.kept_term(stop_words)
-    return F.regexp_extract_all(normalize_tokens(c), F.lit(pattern), 0)
+    return F.regexp_extract_all(normalize_tokens(c), F.lit(pattern), 1)
 
 
 def terms_by_language(c, lang, stop_words: dict) -> Column:
@@ -150,7 +143,7 @@ def terms_by_language(c, lang, stop_words: dict) -> Column:
     pattern = F.lit(P.kept_term(()))
     for language, words in stop_words.items():
         pattern = F.when(_col(lang) == language, F.lit(P.kept_term(words))).otherwise(pattern)
-    return F.regexp_extract_all(normalize_tokens(c), pattern, 0)
+    return F.regexp_extract_all(normalize_tokens(c), pattern, 1)
 
 
 def preprocess_text(c) -> Column:

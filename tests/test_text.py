@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from conftest import HARBOUR, GARDEN
+from precis.functions import patterns as P
 from precis.functions import text as T
 
 
@@ -186,3 +189,34 @@ def test_query_of_bytes_reaches_every_encoding(spark, monkeypatch):
     assert sorted(registry.q_decode_bytes(spark, "").collect(), key=str) == sorted(docs.collect(), key=str)
     content = {r[0]: r[1] for r in docs.select("doc_id", written[-1]).collect()}
     assert (content[3], content[4][:2], content[5]) == ("caf\u00e9".encode(), b"\xfe\xff", "caf\u00e9".encode("latin-1"))
+
+
+def test_patterns_leave_a_plain_letter_after_one_test():
+    """No pattern opens a group, or looks behind, where its first character is missing."""
+    names = ("NUMBER_GUARD", "BREAKS", "RESPLIT", "FINAL_PERIOD", "INNER_PERIOD", "MULTI_SEPARATORS", "KEPT_TERM")
+    assert not [n for n in names if getattr(P, n).startswith(("(^", "([", "(?<", "(?:"))]
+
+
+def test_faster_patterns_match_the_plain_ones(spark):
+    """Against the rules as they were first written, on strings that hold what they look for."""
+    rng = random.Random(7)
+    some = [*"ab1 .:,;'\"!?-([)]}& \t\n\r\x0b\x85\u2028\u3000", "  ", "\U0001d7cf", "\U0001f600", "\u00e9", "...", "--", "''", "3. ", ". a", ".:", " the "]
+    rows = [(i, "".join(rng.choice(some) for _ in range(rng.choice([1, 4, 12, 60])))) for i in range(4000)]
+    df = spark.createDataFrame(rows, "i long, s string")
+    ws = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+    blank = lambda c, chars: F.translate(c, chars, " " * len(chars))
+    squeezed = F.trim(F.regexp_replace(blank("s", ws), "  +", " "))
+    inner = (r"([^.])\.([!?]*[;:@*({\[])", "$1 $2")
+    final = (rf"""([^.])\.([\])}}>"'»”’]*+){P.WS}*+$""", "$1 $2")
+    number = (rf"(^|[ ({P.GUARD}])(\p{{Nd}}[\p{{Nd}}.,-]*\.) (?=\p{{Ll}})", f"$1$2{P.GUARD}")
+    kept = P.KEPT_TERM.split("(?! )", 1)[1].split("([")[0]  # the stop words
+    pairs = {
+        "squeeze": (T.squeeze_whitespace("s"), squeezed),
+        "inner": (F.regexp_replace("s", P.INNER_PERIOD, " $1"), F.regexp_replace("s", *inner)),
+        "final": (F.regexp_replace("s", P.FINAL_PERIOD, " $1"), F.regexp_replace("s", *final)),
+        "number": (F.regexp_replace("s", P.NUMBER_GUARD, "$1" + P.GUARD), F.regexp_replace("s", *number)),
+        "separators": (F.regexp_replace("s", P.SEPARATORS, " "), blank("s", P.SEPARATOR_CHARS + ws)),
+        "kept": (F.regexp_extract_all("s", F.lit(P.KEPT_TERM), 1), F.regexp_extract_all("s", F.lit(rf"(?<= ){kept}[\p{{L}}\p{{N}}]+(?= )"), 0)),
+    }
+    wrong = df.agg(*[F.count(F.when(~new.eqNullSafe(old), 1)).alias(k) for k, (new, old) in pairs.items()]).first()
+    assert wrong.asDict() == dict.fromkeys(pairs, 0)
