@@ -7,14 +7,21 @@ confirmed on the two full shingle sets. A pair exactly at the threshold shares
 no band with probability ``(1 - 0.75**5)**48``, about 2e-6.
 
 Documents with equal sets form one class before any candidate is built, so
-copies are never compared. Within a bucket of candidates no all-pairs list is
-built. Each bucket compares its members with one central member (a star). What
-that leaves open is closed exactly: two members can only link if they share
-shingles that the centre lacks, or if what they share with the centre alone is
-enough for their sizes. Those that share such a shingle (by prefix filter) and
-those whose sizes allow the second meet in new buckets, until none holds two
-components. A bucket with at most ``SPREAD`` open pairs a member compares
-those directly.
+copies are never compared. Classes that share a band with another class are
+candidates; no all-pairs list of them is built. Their shingles are put in one
+order, rarest first, and each class is entered under the shingles at the front
+of its set: two linked classes meet under one of those (prefix filter). Each
+such bucket compares its members with one central member (a star).
+
+What that leaves open is closed exactly. Let ``e`` be what a member's set and the
+centre's do not share. A link needs ``7 * |e_x ^ e_y| <= n_x + n_y``, that is
+``14 * |e_x & e_y| >= f_x + f_y`` with ``f = 7 * |e| - n``; ``f`` is never below
+minus the centre's size, and above the centre's size for members that did not
+link to it. So of two members that are not both linked to the centre, the
+differences must overlap: those without enough differences that another member
+has drop out, the rest meet in new buckets, by the same filter on the
+differences, until none holds two components. A bucket with at most ``SPREAD``
+open pairs a member compares those directly.
 
 Null and empty texts have no shingles and link with nothing. Rows that share
 text share a class whatever their ids are; a class of rows without any id takes
@@ -24,7 +31,7 @@ part in no link to another class.
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +51,10 @@ PERCENT = 75
 #: A bucket compares its open pairs directly if they are at most so many a member;
 #: four times as many in every further round, when few buckets are left.
 SPREAD = 8
+#: Ratio of the size levels; links span less, ``100 / PERCENT``.
+LEVEL = 1.34
+#: Times that the members of a star are held against the least that others allow.
+NARROWED = 3
 #: Texts, or pairs of shingle sets, in an Arrow batch.
 BATCH = 512
 
@@ -139,26 +150,31 @@ def _sets(batches):
             )
 
 
+def _shingle_rows(batches):
+    """A row for every shingle of a set, with the set's size."""
+    for batch in batches:
+        for node, own in zip(batch.column("node"), batch.column("own"), strict=True):
+            own = np.frombuffer(own.as_buffer(), np.int64)
+            same = [np.full(len(own), x, np.int64) for x in (node.as_py(), len(own))]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, same), pa.array(own)], names=["node", "n", "shingle"])
+
+
 def _compare(batches):
-    """Pairs with both sets to the sizes, the common size and what ``b`` has beyond ``a``."""
+    """Pairs with both sets to the sizes, the common size and, for a star, the differences."""
     for batch in batches:
-        common, rest, sizes = [], [], []
+        common, sizes, apart = [], [], []
         for a, b, keep in zip(batch.column("own_a"), batch.column("own_b"), batch.column("star").to_pylist(), strict=True):
             x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-            at = np.searchsorted(x, y)
-            shared = x[np.minimum(at, len(x) - 1)] == y
-            common.append(int(shared.sum()))
+            differ = np.setxor1d(x, y, assume_unique=True)
+            common.append((len(x) + len(y) - len(differ)) // 2)
             sizes.append((len(x), len(y)))
-            if keep:  # a link needs 3/4 of y, so as much beyond x as x does not give
-                beyond = y[~shared].view(np.int64)
-                need = max(1, -(-3 * len(y) // 4) - common[-1])
-                rest.append(beyond[: max(0, len(beyond) - need + 1)])
-            else:
-                rest.append(None)
+            apart.append(differ.view(np.int64) if keep else differ[:0].view(np.int64))
+        ends = np.cumsum([0, *map(len, apart)], dtype=np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *apart])))
         yield pa.RecordBatch.from_arrays(
             [batch.column("a"), batch.column("b"), batch.column("star"), pa.array([s[0] for s in sizes], pa.int64()),
-             pa.array([s[1] for s in sizes], pa.int64()), pa.array(common, pa.int64()), pa.array(rest, pa.list_(pa.int64()))],
-            names=["a", "b", "star", "n_a", "n_b", "common", "rest"],
+             pa.array([s[1] for s in sizes], pa.int64()), pa.array(common, pa.int64()), lists],
+            names=["a", "b", "star", "n_a", "n_b", "common", "apart"],
         )
 
 
@@ -166,10 +182,33 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``pairs(a, b, star)`` measured on the full sets, with ``linked``."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b")
-    out = both.mapInArrow(_compare, "a long, b long, star boolean, n_a long, n_b long, common long, rest array<long>")
+    out = both.mapInArrow(_compare, "a long, b long, star boolean, n_a long, n_b long, common long, apart array<long>")
     return out.withColumn("linked", 100 * F.col("common") >= PERCENT * (F.col("n_a") + F.col("n_b") - F.col("common")))
 
 
+def _front_buckets(sets: DataFrame) -> DataFrame:
+    """``(bucket, node)``: every set under the first of its shingles, rarest first, as many
+    as a link may leave out and one more. Linked sets differ in size by a third at most, so a bucket holds
+    sizes of two neighbouring levels; of buckets with the same members one is enough."""
+    tokens = sets.mapInArrow(_shingle_rows, "node long, n long, shingle long")
+    often = cut(tokens.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "often")
+    # shingles of one set only come first and meet nobody: they need no rows
+    ranked = tokens.join(often, "shingle").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle")))
+    ranked = ranked.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("node")))
+    front = ranked.where("rank <= n - floor((3 * n + 3) / 4) + 1 - (n - k)")
+    level = F.floor(F.log(F.col("n")) / math.log(LEVEL))
+    front = front.select("node", "shingle", F.explode(F.array(level, level + 1)).alias("level"))
+    front = cut(front.select(F.xxhash64("shingle", "level").alias("bucket"), "node").distinct(), "front")
+    return _one_of_each(front)
+
+
+def _one_of_each(members: DataFrame) -> DataFrame:
+    """The rows of buckets with two members or more, without all but one of buckets with the same members."""
+    met = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), *_same_members("node")).where("size > 1")
+    met = cut(met.groupBy("size", "one", "two").agg(F.min("bucket").alias("bucket")).select("bucket"), "met")
+    return members.join(met, "bucket", "left_semi")
+
+
 def _with_roots(members: DataFrame, rows: int, roots: DataFrame | None, spread: int) -> DataFrame:
     """Buckets in which more than one component is left: ``(bucket, node, root,
     size, direct, main)``. ``direct``: the pairs of different components are at most
@@ -206,85 +245,79 @@ def linked_classes(sig: DataFrame, docs: DataFrame) -> DataFrame:
     full = sig.where("n_shingles > 0")
     rows = sig.count()
     reps = cut(full.groupBy("node").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null"), "reps", rows)
-    banded = full.select("doc_id", "node", "bands").join(reps, ["node", "doc_id"]).dropDuplicates(["node", "doc_id"])
-    banded = cut(banded.select("node", F.explode("bands").alias("bucket")), "bands")
-    # of buckets with the same members one is enough
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *_same_members("node")).where("n > 1")
-    shared = cut(shared.groupBy("n", "one", "two").agg(F.min("bucket").alias("bucket")).select("bucket"), "shared")
-    members = cut(banded.join(shared, "bucket", "left_semi").select(F.col("bucket").cast("string").alias("bucket"), "node"), "buckets")
-    wanted = cut(reps.join(members.select("node").distinct(), "node", "left_semi").select("doc_id", "node"), "wanted", rows)
+    banded = full.where("doc_id is not null").select("node", F.explode("bands").alias("bucket"))
+    shared = cut(banded.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket"), "shared")
+    proposed = cut(banded.join(shared, "bucket", "left_semi").select("node").distinct(), "proposed")
+    wanted = cut(reps.join(proposed, "node", "left_semi").select("doc_id", "node"), "wanted", rows)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # most texts stay where they are: only those that the sieve lets through are joined
     text = sieve(text, F.xxhash64("doc_id"), wanted.select(F.xxhash64("doc_id")), "maybe").where("maybe").drop("maybe")
     text = text.join(wanted, "doc_id").dropDuplicates(["doc_id", "node", "text"]).select("node", "text")
     sets = cut(text.mapInArrow(_sets, "node long, own binary"), "sets", batch=BATCH)
-    return _closed(members, sets)
+    return _closed(cut(_front_buckets(sets), "buckets"), sets)
 
 
 def _closed(members: DataFrame, sets: DataFrame) -> DataFrame:
     measured: DataFrame | None = None
     roots: DataFrame | None = None
-    first, spread = True, SPREAD
+    spread = SPREAD
     while True:
         rows = members.count()
+        if roots is not None and rows == 0:
+            return roots
         now = cut(_centres(_with_roots(members, rows, roots, spread), rows), "now", 2 * rows)
-        star = now.where(~F.col("direct") | F.lit(first)).where("node != centre")
-        pairs = star.select(F.col("centre").alias("a"), F.col("node").alias("b"), (~F.col("direct")).alias("star"))
-        if not first:
-            few = now.where("direct").select("bucket", "node", "root", "main", "common", "n", "inside")
-            minor = few.where("root != main").select("bucket", F.col("node").alias("x"), F.col("root").alias("root_x"), F.col("common").alias("common_x"), F.col("n").alias("n_x"))
-            few = few.join(minor, "bucket").where("root != root_x")
-            # both were measured against one centre: they share no more than this, and
-            # nothing beyond the centre in a bucket of those who share inside it alone
-            beyond = F.when(F.col("inside"), 0).otherwise(F.least(F.col("n") - F.col("common"), F.col("n_x") - F.col("common_x")))
-            most = F.least("common", "common_x") + beyond
-            few = few.where(100 * most >= PERCENT * (F.col("n") + F.col("n_x") - most))
-            pairs = pairs.union(few.select(F.least("node", "x"), F.greatest("node", "x"), F.lit(False)))
-        pairs = pairs.groupBy("a", "b").agg(F.max("star").alias("star"))
-        if measured is not None:  # a star needs its own orientation; other pairs need none
-            known = measured.select("a", "b", "star").union(measured.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(False)))
-            known = known.withColumnRenamed("star", "was")
-            pairs = pairs.join(known, ["a", "b"], "left").groupBy("a", "b", "star").agg(F.max("was").alias("was"))
-            pairs = pairs.where("was is null or (star and not was)").drop("was")
+        star = now if measured is None else now.where("not direct")
+        star = cut(star.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "star", rows)
+        pairs = star.withColumn("star", F.lit(True))
+        if measured is not None:
+            pairs = pairs.join(measured.where("star").select("a", "b"), ["a", "b"], "left_anti")
+            known = measured.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            few = _few(now).join(known, ["a", "b"], "left_anti")
+            pairs = pairs.union(few.withColumn("star", F.lit(False)))
         fresh = cut(_verified(pairs, sets), "measured", batch=BATCH)
         measured = fresh if measured is None else measured.union(fresh)
         if roots is None or not fresh.where("linked").isEmpty():
             roots = connected_components(measured.where("linked").select("a", "b"))
-        open_ = _left_open(now, measured, fresh, first, rows)
-        if open_ is None:
+        if star.isEmpty():
             return roots
-        members = cut(open_, "buckets")
-        first, spread = False, 4 * spread
-
-
-def _left_open(now: DataFrame, measured: DataFrame, fresh: DataFrame, first: bool, rows: int) -> DataFrame | None:
-    """Buckets ``(bucket, node, common, n, inside)`` of the next round: what a member shares
-    with the bucket's former centre, its size, and whether only that can link. Pairs with that centre are known. None:
-    nothing is left open."""
-    out = []
-    if first:
-        few = now.where("direct").select("bucket", F.col("centre").alias("a"), F.col("node").alias("b"))
-        out.append(few.join(fresh, ["a", "b"]).select("bucket", F.col("b").alias("node"), "common", F.col("n_b").alias("n"), F.lit(False).alias("inside")))
-    # around every centre with new members, if it has any that did not link
-    centres = cut(fresh.where("star").select("a").distinct(), "centres", rows)
-    if not first and centres.isEmpty():
-        return None
-    around = measured.where("star").join(centres, "a", "left_semi")
-    beyond = around.select("a", "b", "linked", "common", "n_b", F.explode("rest").alias("shingle"))
-    met = beyond.groupBy("a", "shingle").agg(F.count(F.lit(1)).alias("n"), F.min("linked").alias("every"), *_same_members("b"))
-    met = met.where("n > 1 and not every").groupBy("a", "n", "one", "two").agg(F.min("shingle").alias("shingle"))
-    met = cut(met.select("a", "shingle"), "met")
-    beyond = beyond.join(met, ["a", "shingle"], "left_semi")
-    out.append(beyond.select(F.concat_ws(":", F.lit("s"), F.col("a"), F.col("shingle")).alias("bucket"), F.col("b").alias("node"), "common", F.col("n_b").alias("n"), F.lit(False).alias("inside")))
-    # without a shared outside shingle the common part lies within the centre, which
-    # needs 7 * min(common) >= 3 * (n_x + n_y): the other's size is at most the slack
-    sized = around.select("a", "b", "linked", "common", "n_b", F.floor((7 * F.col("common") - 3 * F.col("n_b")) / 3).alias("slack"))
-    # one of the two did not link: a linked member meets the slack of those, they meet any
-    most, room = F.max("slack").alias("most"), F.max(F.when(~F.col("linked"), F.col("slack"))).alias("room")
-    bounds = cut(sized.groupBy("a").agg(F.min("n_b").alias("least"), most, room), "bounds", rows)
-    part = sized.join(bounds, "a").where("slack >= least and n_b <= if(linked, room, most)")
-    out.append(part.select(F.concat_ws(":", F.lit("n"), F.col("a")).alias("bucket"), F.col("b").alias("node"), "common", F.col("n_b").alias("n"), F.lit(True).alias("inside")))
-    return reduce(DataFrame.union, out).distinct()
+        members = cut(_left_open(star, measured), "buckets")
+        spread *= 4
+
+
+def _few(now: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` of buckets that compare directly: of different components,
+    with sizes and shared differences that allow a link."""
+    few = now.where("direct").select("bucket", "node", "root", "main", "n", "f", "k")
+    minor = few.where("root != main").select("bucket", *(F.col(c).alias(f"{c}_x") for c in ("node", "root", "n", "f", "k")))
+    few = few.join(minor, "bucket").where("root != root_x and f + f_x <= 14 * least(k, k_x) and 4 * least(n, n_x) >= 3 * greatest(n, n_x)")
+    return few.select(F.least("node", "node_x").alias("a"), F.greatest("node", "node_x").alias("b")).distinct()
+
+
+def _left_open(star: DataFrame, measured: DataFrame) -> DataFrame:
+    """Buckets ``(bucket, node, n, f, k)`` of the next round, of members of one star that may
+    link though they are not both linked to its centre: size, ``f`` (see above) and the
+    number of differences that another member has."""
+    around = measured.where("star").join(star, ["a", "b"], "left_semi")
+    f = 7 * (F.col("n_a") + F.col("n_b") - 2 * F.col("common")) - F.col("n_b")
+    torn = cut(around.where("not linked").select("a").distinct(), "torn")
+    around = around.join(torn, "a", "left_semi").select("a", "b", "linked", F.col("n_b").alias("n"), f.alias("f"), "apart")
+    apart = around.select("a", "b", "linked", F.explode("apart").alias("shingle"))
+    # differences that no unlinked member has, or one member alone, join nobody
+    met = apart.groupBy("a", "shingle").agg(F.count(F.lit(1)).alias("df"), F.min("linked").alias("every"))
+    met = cut(met.where("df > 1 and not every").select("a", "shingle", "df"), "met")
+    apart = cut(apart.join(met, ["a", "shingle"]), "apart")
+    able = around.drop("apart").join(apart.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k")), ["a", "b"])
+    for _ in range(NARROWED):  # every member that drops out may raise what the others need
+        able = cut(able, "able")
+        least = able.groupBy("a").agg(F.min("f").alias("any"), F.min(F.when(~F.col("linked"), F.col("f"))).alias("unlinked"), F.count(F.lit(1)).alias("left"))
+        least = cut(least.where("left > 1 and unlinked is not null"), "least")
+        able = able.drop("need").join(least, "a").withColumn("need", F.ceil((F.col("f") + F.expr("if(linked, unlinked, any)")) / 14))
+        able = able.withColumn("need", F.greatest("need", F.lit(1))).where("k >= need").drop("any", "unlinked", "left")
+    able = cut(able.select("a", "b", "n", "f", "k", "need"), "able")
+    order = Window.partitionBy("a", "b").orderBy("df", "shingle")
+    front = apart.join(able, ["a", "b"]).withColumn("rank", F.row_number().over(order)).where("rank <= k - need + 1")
+    front = front.select(F.xxhash64("a", "shingle").alias("bucket"), F.col("b").alias("node"), "n", "f", "k")
+    return _one_of_each(cut(front.dropDuplicates(["bucket", "node"]), "front"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -81,6 +81,29 @@ def test_unlinked_member_meets_a_linked_one(spark):
     assert roots == {30: 30, 31: 30, 99: 30}
 
 
+def test_few_pairs_are_compared_in_a_family_that_links_in_part(spark, monkeypatch):
+    """Copies with edits of their own, few or many: most pairs do not link, yet each copy
+    meets only few others."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(150):
+        words = list(base)
+        for at in rng.sample(range(120), rng.choice([1, 2, 4, 5, 6])):
+            words[at] = f"e{k}x{at}"
+        rows.append((k, " ".join(words)))
+    compared, verified = [], minmax_dedup._verified
+
+    def counted(pairs, sets):
+        compared.append(pairs.count())
+        return verified(pairs, sets)
+
+    monkeypatch.setattr(minmax_dedup, "_verified", counted)
+    got = minmax_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == set(components(rows))
+    assert sum(compared) <= 1_500, compared  # of 11,175
+
+
 def test_kept_documents(edges):
     out = minmax_dedup.drop_near_duplicates(edges)
     assert out.columns == edges.columns
