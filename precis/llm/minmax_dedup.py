@@ -305,8 +305,9 @@ def _left_open(star: DataFrame, measured: DataFrame) -> DataFrame:
     # differences that no unlinked member has, or one member alone, join nobody
     met = apart.groupBy("a", "shingle").agg(F.count(F.lit(1)).alias("df"), F.min("linked").alias("every"))
     met = cut(met.where("df > 1 and not every").select("a", "shingle", "df"), "met")
-    apart = cut(apart.join(met, ["a", "shingle"]), "apart")
-    able = around.drop("apart").join(apart.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k")), ["a", "b"])
+    shared = F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("shared")
+    shared = cut(apart.join(met, ["a", "shingle"]).groupBy("a", "b").agg(shared), "shared")
+    able = around.drop("apart").join(shared.select("a", "b", F.size("shared").alias("k")), ["a", "b"])
     for _ in range(NARROWED):  # every member that drops out may raise what the others need
         able = cut(able, "able")
         least = able.groupBy("a").agg(F.min("f").alias("any"), F.min(F.when(~F.col("linked"), F.col("f"))).alias("unlinked"), F.count(F.lit(1)).alias("left"))
@@ -314,9 +315,8 @@ def _left_open(star: DataFrame, measured: DataFrame) -> DataFrame:
         able = able.drop("need").join(least, "a").withColumn("need", F.ceil((F.col("f") + F.expr("if(linked, unlinked, any)")) / 14))
         able = able.withColumn("need", F.greatest("need", F.lit(1))).where("k >= need").drop("any", "unlinked", "left")
     able = cut(able.select("a", "b", "n", "f", "k", "need"), "able")
-    order = Window.partitionBy("a", "b").orderBy("df", "shingle")
-    front = apart.join(able, ["a", "b"]).withColumn("rank", F.row_number().over(order)).where("rank <= k - need + 1")
-    front = front.select(F.xxhash64("a", "shingle").alias("bucket"), F.col("b").alias("node"), "n", "f", "k")
+    front = shared.join(able, ["a", "b"]).withColumn("first", F.explode(F.expr("slice(shared, 1, int(k - need + 1))")))
+    front = front.select(F.xxhash64("a", "first.shingle").alias("bucket"), F.col("b").alias("node"), "n", "f", "k")
     return _one_of_each(cut(front.dropDuplicates(["bucket", "node"]), "front"))
 
 
