@@ -20,8 +20,11 @@ minus the centre's size, and above the centre's size for members that did not
 link to it. So of two members that are not both linked to the centre, the
 differences must overlap: those without enough differences that another member
 has drop out, the rest meet in new buckets, by the same filter on the
-differences, until none holds two components. A bucket with at most ``SPREAD``
-open pairs a member compares those directly.
+differences, until none holds two components. Shingles that the same members hold
+make one row, with their number as weight. A pair needs to be seen only in the bucket
+where it meets first; all that it shares lies in what each has left from there on, so
+members and pairs that have too little left drop out. A bucket with at most ``SPREAD``
+open pairs a member holds those directly against what they have left.
 
 Null and empty texts have no shingles and link with nothing. Rows that share
 text share a class whatever their ids are; a class of rows without any id takes
@@ -50,7 +53,7 @@ SEED = 20_240_607
 PERCENT = 75
 #: A bucket compares its open pairs directly if they are at most so many a member;
 #: four times as many in every further round, when few buckets are left.
-SPREAD = 8
+SPREAD = 32
 #: Ratio of the size levels; links span less, ``100 / PERCENT``.
 LEVEL = 1.34
 #: Times that the members of a star are held against the least that others allow.
@@ -180,8 +183,13 @@ def _compare(batches):
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``pairs(a, b, star)`` measured on the full sets, with ``linked``."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a")
-    both = both.join(sets.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b")
+    pairs = cut(pairs, "pairs")
+    both = pairs
+    for side in ("a", "b"):
+        # sets stay where they are, but for those that the sieve lets through
+        own = sets.select(F.col("node").alias(side), F.col("own").alias(f"own_{side}"))
+        own = sieve(own, F.xxhash64(side), pairs.select(F.xxhash64(side)), "_maybe").where("_maybe").drop("_maybe")
+        both = both.join(own, side)
     out = both.mapInArrow(_compare, "a long, b long, star boolean, n_a long, n_b long, common long, apart array<long>")
     return out.withColumn("linked", 100 * F.col("common") >= PERCENT * (F.col("n_a") + F.col("n_b") - F.col("common")))
 
@@ -191,17 +199,30 @@ def _front_buckets(sets: DataFrame) -> DataFrame:
     as a link may leave out and one more. Linked sets differ in size by a third at most, so a bucket holds
     sizes of two neighbouring levels; of buckets with the same members one is enough."""
     tokens = sets.mapInArrow(_shingle_rows, "node long, n long, shingle long")
-    often = cut(tokens.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "often")
     # shingles of one set only come first and meet nobody: they need no rows
-    ranked = tokens.join(often, "shingle").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle")))
-    ranked = ranked.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("node")))
-    front = ranked.where("rank <= n - floor((3 * n + 3) / 4) + 1 - (n - k)")
+    often = tokens.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), *_same_members("node")).where("df > 1")
+    often = cut(_one_for_all(often), "often")
+    ranked = tokens.join(often, "shingle").withColumn("before", _before("node"))
+    ranked = ranked.withColumn("k", F.sum("weight").over(Window.partitionBy("node")))
+    front = ranked.where("before <= n - floor((3 * n + 3) / 4) - (n - k)")
     level = F.floor(F.log(F.col("n")) / math.log(LEVEL))
     front = front.select("node", "shingle", F.explode(F.array(level, level + 1)).alias("level"))
     front = cut(front.select(F.xxhash64("shingle", "level").alias("bucket"), "node").distinct(), "front")
     return _one_of_each(front)
 
 
+def _one_for_all(met: DataFrame, *star: str) -> DataFrame:
+    """Shingles that the same members hold stand side by side in the order and meet the
+    same: one of them is kept, its ``weight`` is their number."""
+    return met.groupBy(*star, "df", "one", "two").agg(F.min("shingle").alias("shingle"), F.count(F.lit(1)).alias("weight")).drop("one", "two")
+
+
+def _before(*member: str):
+    """How many of a member's shingles come before, rarest first."""
+    ahead = Window.partitionBy(*member).orderBy("df", "shingle").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum("weight").over(ahead), F.lit(0))
+
+
 def _one_of_each(members: DataFrame) -> DataFrame:
     """The rows of buckets with two members or more, without all but one of buckets with the same members."""
     met = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), *_same_members("node")).where("size > 1")
@@ -287,37 +308,46 @@ def _closed(members: DataFrame, sets: DataFrame) -> DataFrame:
 def _few(now: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` of buckets that compare directly: of different components,
     with sizes and shared differences that allow a link."""
-    few = now.where("direct").select("bucket", "node", "root", "main", "n", "f", "k")
-    minor = few.where("root != main").select("bucket", *(F.col(c).alias(f"{c}_x") for c in ("node", "root", "n", "f", "k")))
-    few = few.join(minor, "bucket").where("root != root_x and f + f_x <= 14 * least(k, k_x) and 4 * least(n, n_x) >= 3 * greatest(n, n_x)")
+    few = now.where("direct").select("bucket", "node", "root", "main", "n", "f", "rest")
+    minor = few.where("root != main").select("bucket", *(F.col(c).alias(f"{c}_x") for c in ("node", "root", "n", "f", "rest")))
+    few = few.join(minor, "bucket").where("root != root_x and f + f_x <= 14 * least(rest, rest_x) and 4 * least(n, n_x) >= 3 * greatest(n, n_x)")
     return few.select(F.least("node", "node_x").alias("a"), F.greatest("node", "node_x").alias("b")).distinct()
 
 
 def _left_open(star: DataFrame, measured: DataFrame) -> DataFrame:
-    """Buckets ``(bucket, node, n, f, k)`` of the next round, of members of one star that may
-    link though they are not both linked to its centre: size, ``f`` (see above) and the
-    number of differences that another member has."""
+    """Buckets ``(bucket, node, n, f, rest)`` of the next round, of members of one star that may
+    link though they are not both linked to its centre: size, ``f`` (see above) and the number
+    of differences that another member has, from the bucket's on in their order."""
     around = measured.where("star").join(star, ["a", "b"], "left_semi")
     f = 7 * (F.col("n_a") + F.col("n_b") - 2 * F.col("common")) - F.col("n_b")
     torn = cut(around.where("not linked").select("a").distinct(), "torn")
     around = around.join(torn, "a", "left_semi").select("a", "b", "linked", F.col("n_b").alias("n"), f.alias("f"), "apart")
     apart = around.select("a", "b", "linked", F.explode("apart").alias("shingle"))
     # differences that no unlinked member has, or one member alone, join nobody
-    met = apart.groupBy("a", "shingle").agg(F.count(F.lit(1)).alias("df"), F.min("linked").alias("every"))
-    met = cut(met.where("df > 1 and not every").select("a", "shingle", "df"), "met")
-    shared = F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("shared")
-    shared = cut(apart.join(met, ["a", "shingle"]).groupBy("a", "b").agg(shared), "shared")
-    able = around.drop("apart").join(shared.select("a", "b", F.size("shared").alias("k")), ["a", "b"])
+    met = apart.groupBy("a", "shingle").agg(F.count(F.lit(1)).alias("df"), F.min("linked").alias("every"), *_same_members("b"))
+    met = cut(_one_for_all(met.where("df > 1 and not every"), "a"), "met")
+    shared = apart.join(met, ["a", "shingle"]).withColumn("before", _before("a", "b")).groupBy("a", "b")
+    shared = cut(shared.agg(F.sum("weight").alias("k"), F.collect_list(F.struct("before", "shingle")).alias("shared")), "shared")
+    able = around.drop("apart").join(shared.select("a", "b", "k"), ["a", "b"])
     for _ in range(NARROWED):  # every member that drops out may raise what the others need
         able = cut(able, "able")
         least = able.groupBy("a").agg(F.min("f").alias("any"), F.min(F.when(~F.col("linked"), F.col("f"))).alias("unlinked"), F.count(F.lit(1)).alias("left"))
         least = cut(least.where("left > 1 and unlinked is not null"), "least")
         able = able.drop("need").join(least, "a").withColumn("need", F.ceil((F.col("f") + F.expr("if(linked, unlinked, any)")) / 14))
         able = able.withColumn("need", F.greatest("need", F.lit(1))).where("k >= need").drop("any", "unlinked", "left")
-    able = cut(able.select("a", "b", "n", "f", "k", "need"), "able")
-    front = shared.join(able, ["a", "b"]).withColumn("first", F.explode(F.expr("slice(shared, 1, int(k - need + 1))")))
-    front = front.select(F.xxhash64("a", "first.shingle").alias("bucket"), F.col("b").alias("node"), "n", "f", "k")
-    return _one_of_each(cut(front.dropDuplicates(["bucket", "node"]), "front"))
+    able = cut(able.select("a", "b", "linked", "n", "f", "k", "need"), "able")
+    front = shared.drop("k").join(able, ["a", "b"]).withColumn("first", F.explode(F.expr("filter(shared, s -> s.before <= k - need)")))
+    rest = (F.col("k") - F.col("first.before")).alias("rest")
+    front = front.select(F.xxhash64("a", "first.shingle").alias("bucket"), F.col("b").alias("node"), "linked", "n", "f", rest)
+    return _may_link(cut(front.dropDuplicates(["bucket", "node"]), "front")).drop("linked")
+
+
+def _may_link(front: DataFrame) -> DataFrame:
+    """The members that have ``rest`` enough for another one of the bucket. A pair needs to
+    be seen only where it meets first, and all that it shares lies in what is left there."""
+    least = front.groupBy("bucket").agg(F.min("f").alias("any"), F.min(F.when(~F.col("linked"), F.col("f"))).alias("unlinked"), F.count(F.lit(1)).alias("left"))
+    least = cut(least.where("left > 1 and unlinked is not null"), "least")
+    return front.join(least, "bucket").where("f + if(linked, unlinked, any) <= 14 * rest").drop("any", "unlinked", "left")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -104,6 +104,26 @@ def test_few_pairs_are_compared_in_a_family_that_links_in_part(spark, monkeypatc
     assert sum(compared) <= 1_500, compared  # of 11,175
 
 
+def test_copies_without_some_lines_make_few_rows(spark, monkeypatch):
+    """Copies that lack lines of their own: a line's shingles count as one where the same
+    copies hold them, and a pair needs to be seen only where it meets first."""
+    rng = random.Random(11)
+    lines = [" ".join(f"l{k}w{j}" for j in range(9)) for k in range(40)]
+    rows = [(c, "\n".join(x for x in lines if rng.random() > 0.05 + 0.005 * c)) for c in range(60)]
+    made, cut = {}, minmax_dedup.cut
+
+    def counted(df, name="part", *args, **kwargs):
+        out = cut(df, name, *args, **kwargs)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(minmax_dedup, "cut", counted)
+    got = minmax_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == set(components(rows))
+    assert 1 < len({r.component_id for r in got}) < len(rows)
+    assert made["front"] <= 8_000 and made["buckets"] <= 6_000, made  # 29,887 and 8,612 with a row a shingle
+
+
 def test_kept_documents(edges):
     out = minmax_dedup.drop_near_duplicates(edges)
     assert out.columns == edges.columns
