@@ -194,8 +194,7 @@ def odd_encodings(parts: DataFrame) -> DataFrame:
     plain = F.is_valid_utf8("content")
     whole = F.when(F.col("mark") == "UTF-16LE", E.is_utf16(F.col("content"), True)).when(F.col("mark") == "UTF-16BE", E.is_utf16(F.col("content"), False))
     none = F.lit(0.0)
-    sums = E.let(F.col("content"), lambda c: F.struct(*E.sums(c)))
-    rows = text.select("path", "mark", plain.alias("plain"), whole.alias("whole"), F.when(~plain, sums).alias("s"))
+    rows = text.select("path", "mark", plain.alias("plain"), whole.alias("whole"), F.when(~plain, E.scores(F.col("content"))).alias("s"))
     by_file = rows.groupBy("path").agg(
         F.max("mark").alias("mark"), F.bool_and("plain").alias("plain"), F.bool_and("whole").alias("whole"),
         *[F.sum(F.coalesce(F.col("s").getField(c).cast("double"), none)).alias(c) for c in ("high", *E.CANDIDATES)],

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import re
+from itertools import pairwise
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,3 +89,83 @@ def test_parts_of_a_text_add_up(spark):
     sums = df.select("k", *E.sums(F.col("b"))).groupBy("k").agg(*[F.round(F.sum(c), 6).alias(c) for c in ("high", "windows-1251", "koi8-r", "windows-1252")])
     a, b = (tuple(r)[1:3] for r in sums.orderBy("k").collect())
     assert a[0] == b[0] and abs(a[1] - b[1]) <= 0.5 * len(parts)  # but for the pairs at the cuts
+
+
+# --- the rules written down byte by byte -------------------------------------------------------
+def pieces(b, name):
+    """Units of a double-byte encoding and the single bytes between them, as strings."""
+    first, second, _, _ = E.DOUBLE[name]
+    return re.findall(f"(?s){first}{second}|.", b.decode("latin-1"))
+
+
+def plain_sum(b, name):
+    if name in E.SINGLE:
+        codec, pairs, frequent = E.SINGLE[name]
+        chars = [bytes([c]).decode(codec, "ignore") or chr(c) for c in b]
+        classes = [E._class(c) for c in chars]
+        weights = {pair: w for group, w in pairs.items() for pair in group.split()}
+        both = sum(2.0 for x, y in pairwise(chars) if frequent and x.lower() in frequent and y.lower() in frequent)
+        return -20.0 * classes.count("x") + sum(weights.get(x + y, 0.0) for x, y in pairwise(classes)) + both
+    _, _, alone, kinds = E.DOUBLE[name]
+    total = 0.0
+    for p in pieces(b, name):
+        if len(p) == 2:
+            total += 2.0 * next((w for (x, y), w in kinds.items() if re.fullmatch(f"(?s){x}{y}", p)), -2.0)
+        elif p > "\x7F":
+            total += -1.0 if alone and re.match(alone, p) else -20.0
+    return total
+
+
+def plain_text(b, name):
+    alone = E.DOUBLE[name][2]
+    out = ""
+    for p in pieces(b, name):
+        if len(p) == 2:
+            ch = p.encode("latin-1").decode(name, "replace")
+            out += ch if len(ch) == 1 else "�"
+        else:
+            out += chr(0xFF61 + ord(p) - 0xA1) if alone and re.match(alone, p) else p
+    return out
+
+
+def odd_contents():
+    rng = random.Random(11)
+    pools = [bytes(range(256)), bytes(range(128, 256)), b"aZ .,\n\r\x00$\\_\x1f\x7f" + bytes(range(0xC0, 0x100)), b"\x82\x83\x81\x8e\xa1\xa4\xd8\xdf\xfe\xff\x80\x85\x40\x5f ", b"\xb0\xd7\xf7\xa3\xa1\x41\x5c\n"]
+    random_ones = [bytes(rng.choice(pool) for _ in range(rng.randrange(40))) for pool in pools for _ in range(60)]
+    return [b"", b"\xe9", b"\x82\xa0", b"\x82\xa0\x82", b"\xe0\x00", b"\x85\n\x85", *random_ones, *[t.encode(c, "ignore") for t in SAMPLES["gbk"] + SAMPLES["shift_jis"] for c in E.DOUBLE]]
+
+
+def test_sums_follow_the_rules(spark):
+    contents = odd_contents()
+    df = spark.createDataFrame([(k, bytearray(b)) for k, b in enumerate(contents)] + [(len(contents), None)], "k int, b binary").repartition(2)
+    rows = df.select("k", *E.sums(F.col("b"))).orderBy("k").collect()
+    for b, r in zip(contents, rows, strict=False):
+        assert r.high == sum(c > 127 for c in b), b
+        assert [r[name] for name in E.CANDIDATES] == [plain_sum(b, name) for name in E.CANDIDATES], b
+    assert all(v is None for v in rows[-1][1:])
+
+
+def test_double_bytes_read_by_the_rules(spark):
+    contents = odd_contents()
+    df = spark.createDataFrame([(k, bytearray(b)) for k, b in enumerate(contents)], "k int, b binary").repartition(2)
+    rows = df.select("k", *[E.decode_as(F.col("b"), F.lit(name), [name]).alias(name) for name in E.DOUBLE]).orderBy("k").collect()
+    for b, r in zip(contents, rows, strict=True):
+        assert [r[name] for name in E.DOUBLE] == [plain_text(b, name) for name in E.DOUBLE], b
+
+
+def test_long_runs(spark):
+    """Half a million units or single bytes without any ASCII between them, in time that grows with them."""
+    texts = ["山の上に古い寺があります" * 40_000, "早上的市场里有很多新鲜的水果" * 40_000, "погода" * 80_000, "é" * 400_000]
+    names = ["shift_jis", "gbk", "windows-1251", "windows-1252"]
+    contents = [t.encode({"windows-1251": "cp1251", "windows-1252": "cp1252"}.get(n, n)) for t, n in zip(texts, names, strict=True)]
+    df = spark.createDataFrame([(k, bytearray(b)) for k, b in enumerate(contents)], "k int, b binary")
+    got = {r.k: r.t for r in df.select("k", T.decode_bytes("b").alias("t")).collect()}
+    assert [got[k] == t for k, t in enumerate(texts)] == [True, True, True, False]  # é alone says nothing of its encoding
+
+
+def test_scoring_keeps_no_matches(spark):
+    """Sums come from whole strings: no match of a pattern becomes an array entry (it did, for
+    every byte and weight, and took most of the time)."""
+    df = spark.createDataFrame([(bytearray(b"\xe9"),)], "b binary")
+    plan = df.select(T.encoding_of("b").alias("e"))._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "bitmap" in plan and "regexp_extract_all" not in plan and "regexp_count" not in plan
